@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step handles; the arrays of a step take some fifty times that.
 CHUNK_BYTES = 2 << 20
@@ -50,17 +51,44 @@ def crc_mod(col: str, n: int) -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a batch with about ``limit`` bytes of text each (one row at least), and the texts of each part as UTF-8; null is empty."""
+    """Parts of a batch with about ``limit`` bytes of text each (one row at least), and the texts of each part as UTF-8; null is empty. A column ``body`` is unpacked."""
     if not batch.num_rows:
         return
-    texts = batch.column(column).cast(pa.large_binary()).fill_null(b"").to_pylist()
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > limit:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, held = i, 0
+    values = batch.column(column).cast(pa.large_binary()).fill_null(b"").to_pylist()
+    start, held, texts = 0, 0, []
+    for i, t in enumerate(values):
+        if column == "body":
+            t = unpacked(t)
+        if texts and held + len(t) > limit:
+            yield batch.slice(start, i - start), texts
+            start, held, texts = i, 0, []
+        texts.append(t)
         held += len(t)
-    yield batch.slice(start), texts[start:]
+    yield batch.slice(start), texts
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _pack(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + _ZSTD.compress(text, asbytes=True)
+
+
+def unpacked(body: bytes) -> bytes:
+    return _ZSTD.decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True) if body else b""
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a compressed binary column ``body`` in place of ``text``, for texts that are shuffled on their way to Python tasks."""
+    others = [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(map(_pack, texts), pa.binary())], [*others, "body"])
+
+    schema = T.StructType([*(rows.schema[c] for c in others), T.StructField("body", T.BinaryType())])
+    return rows.select(*others, "text").mapInArrow(run, schema)
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

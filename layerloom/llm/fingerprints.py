@@ -12,7 +12,7 @@ A text of fewer bytes than a k-gram is one gram as it is; one with fewer k-grams
 sorted there; each range also gets the first document of the next one. Texts move once.
 
 Cases: a null text is empty and has the empty fingerprint; two empty ones have likeness 1, an empty and another 0;
-a null id comes first; documents with one id follow each other in order of text; other columns are ignored.
+a null id comes first; documents with one id follow each other in order of a hash of the text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import CHUNK_BYTES, byte_hash, joined, ranged, ranges, slices, sliding_min, span_hash
+from layerloom.llm.common import CHUNK_BYTES, byte_hash, joined, packed, ranged, ranges, slices, sliding_min, span_hash, unpacked
 
 GRAM = 16
 WINDOW = 48
@@ -109,19 +109,20 @@ def fingerprint(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
 
 
 def followed(docs: DataFrame) -> DataFrame:
-    """(part, tail, doc_id, text) sorted inside partitions: ranges of ids, each ended by a row with ``tail`` = 1 that repeats the first document after it (after the last range: of all)."""
+    """(part, tail, doc_id, body) sorted inside partitions: ranges of ids, each ended by a row with ``tail`` = 1 that repeats the first document after it (after the last range: of all)."""
     spark = docs.sparkSession
     rows, parts = ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")))
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
     firsts = [(r.part, r.first.doc_id) for r in rows.groupBy("part").agg(first).orderBy("part").collect()]  # one row for each range
     if not firsts:
-        return rows.select("part", F.lit(0).alias("tail"), "doc_id", "text")
+        return packed(rows.select("part", F.lit(0).alias("tail"), "doc_id", "text"))
     before = spark.createDataFrame([(firsts[i - 1][0], d) for i, (_, d) in enumerate(firsts)], "part int, first_id long")
     ids = [d for _, d in firsts if d is not None]
-    heads = rows.where(F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if len(ids) < len(firsts) else F.lit(False))).groupBy("doc_id").agg(F.min("text").alias("text"))
+    heads = rows.where(F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if len(ids) < len(firsts) else F.lit(False))).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     tails = heads.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("part", F.lit(1).alias("tail"), "doc_id", "text")
     both = rows.select("part", F.lit(0).alias("tail"), "doc_id", "text").unionByName(tails)
-    return both.repartition(parts, "part").sortWithinPartitions("part", "tail", "doc_id", "text")
+    both = packed(both.withColumn("text_hash", F.xxhash64("text")))
+    return both.repartition(parts, "part").sortWithinPartitions("part", "tail", "doc_id", "text_hash")
 
 
 def compare_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -146,12 +147,12 @@ def compare_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "tail", "doc_id", "text"))):
-                held.append(row)
-                size += len(row[3])
+            for *row, body in zip(*(batch.column(c).to_pylist() for c in ("part", "tail", "doc_id", "body"))):
+                held.append((*row, unpacked(body).decode()))
+                size += len(held[-1][3])
                 if size > CHUNK_BYTES // 2:
                     yield finish(held)
-                    held, size = held[-1:], len(row[3])
+                    held, size = held[-1:], len(held[-1][3])
         yield finish(held)
 
     return followed(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

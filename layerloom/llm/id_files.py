@@ -11,7 +11,7 @@ confidence, the order-1 confidence and the recent hits. If the candidate fails,
 that the block has seen, or as a new one. The coder keeps a 48-bit interval and writes 16 bits at a time. All
 arithmetic is on integers. The blocks of a segment are coded in step with each other, one id of each at a time.
 
-Cases: a null text is empty and becomes the end id alone; documents with one id follow each other in order of text; a
+Cases: a null text is empty and becomes the end id alone; documents with one id follow each other in order of a hash of the text; a
 null id comes first; an empty table writes no segments and reads none; other columns are ignored.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import ranged, scratch_dir
+from layerloom.llm.common import packed, ranged, scratch_dir, unpacked
 from layerloom.llm.tokens import memo
 
 BLOCK = 4096
@@ -310,7 +310,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
 
         size = 0
         for b in batches:
-            for p, d, t in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "text"))):
+            for p, d, body in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "body"))):
+                t = unpacked(body).decode()
                 if p != part or size > STEP_BYTES:
                     work()
                     size = 0
@@ -323,7 +324,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
         work()
         yield from flush()
 
-    rows.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "text").select("part", "doc_id", "text").mapInArrow(run, FILE).write.parquet(path)
+    rows = packed(rows.withColumn("text_hash", F.xxhash64("text"))).repartition(parts, "part").sortWithinPartitions("part", "doc_id", "text_hash")
+    rows.select("part", "doc_id", "body").mapInArrow(run, FILE).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, block: int = BLOCK, with_ids: bool = False) -> DataFrame:

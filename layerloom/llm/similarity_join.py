@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import blank_words, mixed, slices, written
+from layerloom.llm.common import blank_words, mixed, packed, slices, written
 
 HEAVY = 1_000_000
 HEAVY_FROM = 16
@@ -231,7 +231,7 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, split: int = SPLIT
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, "body"):
                 v, at = shingles(texts, words)
                 lead, no, ids, out = [], [], [], []
                 for i, (c, to) in enumerate(zip(part.column("class_id").to_pylist(), part.column("to").to_pylist())):
@@ -242,7 +242,7 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, split: int = SPLIT
                 yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["leader", "part", "class_id", "elements"])
 
     # rows with one id are one document: the sets of all its rows are sent
-    texts = rows.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id").select("class_id", "text", "to")
+    texts = packed(rows.withColumnRenamed("doc_id", "class_id")).join(wanted, "class_id").select("class_id", "body", "to")
     shipped = texts.mapInArrow(sets, "leader long, part int, class_id long, elements binary")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def _between(texts: DataFrame, apart: DataFrame, dealt: DataFrame, sets, percent
     out = []
     for rows in (walking, standing):
         to = rows.groupBy("class_id").agg(F.collect_list(F.struct("leader", "in_parts")).alias("to"))
-        sent = texts.select("class_id", "text").join(to, "class_id").select("class_id", "text", "to")
+        sent = texts.select("class_id", "body").join(to, "class_id").select("class_id", "body", "to")
         out.append(sent.mapInArrow(sets, "leader long, part int, class_id long, elements binary").withColumn("walks", F.lit(rows is walking)))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

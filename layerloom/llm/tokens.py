@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import scratch_dir, slices
+from layerloom.llm.common import packed, scratch_dir, slices
 
 LIMIT = 1024
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -130,10 +130,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: CountCache, limit: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, "body"):
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counts(texts, tokenizer), pa.int64())], ["digest", "n_tokens"])
 
-    misses = keyed.select("digest", "text").join(cache.read(version), "digest", "left_anti").dropDuplicates(["digest"])
+    misses = packed(keyed.select("digest", "text")).join(cache.read(version), "digest", "left_anti").dropDuplicates(["digest"])
     cache.append(misses.mapInArrow(encode, "digest binary, n_tokens long"), version)
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(cache.read(version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
