@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from layerloom.llm import tokens
 from layerloom.llm.common import packed, ranged, scratch_dir, unpacked
-from layerloom.llm.tokens import memo
 
 BLOCK = 4096
 #: Ids of a segment: blocks that are coded in step; and UTF-8 bytes that are tokenised at once.
@@ -285,11 +285,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     """Writes the ids of all documents, each with the end id after it, in ascending order of doc_id. Texts move once."""
     rows, parts = ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")))
 
-    def tokenised(texts: list[str]) -> list[np.ndarray]:
-        m = memo(tokenizer)
-        end = np.array([end_id], np.uint32)
-        return [np.concatenate([*map(m.ids.__getitem__, p), end]) for p in m.pieces(texts)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = None, 0
         wait: list[tuple] = []  # documents to tokenise
@@ -305,7 +300,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
                 seq, done = seq + 1, []
 
         def work() -> None:
-            done.extend(zip((d for d, _ in wait), tokenised([t for _, t in wait])))
+            done.extend((d, np.array([*i, end_id], np.uint32)) for (d, _), i in zip(wait, tokens.ids([t for _, t in wait], tokenizer)))
             wait.clear()
 
         size = 0

@@ -20,10 +20,11 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
-from itertools import repeat
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
+from typing import Any
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from layerloom.llm.common import packed, scratch_dir, slices
 
 LIMIT = 1024
 CACHE = "tokenizer string, digest binary, n_tokens long"
-#: Pieces that a worker remembers; beyond it forgets all and begins anew.
-MEMO = 400_000
+#: Pieces that a worker remembers.
+MEMO = 800_000
 _BLANK_AFTER_SPACE = re.compile(r" \s")
 
 
@@ -55,57 +56,70 @@ def tokenizer_digest(path: str) -> str:
 
 
 class PieceMemo:
-    """Encodes texts with the library, each distinct piece between spaces once."""
+    """Encodes texts with the library, each distinct piece between spaces once. Values are what ``make`` gives for a piece's ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, make: Callable[[list[int]], Any]):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.ids: dict[str, np.ndarray] = {}
+        self.make = make
+        self.known: dict[str, Any] = {}  # by piece, without the space before it
         if path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
             model = SentencePieceProcessor(model_file=path)
-            self.whole = lambda texts: model.encode(texts, num_threads=1)
+            self.encode = lambda texts: model.encode(texts, num_threads=1)
             self.cuts = False
             return
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        self.whole = lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.encode = lambda texts: [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
         with open(path) as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.cuts = plain.items() <= pre.items() and not spec.get("normalizer") and not any(" " in a["content"] or a["lstrip"] or a["rstrip"] for a in spec["added_tokens"])
 
-    def pieces(self, texts: list[str]) -> list[list[str]]:
-        """The pieces of each text, all of them in ``self.ids`` afterwards; joined they are the text."""
-        cut = [[t] if not self.cuts or _BLANK_AFTER_SPACE.search(t) else [p[0], *map("".join, zip(repeat(" "), p[1:]))] if len(p := t.split(" ")) > 1 else p for t in texts]
-        if len(self.ids) > MEMO:
-            self.ids.clear()
-        new = list({x for p in cut for x in p}.difference(self.ids))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.ids.update(zip(some, (np.array(x, np.uint32) for x in self.whole(some))))
-        return cut
-
-
-_memos: dict[str, PieceMemo] = {}
-
-
-def memo(path: str) -> PieceMemo:
+    def values(self, texts: list[str]) -> list[list]:
+        """For each text the values of its pieces, in order."""
+        cut: list[list[str] | None] = [p if self.cuts and len(p := t.split(" ")) > 1 and p[-1] and not _BLANK_AFTER_SPACE.search(t) else None for t in texts]
+        self._learn({x for p in cut if p for x in p[1:]})
+        whole = self.encode([p[0] if p else t for t, p in zip(texts, cut)])  # first pieces have no space before them
+        return [[self.make(w), *map(self.known.__getitem__, p[1:])] if p else [self.make(w)] for w, p in zip(whole, cut)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = list(pieces.difference(self.known))
+        if len(self.known) + len(new) > MEMO:  # the pieces met first are mostly the frequent ones
+            self.known = dict(islice(self.known.items(), MEMO // 4))
+            new = list(pieces.difference(self.known))
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            got = self.library.encode(" " + " ".join(some), add_special_tokens=False)
+            ids, starts = got.ids, [s for s, _ in got.offsets]
+            at = begin = 0
+            for x in some:  # no token spans the space before a piece
+                at += 1 + len(x)
+                end = bisect_left(starts, at, begin)
+                self.known[x], begin = self.make(ids[begin:end]), end
+
+
+_memos: dict[tuple, PieceMemo] = {}
+
+
+def memo(path: str, make: Callable[[list[int]], Any] = list) -> PieceMemo:
     """One for each worker process, kept between tasks."""
-    if path not in _memos:
-        _memos[path] = PieceMemo(path)
-    return _memos[path]
+    if (path, make) not in _memos:
+        _memos[path, make] = PieceMemo(path, make)
+    return _memos[path, make]
 
 
 def counts(texts: list[bytes], path: str) -> list[int]:
-    m = memo(path)
-    cut = m.pieces([t.decode() for t in texts])
-    size = {x: len(m.ids[x]) for p in cut for x in set(p)} if len(cut) < 8 else {x: len(v) for x, v in m.ids.items()}
-    return [sum(map(size.__getitem__, p)) for p in cut]
+    return [sum(v) for v in memo(path, len).values([t.decode() for t in texts])]
+
+
+def ids(texts: list[str], path: str) -> list[list[int]]:
+    return [list(chain.from_iterable(v)) for v in memo(path).values(texts)]
 
 
 class CountCache:
