@@ -6,9 +6,10 @@ documents share out of the prefixes). Two sets of enough similarity share a shin
 prefix filter).
 
 1. One row for each class of equal sets: its smallest document, size and prefix. Copies go no further.
-2. Each prefix shingle's leader is the smallest class that holds it. A class joins the groups of the leaders of its
-   shingles: any two classes that share a prefix shingle meet in its leader's group, and a class is sent once for each
-   leader, not for each shingle.
+2. The classes that share a prefix shingle are ordered by size and parted where a neighbour is too small for its
+   successor; a part of one is done, and the first class of a part is its leader. A class joins the groups of its
+   leaders: any two classes that share a prefix shingle and have fitting sizes meet in a leader's group, and a class is
+   sent once for each leader, not for each shingle. What is sent is its text.
 3. A group stores its sets in a prefix tree of globally ordered shingles. A set walks the tree with one overlap for
    each edge, shared by all sets below it; subtrees go as soon as the overlap and what remains of both lengths cannot
    reach the threshold, or when all their sets are already connected with the walker.
@@ -28,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerloom.llm.common import blank_words, mixed, packed, slices, written
 
 HEAVY = 1_000_000
-HEAVY_FROM = 16
+HEAVY_FROM = 4
 SPLIT = 1500
 _LEAST = -(1 << 63)
 
@@ -82,12 +83,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def heavy_shingles(rows: DataFrame, words: int) -> np.ndarray:
     """The most repeated shingles: those that tasks have seen in several documents, at most HEAVY of them. It only sets the order."""
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        u, n = np.unique(np.concatenate(held), return_counts=True)
+        u, n = u[n > 1], n[n > 1]
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            for _, texts in slices(batch, limit=4 << 20):
-                u, n = np.unique(shingles(texts, words)[0], return_counts=True)
-                u, n = u[n > 1], n[n > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["shingle", "n"])
+            for _, texts in slices(batch):
+                held.append(shingles(texts, words)[0])
+                if sum(map(len, held)) > 4_000_000:
+                    yield counted(held)
+                    held = []
+        if held:
+            yield counted(held)
 
     seen = rows.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_FROM)
     top = seen.orderBy(F.desc("n"), "shingle").limit(HEAVY).select("shingle").toPandas()
@@ -219,85 +229,77 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, split: int = SPLIT
     members = sketches.select("doc_id", "n", "a", "b").join(classes.select("n", "a", "b", "class_id"), ["n", "a", "b"], "left")
     members = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
-    posted = classes.select("class_id", F.explode("prefix").alias("shingle"))
-    leaders = posted.groupBy("shingle").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("shingle", "leader")
-    sent = written(posted.join(leaders, "shingle").select("class_id", "leader").distinct())
-    sizes = sent.groupBy("leader").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / split))
-    dealt = sent.join(sizes.select("leader", "parts"), "leader")
+    posted = classes.select("class_id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("shingle"))
+    by_size = Window.partitionBy("shingle").orderBy("n", "class_id")
+    fits = lambda small, large: F.coalesce(100 * small.cast("long") >= percent * large.cast("long"), F.lit(False))
+    posted = posted.withColumn("after", fits(F.lag("n").over(by_size), F.col("n"))).withColumn("before", fits(F.col("n"), F.lead("n").over(by_size)))
+    head = F.last(F.when(~F.col("after"), F.col("class_id")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+    sent = written(posted.withColumn("leader", head).where("after OR before").select("class_id", "leader").distinct())
+    sizes = sent.groupBy("leader").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / split).cast("int"))
     part = F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")
     # the leader stands in all parts of its group
-    dealt = dealt.select("class_id", "leader", "parts", F.when(F.col("class_id") == F.col("leader"), F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).otherwise(F.array(part)).alias("in_parts"))
-    wanted = dealt.groupBy("class_id").agg(F.collect_list(F.struct("leader", "in_parts")).alias("to"))
+    in_parts = F.when(F.col("class_id") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
+    dealt = sent.join(sizes.select("leader", "parts"), "leader").select("class_id", "leader", "parts", in_parts.alias("in_parts"))
+    texts = packed(rows.withColumnRenamed("doc_id", "class_id"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, "body"):
-                v, at = shingles(texts, words)
-                lead, no, ids, out = [], [], [], []
-                for i, (c, to) in enumerate(zip(part.column("class_id").to_pylist(), part.column("to").to_pylist())):
-                    s = ordered(v[at[i] : at[i + 1]], heavy.value).tobytes()
-                    for t in to:
-                        for p in t["in_parts"]:
-                            lead.append(t["leader"]), no.append(p), ids.append(c), out.append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["leader", "part", "class_id", "elements"])
-
-    # rows with one id are one document: the sets of all its rows are sent
-    texts = packed(rows.withColumnRenamed("doc_id", "class_id")).join(wanted, "class_id").select("class_id", "body", "to")
-    shipped = texts.mapInArrow(sets, "leader long, part int, class_id long, elements binary")
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lead, no, ids, elements in _groups(batches):
-            found = connect(elements, percent)
+    def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lead, no, ids, bodies, _ in _groups(batches):
+            found = connect(_sets(bodies, words, heavy.value), percent)
             far = _apart(len(ids), found, ids.index(lead) if lead in ids else 0)
             yield _linked([ids[i] for i, _ in found], [ids[j] for _, j in found], [False] * len(found), lead, no)
             yield _linked([ids[i] for i in far], [ids[i] for i in far], [True] * len(far), lead, no)
 
-    by_group = shipped.repartition("leader", "part").sortWithinPartitions("leader", "part", "class_id")
-    first = written(by_group.mapInArrow(inside, "a long, b long, apart boolean, leader long, part int"))
+    first = written(_shipped(texts, dealt, F.lit(False)).mapInArrow(connected, _FOUND))
+    pairs = first.where("NOT apart").select("a", "b")
     big = sizes.where("parts > 1").select("leader", "parts")
-    apart = first.where("apart").select(F.col("a").alias("class_id"), "leader", "part").join(big, "leader")
+    apart = first.where("apart").select(F.col("a").alias("class_id"), "leader").join(big, "leader").distinct()
     if apart.isEmpty():
-        return members, first.where("NOT apart").select("a", "b")
-    return members, first.where("NOT apart").select("a", "b").unionByName(_between(texts, apart, dealt, sets, percent))
+        return members, pairs
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes that are not connected with their large group's leader against those in all of its parts."""
+        for lead, no, ids, bodies, walks in _groups(batches):
+            found = connect(_sets(bodies, words, heavy.value), percent, walkers=np.flatnonzero(walks).tolist())
+            yield _linked([ids[i] for i, _ in found], [ids[j] for _, j in found], [False] * len(found), lead, no)
 
+    walking = apart.withColumn("in_parts", F.sequence(F.lit(0), F.col("parts") - 1)).withColumn("walks", F.lit(True))
+    standing = dealt.join(apart.select("leader").distinct(), "leader", "left_semi").withColumn("walks", F.lit(False))
+    both = walking.unionByName(standing.select(walking.columns))
+    return members, pairs.unionByName(_shipped(texts, both, F.col("walks")).mapInArrow(across, _FOUND).select("a", "b"))
 
-def _between(texts: DataFrame, apart: DataFrame, dealt: DataFrame, sets, percent: int) -> DataFrame:
-    """Links of classes that are not connected with their large group's leader with the classes in its other parts."""
-    there = F.sequence(F.lit(0), F.col("parts").cast("int") - 1)
-    walking = apart.select("class_id", "leader", F.transform(there, lambda p: p).alias("in_parts"), F.lit(True).alias("walks"))
-    standing = dealt.where("parts > 1").select("class_id", "leader", "in_parts", F.lit(False).alias("walks"))
-    out = []
-    for rows in (walking, standing):
-        to = rows.groupBy("class_id").agg(F.collect_list(F.struct("leader", "in_parts")).alias("to"))
-        sent = texts.select("class_id", "body").join(to, "class_id").select("class_id", "body", "to")
-        out.append(sent.mapInArrow(sets, "leader long, part int, class_id long, elements binary").withColumn("walks", F.lit(rows is walking)))
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lead, no, ids, elements in _groups(batches):
-            stand = [i for i, x in enumerate(ids) if not x[1]]
-            walk = [i for i, x in enumerate(ids) if x[1]]
-            found = connect([elements[i] for i in stand + walk], percent, walkers=list(range(len(stand), len(ids))))
-            at = stand + walk
-            yield _linked([ids[at[i]][0] for i, _ in found], [ids[at[j]][0] for _, j in found], [False] * len(found), lead, no)
+_FOUND = "a long, b long, apart boolean, leader long, part int"
+
+
+def _shipped(texts: DataFrame, dealt: DataFrame, walks: Column) -> DataFrame:
+    """(leader, part, class_id, walks, body) for all parts that a class goes to, whole parts together in order."""
+    to = dealt.groupBy("class_id").agg(F.collect_list(F.struct("leader", "in_parts", walks.alias("walks"))).alias("to"))
+    each = texts.join(to, "class_id").select("class_id", "body", F.explode("to").alias("t")).select(F.col("t.leader").alias("leader"), F.explode("t.in_parts").alias("part"), "class_id", F.col("t.walks").alias("walks"), "body")
+    return each.repartition("leader", "part").sortWithinPartitions("leader", "part", "class_id", "walks")
+
 
-    both = out[0].unionByName(out[1]).repartition("leader", "part").sortWithinPartitions("leader", "part", "class_id", "walks")
-    return both.mapInArrow(across, "a long, b long, apart boolean, leader long, part int").select("a", "b")
+def _sets(bodies: list[bytes], words: int, heavy: np.ndarray) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, texts in slices(pa.RecordBatch.from_arrays([pa.array(bodies, pa.large_binary())], ["body"]), "body"):
+        v, at = shingles(texts, words)
+        out += [ordered(v[at[i] : at[i + 1]], heavy) for i in range(len(texts))]
+    return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list[np.ndarray]]]:
-    """(leader, part, ids, sets) of each part of a group; the batches stand in order. With a column ``walks`` an id is (id, walks)."""
-    key, ids, sets = None, [], []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[int], list[bytes], list[bool]]]:
+    """(leader, part, ids, bodies, walks) of each part of a group; the batches stand in order."""
+    key, ids, bodies, walks = None, [], [], []
     for b in batches:
-        names = [c for c in ("leader", "part", "class_id", "elements", "walks") if c in b.schema.names]
-        for lead, no, c, s, *walks in zip(*(b.column(x).to_pylist() for x in names)):
+        for lead, no, c, w, body in zip(*(b.column(x).to_pylist() for x in ("leader", "part", "class_id", "walks", "body"))):
             if (lead, no) != key:
                 if len(ids) > 1:
-                    yield *key, ids, sets
-                key, ids, sets = (lead, no), [], []
-            ids.append((c, *walks) if walks else c)
-            sets.append(np.frombuffer(s, np.uint64))
+                    yield *key, ids, bodies, walks
+                key, ids, bodies, walks = (lead, no), [], [], []
+            ids.append(c)
+            bodies.append(body)
+            walks.append(w)
     if len(ids) > 1:
-        yield *key, ids, sets
+        yield *key, ids, bodies, walks
 
 
 def _apart(n: int, found: list[tuple[int, int]], leader: int) -> list[int]:
