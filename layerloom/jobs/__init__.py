@@ -1 +1,13 @@
-"""Transcript layering jobs on Spark."""
+"""Registered queries and their SQL."""
+
+
+def queries() -> dict:
+    from layerloom.jobs import library, queries, replies  # noqa: F401  (the last two register theirs with the first)
+
+    return dict(queries.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from layerloom.jobs import library_oracles, oracles, replies
+
+    return oracles.SQL | library_oracles.SQL | replies.SQL
