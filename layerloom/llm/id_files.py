@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from layerloom.llm import tokens
 from layerloom.llm.common import packed, ranged, scratch_dir, unpacked
 
-BLOCK = 4096
+BLOCK = 2048
 #: Ids of a segment: blocks that are coded in step; and UTF-8 bytes that are tokenised at once.
 SEGMENT = 2_000_000
 STEP_BYTES = 1 << 20
