@@ -9,12 +9,10 @@ the product of its children's, so the score mixes the estimates of all depths by
 2. Grams go by the two bytes next to the coded one to tasks that compute the subtrees from depth 2 down: the weighted
    probabilities from the deepest contexts up. The sums for the two upper levels, at most 65,535 nodes, go to the
    driver.
-3. Since training is over, the mixture at a node is fixed, so P(bit) at each node, and the log probability of each
-   byte seen in a context, become tables. They hold the contexts with the largest counts, ``TABLE`` grams in all: the
-   bound of the broadcast. Counts and weights cover the whole corpus; a context that is not kept is scored at its
-   longest kept suffix, so probabilities still add up to one.
-4. Texts are scored where they stand: a byte seen in its longest kept context by one look-up, another bit by bit, each
-   bit at its deepest node.
+3. Since training is over, the mixture at a node is fixed, and so is the log probability of a gram, each bit at its
+   deepest node. The tasks of step 2 give it for every gram of any text, held out or not, by the whole tree.
+4. The most frequent grams, ``TABLE`` at most, are broadcast and score texts where they stand. A text's other grams
+   find their log probabilities by a join, so ``TABLE`` bounds the broadcast and changes no score.
 
 The base takes the counts of all training tokens. The ``HEAD`` most frequent words are broadcast; the rest of a
 text's words find their counts by a join, which carries only rare words.
@@ -222,8 +220,30 @@ class Scorer:
         return np.log10(np.where(bit, p, 1 - p)).reshape(-1, 8).sum(1)
 
 
+def path_logs(levels: list[Levels], key: np.ndarray, depth: int) -> np.ndarray:
+    """log10 P of the coded byte of any grams of ``depth``, each bit at its deepest node of the tree. ``levels``: deep parts first."""
+    byte = key & 255
+    node, i = np.unique((((key >> 8) << 8)[:, None] | (1 << _BITS) | (byte[:, None] >> (8 - _BITS))).ravel(), return_inverse=True)
+    p = np.full(len(node), 0.5)
+    left = np.arange(len(node))
+    for part in levels:
+        for d in range(min(part.deepest, depth), part.top - 1, -1):
+            k = cut(node[left], d)
+            known = np.isin(k, part.node[d])
+            p[left[known]] = mixed_ones(levels, k[known], d)
+            left = left[~known]
+    bit = ((byte[:, None] >> (7 - _BITS)) & 1) == 1
+    q = p[i].reshape(-1, 8)
+    return np.log10(np.where(bit, q, 1 - q)).sum(1)
+
+
 def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
     """(gram, n) over all texts."""
+    return _part_counts(docs, depth).groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _part_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """(gram, n), a gram several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -240,7 +260,7 @@ def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
                         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield _counted(*_added(keys, counts, pending))
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "gram long, n long")
 
 
 def _added(keys, counts, pending):
@@ -270,38 +290,73 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _whole_contexts(batches: Iterator[pa.RecordBatch], size: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(grams, counts) of about ``size`` grams, never parting those with one pair of nearest bytes; the batches stand in order of it."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _whole_contexts(batches: Iterator[pa.RecordBatch], size: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns, grams first, of about ``size`` grams, never parting those with one pair of nearest bytes; the batches stand in order of it."""
+    held: list[tuple[np.ndarray, ...]] = []
     for b in batches:
-        held.append((b.column("gram").to_numpy(), b.column("n").to_numpy()))
-        if sum(len(k) for k, _ in held) > size:
-            key, n = (np.concatenate(x) for x in zip(*held))
-            near = (key >> 8) & 65535
+        held.append(tuple(c.to_numpy() for c in b.columns))
+        if sum(len(x[0]) for x in held) > size:
+            cols = [np.concatenate(x) for x in zip(*held)]
+            near = (cols[0] >> 8) & 65535
             end = int(np.flatnonzero(near != near[-1])[-1]) + 1 if (near != near[-1]).any() else 0
             if end:
-                yield key[:end], n[:end]
-            held = [(key[end:], n[end:])]
-    if held and sum(len(k) for k, _ in held):
+                yield tuple(c[:end] for c in cols)
+            held = [tuple(c[end:] for c in cols)]
+    if held and sum(len(x[0]) for x in held):
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def train(counts: DataFrame, depth: int = DEPTH, table: int = TABLE) -> Scorer:
-    """From gram counts of depth 2 or more. ``counts`` is read three times."""
-    spark = counts.sparkSession
-    dealt = counts.withColumn("near", F.expr("CAST((gram >> 8) & 65535 AS int)")).repartition("near").sortWithinPartitions("near").select("gram", "n")
+def _dealt(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("near", F.expr("CAST((gram >> 8) & 65535 AS int)")).repartition("near").sortWithinPartitions("near").drop("near")
+
+
+def upper_levels(counts: DataFrame, depth: int) -> Levels:
+    """Depths 0 and 1 of the tree, from gram counts of depth 2 or more."""
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n in _whole_contexts(batches):
             _, node, n0, n1, w = Levels.subtrees(key, n, 2, depth)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cut(node, 1), n0, n1, w)], ["node", "n0", "n1", "w"])
 
-    rows = dealt.mapInArrow(roots, "node long, n0 double, n1 double, w double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toPandas().sort_values("node")
+    rows = _dealt(counts.select("gram", "n")).mapInArrow(roots, "node long, n0 double, n1 double, w double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toPandas().sort_values("node")
     upper = Levels(0)
     node, n0, n1, kids = (rows[c].to_numpy() for c in ("node", "n0", "n1", "w"))
     weighted = upper.add(1, node.astype(np.int64), n0, n1, kids)
     node, n0, n1, kids = summed(cut(node.astype(np.int64), 0), n0, n1, weighted)
     upper.add(0, node, n0, n1, kids)
+    return upper
+
+
+def gram_values(counts: DataFrame, depth: int) -> DataFrame:
+    """(gram, value, total): the log10 probability of each gram. ``counts``: (gram, n, total), n in the training texts, 0 if only others have it; read twice."""
+    held = counts.sparkSession.sparkContext.broadcast(upper_levels(counts.where("n > 0"), depth))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, total in _whole_contexts(batches):
+            part = Levels.subtrees(key[n > 0], n[n > 0], 2, depth)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(path_logs([part, held.value], key, depth)), pa.array(total)], ["gram", "value", "total"])
+
+    return _dealt(counts.select("gram", "n", "total")).mapInArrow(run, "gram long, value double, total long")
+
+
+def frequent(values: DataFrame, table: int) -> tuple[pa.Table, DataFrame]:
+    """(gram, value) of the most frequent grams, ``table`` at most, and of all others."""
+    step = F.floor(F.log2("total") * 8).cast("int")
+    least, held = 1 << 30, 0
+    for r in values.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        held += r.n
+        if held > table:
+            break
+        least = r.step
+    pairs = values.select("gram", "value")
+    return pairs.where(step >= least).toArrow(), pairs.where(step < least)  # the first is bounded by the table
+
+
+def train(counts: DataFrame, depth: int = DEPTH, table: int = TABLE) -> Scorer:
+    """A model of bounded size, for look-ups on one machine, from gram counts of depth 2 or more: the contexts with the largest counts, ``table`` grams in all; others count as their longest kept suffix. ``text_scores`` takes the whole tree."""
+    spark = counts.sparkSession
+    dealt = _dealt(counts.select("gram", "n"))
+    upper = upper_levels(counts, depth)
     held = spark.sparkContext.broadcast(upper)
 
     # contexts by size: the least count of a context for which all grams of the larger ones fit the table
@@ -363,12 +418,27 @@ def _entries(levels: list[Levels], key: np.ndarray, depth: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), depth, np.int32)), pa.array(np.full(len(k), is_gram)), pa.array(k), pa.array(v)], ["depth", "gram", "key", "value"])
 
 
+def _listed(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Distinct grams of each of ``n`` texts, and how often they stand there, as lists."""
+    by = np.lexsort((key, doc))
+    doc, key = doc[by], key[by]
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))) if len(key) else by
+    times = np.diff(np.append(first, len(key))).astype(np.int32)
+    at = pa.array(np.searchsorted(doc[first], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(at, pa.array(key[first])), pa.ListArray.from_arrays(at, pa.array(times))
+
+
 def text_scores(docs: DataFrame, depth: int = DEPTH, table: int = TABLE, head: int = HEAD) -> DataFrame:
     """Per row: whether it was held out, tokens, known tokens, training tokens, the base's and the model's log10 probability."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     training = rows.where(crc_mod("doc_id", 5) != 1)
-    model = spark.sparkContext.broadcast(train(written(gram_counts(training, depth)), depth, table))
+    others = rows.where(crc_mod("doc_id", 5) == 1)
+    parts = _part_counts(training, depth).select("gram", "n", F.col("n").alias("total")).unionByName(_part_counts(others, depth).select("gram", F.lit(0).cast("long").alias("n"), F.col("n").alias("total")))
+    counts = written(parts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    often, seldom = frequent(written(gram_values(counts, depth)), table)
+    model = spark.sparkContext.broadcast((Slots(often.column("gram").to_numpy()), np.append(often.column("value").to_numpy(), 0.0)))  # 0 for those not found
+    del often
     words = written(word_counts(training))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = words.orderBy(F.desc("c"), "word").limit(head).select("word", "c").toArrow()
@@ -380,7 +450,10 @@ def text_scores(docs: DataFrame, depth: int = DEPTH, table: int = TABLE, head: i
         for batch in batches:
             for part, texts in slices(batch):
                 tokens, data, at, doc = stream(texts)
-                score = np.bincount(doc, model.value.logs(grams(data, at, depth)), len(texts))
+                key = grams(data, at, depth)
+                place = model.value[0].find(key)
+                score = np.bincount(doc, model.value[1][place], len(texts))
+                left = _listed(doc[place < 0], key[place < 0], len(texts))
                 n_tokens, n_known, base, rare, times = [], [], [], [], []
                 for w in tokens:
                     c = Counter(w)
@@ -391,13 +464,15 @@ def text_scores(docs: DataFrame, depth: int = DEPTH, table: int = TABLE, head: i
                     base.append(sum(k * known.value[x] for x, k in here.items()))
                     rare.append([x for x in c if x not in here])
                     times.append([c[x] for x in rare[-1]])
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())), *left], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times", "grams", "gram_times"])
 
-    scored = written(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"))
+    scored = written(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>, grams array<long>, gram_times array<int>"))
     each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     more = each.join(rest, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("more_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    each = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.gram_times").alias("times"))
+    more_score = each.join(seldom, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more_score"))
     total = float(np.log10(n + 0.5 * (v + 1)))
-    return scored.join(more, "row", "left").select(
+    return scored.join(more, "row", "left").join(more_score, "row", "left").select(
         "doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * total).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * total).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

@@ -378,3 +378,12 @@ def test_kept_contexts_add_up_to_one(spark, docs):
         base = sum(c << (8 * (3 - i)) for i, c in enumerate(context))
         assert (10 ** model.logs(np.arange(256) + base)).sum() == pytest.approx(1)
     assert len(key) == 3
+
+
+def test_table_bounds_the_broadcast_and_no_score(spark, docs):
+    """With few or no broadcast grams every score is that of the whole tree, held-out texts included."""
+    want = {r.doc_id: r for r in language_model.text_scores(docs, depth=4).collect()}
+    for table in (200, 0):
+        got = {r.doc_id: r for r in language_model.text_scores(docs, depth=4, table=table).collect()}
+        assert got.keys() == want.keys() and any(r.held_out for r in got.values())
+        assert all(r.score == pytest.approx(want[d].score, rel=1e-9) for d, r in got.items())
