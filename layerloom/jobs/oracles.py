@@ -92,3 +92,6 @@ SQL = {
       SELECT query_id, place, chunk_id, layer, id, similarity FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, list_position(['chunk', 'proposition', 'claim', 'phrase'], layer), id) AS place, chunk_id, layer, id, round(1 - distance, 4) AS similarity FROM one WHERE b = 1) WHERE place <= 20""",
     "claim_dedupe": f"WITH {_VEC} SELECT c.id, c.chunk_id, coalesce(max(list_cosine_similarity(c.e, p.e)), -1) >= 0.2 AS dropped FROM v c LEFT JOIN v p ON p.chunk_id = c.chunk_id AND p.layer = 'proposition' WHERE c.layer = 'claim' GROUP BY c.id, c.chunk_id",
 }
+
+_ALL = _HITS.replace("q.id < 5 AND v.id >= 5", "q.id % 20 = 0")
+SQL |= {name + "_all": SQL[name].replace(_HITS, _ALL) for name in ("topk_layers", "topk_retrieve")}

@@ -209,6 +209,22 @@ def topk_retrieve(spark, d):
     return retrieval.best_chunks(retrieval.layer_hits(_vectors(spark, d).where("id >= 5"), _queries(spark, d), 0.20, 0.25))
 
 
+def _all_hits(spark, d):
+    queries = _vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return retrieval.layer_hits(_vectors(spark, d), queries, 0.20, 0.25)
+
+
+@query
+def topk_layers_all(spark, d):
+    """Every twentieth row as a query against all rows."""
+    return _all_hits(spark, d).select("query_id", "layer", "id", F.round("distance", 4).alias("distance"))
+
+
+@query
+def topk_retrieve_all(spark, d):
+    return retrieval.best_chunks(_all_hits(spark, d))
+
+
 @query
 def claim_dedupe(spark, d):
     return retrieval.distinct_claims(_vectors(spark, d), 0.20)

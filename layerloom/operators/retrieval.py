@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerloom import config
 from layerloom.functions.vectors import cosine
 
+#: Bytes of query vectors that are broadcast at once.
+QUERY_BLOCK = 32 << 20
 LAYER_RANK = {"chunk": 0, "proposition": 1, "claim": 2, "phrase": 3}
 
 
-def layer_hits(items: DataFrame, queries: DataFrame, threshold: float = config.RETRIEVAL_THRESHOLD, phrase_threshold: float = config.PHRASE_THRESHOLD, limit: int = config.LAYER_LIMIT) -> DataFrame:
-    """(query_id, layer, id, chunk_id, distance): the nearest items of each layer within its threshold. ``queries`` is a stated set that every item meets."""
+def layer_hits(items: DataFrame, queries: DataFrame, threshold: float = config.RETRIEVAL_THRESHOLD, phrase_threshold: float = config.PHRASE_THRESHOLD, limit: int = config.LAYER_LIMIT, block_bytes: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, layer, id, chunk_id, distance): the nearest items of each layer within its threshold. Every item meets every query.
+
+    The queries are broadcast in blocks of about ``block_bytes``. With more than one, a block's hits, ``limit`` a query
+    and layer, are written before the next block starts, so one block is held at a time.
+    """
+    size = queries.agg(F.sum(F.size("embedding").cast("long") * 8 + 16)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    if blocks == 1:
+        return _block_hits(items, queries, threshold, phrase_threshold, limit)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_written(_block_hits(items, queries.where(block == b), threshold, phrase_threshold, limit)) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/layerloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _block_hits(items: DataFrame, queries: DataFrame, threshold: float, phrase_threshold: float, limit: int) -> DataFrame:
     near = items.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("query"))))
     near = near.select("query_id", "layer", "id", "chunk_id", (1 - cosine("embedding", "query")).alias("distance"))
     most = F.when(F.col("layer") == "phrase", 1 - phrase_threshold).otherwise(1 - threshold)

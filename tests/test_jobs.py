@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from layerloom.functions import text as T
-from layerloom.operators import chunking, layers
+from layerloom.jobs.queries import QUERIES, _vectors
+from layerloom.operators import chunking, layers, retrieval
 
 
 def one(spark, value, column):
@@ -67,3 +69,22 @@ def test_lookback_golden_counts(spark):
     rows = [(f"{c}:propositions:{i}", c, 42, "x", i >= done) for c, (done, left) in calls.items() for i in range(done + left)]
     r = layers.lookback_summary(spark.createDataFrame(rows, "item_id string, chunk_id long, episode_id long, content string, needs_lookback boolean")).first()
     assert (r.flagged, r.calls, r.resolved, r.still_unresolved) == (32, 5, 30, "3:propositions:1,6:propositions:6")
+
+
+def test_every_twentieth_row_is_a_query_in_blocks(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    e = rng.standard_normal((130, 6)).round(3)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = e / np.linalg.norm(e, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 130, 20):
+        d = 1 - unit @ unit[q]
+        for k, layer in enumerate(("chunk", "proposition", "claim", "phrase")):
+            near = sorted((d[i], i) for i in range(k, 130, 4) if d[i] <= (0.75 if layer == "phrase" else 0.8))[:20]
+            want |= {(q, layer, i) for _, i in near}
+    key = lambda rows: {(r.query_id, r.layer, r.id) for r in rows}
+    assert key(QUERIES["topk_layers_all"](spark, str(tmp_path)).collect()) == want
+    items = _vectors(spark, str(tmp_path))
+    asked = items.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    got = retrieval.layer_hits(items, asked, 0.20, 0.25, block_bytes=150).collect()
+    assert key(got) == want and len(got) == len(want)
