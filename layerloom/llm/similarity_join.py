@@ -349,7 +349,19 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90, split: int = SPLI
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all columns; documents without words all stay."""
-    found = groups(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group, the one with the smallest id, with all columns; documents without words all stay.
+
+    Here a document is an id with a text: rows that share an id, or have none, but hold different texts are linked and
+    kept each by its own text. Rows equal in both are one document, but for those without id and words.
+    """
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).withColumn("_text_hash", F.xxhash64("text"))
+    keyed = keyed.withColumn("_key", F.xxhash64("_id", F.coalesce("text", F.lit(""))))
+    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = keyed.where(~loose)
+    found = groups(rows.select(F.col("_key").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = rows.select("_key", "_id", "_text_hash").distinct()
+    first = found.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_text_hash", "_key")).alias("first")).select(F.col("first._key").alias("_key"))
+    others = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(others))
+    kept = rows.join(first, "_key", "left_semi").withColumn("_place", place).where("_place = 1")
+    return kept.select(docs.columns).unionByName(keyed.where(loose).select(docs.columns))

@@ -294,6 +294,17 @@ def test_jaccard_cases(spark, docs):
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in want.items() if d == c}
 
 
+def test_keep_first_tells_texts_apart(spark):
+    """Null ids, and one id with two texts, are documents of their own; only equal or linked texts collapse."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:59], "other"])
+    rows = [(None, "one two three four five six"), (None, "red green blue black white grey"), (None, "one two three four five six"), (None, ""), (None, " "),
+            (4, "an id with its first text here"), (4, " ".join(words)), (4, " ".join(words)), (9, near), (3, "a b c d e f g"), (8, "a b c d e f g"), (5, ""), (6, None)]
+    kept = similarity_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [rows[i] for i in (0, 1, 3, 4, 5, 6, 9, 11, 12)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 700), (700, 600), (9, 9)]
     got = {r.id: r.component_id for r in similarity_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
