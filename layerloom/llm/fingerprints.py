@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from layerloom.llm.common import CHUNK_BYTES, byte_hash, joined, packed, ranged, ranges, slices, sliding_min, span_hash, unpacked
 
-GRAM = 16
-WINDOW = 48
+GRAM = 8
+WINDOW = 9
 _ENTRY = np.dtype([("gap", "<u2"), ("hash", "<u4")])
 _LAST = np.uint64(0xFFFFFFFF)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -216,6 +216,14 @@ def test_fingerprints(spark, docs):
     assert fingerprints.compare_edited(empty(spark)).count() == 0
 
 
+def test_short_documents_share_an_entry_with_their_edit(spark):
+    """From 32 bytes on, a text whose first half stays verbatim always keeps a common entry."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("abcdefghij ") for _ in range(32 + i % 96))) for i in range(300)]
+    got = fingerprints.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 300 and all(r.near_edited > 0 for r in got)
+
+
 @pytest.mark.parametrize("n, kinds", [(0, 1), (1, 5), (4096, 3), (5000, 60000), (12345, 40), (9000, 1)])
 def test_coder_round_trip(n, kinds):
     ids = np.random.default_rng(n).integers(0, kinds, n)
