@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step handles; the arrays of a step take some fifty times that.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch on its way to a Python task.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +39,27 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` with so many underscores that no column is called so, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with batches of at most about ``BATCH_BYTES``, so that a task never holds thousands of long texts at once."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = conf.get(name).rstrip("b")
+    if have.isdigit() and int(have) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def ranged(rows: DataFrame) -> tuple[DataFrame, int]:
-    """``rows`` with ``part``: ranges of ascending doc_id of about equal numbers, a null id first; and the number of partitions to deal them to."""
+    """``rows`` with ``part``: ranges of ascending doc_id of about equal numbers, a null id first; and the number of ranges. ``repartitionById`` on ``part`` gives each its own task."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({int(x) for x in rows.select("doc_id").approxQuantile("doc_id", [i / (2 * parts) for i in range(1, 2 * parts)], 0.2 / parts)})
+    cuts = sorted({int(x) for x in rows.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)})
     part = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
     return rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part)), parts
 
@@ -52,11 +71,10 @@ def crc_mod(col: str, n: int) -> Column:
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch with about ``limit`` bytes of text each (one row at least), and the texts of each part as UTF-8; null is empty. A column ``body`` is unpacked."""
-    if not batch.num_rows:
-        return
-    values = batch.column(column).cast(pa.large_binary()).fill_null(b"").to_pylist()
+    values = batch.column(column).cast(pa.large_binary())
     start, held, texts = 0, 0, []
-    for i, t in enumerate(values):
+    for i, v in enumerate(values):
+        t = v.as_py() or b""
         if column == "body":
             t = unpacked(t)
         if texts and held + len(t) > limit:
@@ -64,7 +82,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
             start, held, texts = i, 0, []
         texts.append(t)
         held += len(t)
-    yield batch.slice(start), texts
+    if texts:
+        yield batch.slice(start), texts
 
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
@@ -88,7 +107,7 @@ def packed(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(map(_pack, texts), pa.binary())], [*others, "body"])
 
     schema = T.StructType([*(rows.schema[c] for c in others), T.StructField("body", T.BinaryType())])
-    return rows.select(*others, "text").mapInArrow(run, schema)
+    return rows.select(*others, "text").transform(in_arrow, run, schema)
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,11 +9,13 @@ prefix filter).
 2. The classes that share a prefix shingle are ordered by size and parted where a neighbour is too small for its
    successor; a part of one is done, and the first class of a part is its leader. A class joins the groups of its
    leaders: any two classes that share a prefix shingle and have fitting sizes meet in a leader's group, and a class is
-   sent once for each leader, not for each shingle. What is sent is its text.
+   sent once for each leader, not for each shingle. First only histograms of the sets go there: shingles counted by
+   hash in some n / 4 buckets. The sum of the lesser counts bounds an intersection from above, so a class none of whose
+   bounds reaches the threshold leaves the group; most that meet by chance do. The others send their texts.
 3. A group stores its sets in a prefix tree of globally ordered shingles. A set walks the tree with one overlap for
    each edge, shared by all sets below it; subtrees go as soon as the overlap and what remains of both lengths cannot
    reach the threshold, or when all their sets are already connected with the walker.
-4. A group with more than ``SPLIT`` classes is dealt into parts that all have the leader. Inside a part all pairs are
+4. A group with more than ``SPLIT`` classes, or ``ELEMENTS`` shingles, is dealt into parts that all have the leader. Inside a part all pairs are
    decided. Between parts only pairs matter of which one is not connected with the leader: those classes walk the
    trees of all other parts.
 5. Links, of which each part keeps a spanning forest, are joined to components by minimum labels with pointer jumps.
@@ -32,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import blank_words, mixed, packed, slices, written
+from layerloom.llm.common import blank_words, in_arrow, mixed, packed, slices, written
 
 HEAVY = 1_000_000
 HEAVY_FROM = 4
 SPLIT = 1500
+ELEMENTS = 4_000_000
 _LEAST = -(1 << 63)
 
 
@@ -99,11 +102,43 @@ def heavy_shingles(rows: DataFrame, words: int) -> np.ndarray:
         if held:
             yield counted(held)
 
-    seen = rows.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_FROM)
+    seen = rows.select("text").transform(in_arrow, run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_FROM)
     top = seen.orderBy(F.desc("n"), "shingle").limit(HEAVY).select("shingle").toPandas()
     return np.sort(top.shingle.to_numpy(np.int64).view(np.uint64))
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """Numbers of elements by hash in a power of two of buckets, about four elements in each; 255 stands for all from there on."""
+    buckets = 1 << min(16, max(5, int(len(s) // 4).bit_length()))
+    return np.minimum(np.bincount((s >> np.uint64(24)).astype(np.int64) & (buckets - 1), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def promising(sizes: np.ndarray, histograms: list[bytes], percent: int) -> np.ndarray:
+    """Which of some sets, in order of size, may be similar enough to another by their histograms."""
+    out = np.zeros(len(sizes), bool)
+    folded: dict[int, list[np.ndarray]] = {}
+    last = np.searchsorted(sizes * percent, sizes * 100, side="right")  # beyond it sets are too large
+    for i, h in enumerate(histograms):
+        lo, hi = i + 1, int(last[i])
+        if lo >= hi or (out[i] and out[lo:hi].all()):
+            continue
+        if len(h) not in folded:  # larger sets have as many buckets or more
+            folded[len(h)] = [_folded(x, len(h)) for x in histograms]
+        rows = folded[len(h)]
+        others = np.stack(rows[lo:hi])
+        common = np.minimum(others, rows[i]).sum(1)
+        full = ((others == 255) & (rows[i] == 255)).any(1)
+        near = full | (common >= required(int(sizes[i]), sizes[lo:hi], percent))
+        out[lo:hi] |= near
+        out[i] |= near.any()
+    return out
+
+
+def _folded(h: bytes, buckets: int) -> np.ndarray:
+    x = np.frombuffer(h, np.uint8)
+    return np.minimum(x.reshape(-1, buckets).sum(0), 255).astype(np.int32) if len(x) > buckets else x.astype(np.int32)
+
+
 class PrefixTree:
     """Sets in lexicographic order; neighbours share the edge up to their common prefix. An edge is a run of elements of the first set that has it."""
 
@@ -215,17 +250,18 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, split: int = SPLIT
         for batch in batches:
             for part, texts in slices(batch):
                 v, at = shingles(texts, words)
-                a, b, n, prefix = [], [], [], []
+                a, b, n, prefix, counts = [], [], [], [], []
                 for i in range(len(texts)):
                     s = v[at[i] : at[i + 1]]
                     n.append(len(s))
                     a.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                    counts.append(histogram(s))
                     prefix.append(ordered(s, heavy.value)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else [])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "n", "a", "b", "prefix", "histogram"])
 
-    sketches = written(rows.mapInArrow(sketch, "doc_id long, n long, a long, b long, prefix array<long>"))
-    classes = sketches.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("class_id"), F.first("prefix").alias("prefix"))
+    sketches = written(rows.transform(in_arrow, sketch, "doc_id long, n long, a long, b long, prefix array<long>, histogram binary"))
+    classes = sketches.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("class_id"), F.first("prefix").alias("prefix"), F.first("histogram").alias("histogram"))
     members = sketches.select("doc_id", "n", "a", "b").join(classes.select("n", "a", "b", "class_id"), ["n", "a", "b"], "left")
     members = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
@@ -234,38 +270,51 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, split: int = SPLIT
     fits = lambda small, large: F.coalesce(100 * small.cast("long") >= percent * large.cast("long"), F.lit(False))
     posted = posted.withColumn("after", fits(F.lag("n").over(by_size), F.col("n"))).withColumn("before", fits(F.col("n"), F.lead("n").over(by_size)))
     head = F.last(F.when(~F.col("after"), F.col("class_id")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
-    sent = written(posted.withColumn("leader", head).where("after OR before").select("class_id", "leader").distinct())
-    sizes = sent.groupBy("leader").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / split).cast("int"))
+    sent = written(posted.withColumn("leader", head).where("after OR before").select("class_id", "n", "leader").distinct())
+    parts = F.ceil(F.greatest(F.count("*") / split, F.sum("n") / ELEMENTS)).cast("int")
+    sizes = sent.groupBy("leader").agg(parts.alias("parts"))
+    joined = sent.join(sizes, "leader")
     part = F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")
     # the leader stands in all parts of its group
     in_parts = F.when(F.col("class_id") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
-    dealt = sent.join(sizes.select("leader", "parts"), "leader").select("class_id", "leader", "parts", in_parts.alias("in_parts"))
+    large = joined.where("parts > 1").select("class_id", "leader", "parts", in_parts.alias("in_parts"))
+
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The classes of a group that may have a link there."""
+        for lead, ids, n, histograms in _grouped(batches, ["leader"], ["class_id", "n", "histogram"]):
+            stay = promising(np.array(n, np.int64), histograms, percent)
+            some = [i for i, s in zip(ids, stay.tolist()) if s]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([lead[0]] * len(some), pa.int64())], ["class_id", "leader"])
+
+    small = joined.where("parts = 1").select("class_id", "leader").join(classes.select("class_id", F.col("n").cast("int").alias("n"), "histogram"), "class_id")
+    small = small.repartition("leader").sortWithinPartitions("leader", "n", "class_id").select("leader", "class_id", "n", "histogram").transform(in_arrow, sifted, "class_id long, leader long")
+    dealt = written(small.select("class_id", "leader", F.lit(1).alias("parts"), F.array(F.lit(0)).alias("in_parts")).unionByName(large))
     texts = packed(rows.withColumnRenamed("doc_id", "class_id"))
 
     def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lead, no, ids, bodies, _ in _groups(batches):
+        for (lead, no), ids, bodies, _ in _grouped(batches, ["leader", "part"], ["class_id", "body", "walks"]):
             found = connect(_sets(bodies, words, heavy.value), percent)
             far = _apart(len(ids), found, ids.index(lead) if lead in ids else 0)
             yield _linked([ids[i] for i, _ in found], [ids[j] for _, j in found], [False] * len(found), lead, no)
             yield _linked([ids[i] for i in far], [ids[i] for i in far], [True] * len(far), lead, no)
 
-    first = written(_shipped(texts, dealt, F.lit(False)).mapInArrow(connected, _FOUND))
+    first = written(_shipped(texts, dealt, F.lit(False)).transform(in_arrow, connected, _FOUND))
     pairs = first.where("NOT apart").select("a", "b")
-    big = sizes.where("parts > 1").select("leader", "parts")
+    big = sizes.where("parts > 1")
     apart = first.where("apart").select(F.col("a").alias("class_id"), "leader").join(big, "leader").distinct()
     if apart.isEmpty():
         return members, pairs
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Classes that are not connected with their large group's leader against those in all of its parts."""
-        for lead, no, ids, bodies, walks in _groups(batches):
+        for (lead, no), ids, bodies, walks in _grouped(batches, ["leader", "part"], ["class_id", "body", "walks"]):
             found = connect(_sets(bodies, words, heavy.value), percent, walkers=np.flatnonzero(walks).tolist())
             yield _linked([ids[i] for i, _ in found], [ids[j] for _, j in found], [False] * len(found), lead, no)
 
     walking = apart.withColumn("in_parts", F.sequence(F.lit(0), F.col("parts") - 1)).withColumn("walks", F.lit(True))
     standing = dealt.join(apart.select("leader").distinct(), "leader", "left_semi").withColumn("walks", F.lit(False))
     both = walking.unionByName(standing.select(walking.columns))
-    return members, pairs.unionByName(_shipped(texts, both, F.col("walks")).mapInArrow(across, _FOUND).select("a", "b"))
+    return members, pairs.unionByName(_shipped(texts, both, F.col("walks")).transform(in_arrow, across, _FOUND).select("a", "b"))
 
 
 _FOUND = "a long, b long, apart boolean, leader long, part int"
@@ -286,20 +335,19 @@ def _sets(bodies: list[bytes], words: int, heavy: np.ndarray) -> list[np.ndarray
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[int], list[bytes], list[bool]]]:
-    """(leader, part, ids, bodies, walks) of each part of a group; the batches stand in order."""
-    key, ids, bodies, walks = None, [], [], []
+def _grouped(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[tuple]:
+    """(key, list of each column) of each group of more than one row; the batches stand in order of the key."""
+    key, held = None, [[] for _ in columns]
     for b in batches:
-        for lead, no, c, w, body in zip(*(b.column(x).to_pylist() for x in ("leader", "part", "class_id", "walks", "body"))):
-            if (lead, no) != key:
-                if len(ids) > 1:
-                    yield *key, ids, bodies, walks
-                key, ids, bodies, walks = (lead, no), [], [], []
-            ids.append(c)
-            bodies.append(body)
-            walks.append(w)
-    if len(ids) > 1:
-        yield *key, ids, bodies, walks
+        for k, *row in zip(zip(*(b.column(x).to_pylist() for x in by)), *(b.column(x).to_pylist() for x in columns)):
+            if k != key:
+                if len(held[0]) > 1:
+                    yield key, *held
+                key, held = k, [[] for _ in columns]
+            for x, v in zip(held, row):
+                x.append(v)
+    if len(held[0]) > 1:
+        yield key, *held
 
 
 def _apart(n: int, found: list[tuple[int, int]], leader: int) -> list[int]:
