@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import LOWER, byte_hash, joined, ranges, slices, span_hash, word_spans
+from layerloom.llm.common import LOWER, byte_hash, in_arrow, joined, ranges, slices, span_hash, word_spans
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -211,7 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                      pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]), pa.array([x > 0 for x in n_hit]), pa.array(items, pa.list_(pa.int64()))],
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, VERDICT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, run, VERDICT)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -228,7 +228,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                         doc = shard.doc_of(place)
                         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (block.item_ids[block.item[s]], block.pos[s], ids[doc], place - shard.begin[doc], n)], ["item_id", "item_pos", "doc_id", "doc_pos", "n_words"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MATCH)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, run, MATCH)
     best = F.min(F.struct((-F.col("n_words")).alias("n"), "doc_id", "doc_pos")).alias("m")
     return found.groupBy("item_id", "item_pos").agg(best).select("item_id", "item_pos", F.col("m.doc_id"), F.col("m.doc_pos"), (-F.col("m.n")).alias("n_words"))
 
@@ -243,4 +243,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 shard, _ = _matched(texts, tests)
                 yield part.filter(pa.array([x == 0 for x in shard.verdicts()[0]]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import CHUNK_BYTES, byte_hash, joined, packed, ranged, ranges, slices, sliding_min, span_hash, unpacked
+from layerloom.llm.common import CHUNK_BYTES, byte_hash, in_arrow, joined, packed, ranged, ranges, slices, sliding_min, span_hash, unpacked
 
 GRAM = 8
 WINDOW = 9
@@ -105,7 +105,7 @@ def fingerprint(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
             for part, texts in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(encoded, fingerprints(texts, gram, window)), pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, run, "doc_id long, fingerprint string")
 
 
 def followed(docs: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def followed(docs: DataFrame) -> DataFrame:
     tails = heads.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("part", F.lit(1).alias("tail"), "doc_id", "text")
     both = rows.select("part", F.lit(0).alias("tail"), "doc_id", "text").unionByName(tails)
     both = packed(both.withColumn("text_hash", F.xxhash64("text")))
-    return both.repartition(parts, "part").sortWithinPartitions("part", "tail", "doc_id", "text_hash")
+    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "tail", "doc_id", "text_hash")
 
 
 def compare_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -155,4 +155,4 @@ def compare_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
                     held, size = held[-1:], len(held[-1][3])
         yield finish(held)
 
-    return followed(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return followed(docs).transform(in_arrow, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

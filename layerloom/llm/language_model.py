@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import crc_mod, ranges, slices, written
+from layerloom.llm.common import crc_mod, in_arrow, ranges, slices, written
 
 DEPTH = 5
 TABLE = 500_000
@@ -260,7 +260,7 @@ def _part_counts(docs: DataFrame, depth: int) -> DataFrame:
                         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield _counted(*_added(keys, counts, pending))
 
-    return docs.select("text").mapInArrow(run, "gram long, n long")
+    return docs.select("text").transform(in_arrow, run, "gram long, n long")
 
 
 def _added(keys, counts, pending):
@@ -287,7 +287,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     held = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "c"])
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").transform(in_arrow, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _whole_contexts(batches: Iterator[pa.RecordBatch], size: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
@@ -318,7 +318,7 @@ def upper_levels(counts: DataFrame, depth: int) -> Levels:
             _, node, n0, n1, w = Levels.subtrees(key, n, 2, depth)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cut(node, 1), n0, n1, w)], ["node", "n0", "n1", "w"])
 
-    rows = _dealt(counts.select("gram", "n")).mapInArrow(roots, "node long, n0 double, n1 double, w double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toPandas().sort_values("node")
+    rows = _dealt(counts.select("gram", "n")).transform(in_arrow, roots, "node long, n0 double, n1 double, w double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toPandas().sort_values("node")
     upper = Levels(0)
     node, n0, n1, kids = (rows[c].to_numpy() for c in ("node", "n0", "n1", "w"))
     weighted = upper.add(1, node.astype(np.int64), n0, n1, kids)
@@ -336,7 +336,7 @@ def gram_values(counts: DataFrame, depth: int) -> DataFrame:
             part = Levels.subtrees(key[n > 0], n[n > 0], 2, depth)[0]
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(path_logs([part, held.value], key, depth)), pa.array(total)], ["gram", "value", "total"])
 
-    return _dealt(counts.select("gram", "n", "total")).mapInArrow(run, "gram long, value double, total long")
+    return _dealt(counts.select("gram", "n", "total")).transform(in_arrow, run, "gram long, value double, total long")
 
 
 def frequent(values: DataFrame, table: int) -> tuple[pa.Table, DataFrame]:
@@ -370,7 +370,7 @@ def train(counts: DataFrame, depth: int = DEPTH, table: int = TABLE) -> Scorer:
                 u, m = np.unique(step[i], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(m)], ["step", "n"])
 
-    steps = dealt.mapInArrow(context_sizes, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
+    steps = dealt.transform(in_arrow, context_sizes, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
     least, total = 1 << 30, 0
     for r in steps:
         total += r.n
@@ -388,7 +388,7 @@ def train(counts: DataFrame, depth: int = DEPTH, table: int = TABLE) -> Scorer:
                 if len(k):
                     yield from _entries([part, held.value], k, d)
 
-    got = [dealt.mapInArrow(entries, "depth int, gram boolean, key long, value double").toArrow()]  # bounded by the table
+    got = [dealt.transform(in_arrow, entries, "depth int, gram boolean, key long, value double").toArrow()]  # bounded by the table
     for d in (1, 0):
         leaf = upper.node[d][(upper.node[d] & 255) >= 128]
         k = np.unique(np.concatenate([(leaf & ~255) | ((leaf & 127) << 1) | b for b in (0, 1)]))
@@ -466,7 +466,7 @@ def text_scores(docs: DataFrame, depth: int = DEPTH, table: int = TABLE, head: i
                     times.append([c[x] for x in rare[-1]])
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())), *left], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times", "grams", "gram_times"])
 
-    scored = written(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>, grams array<long>, gram_times array<int>"))
+    scored = written(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").transform(in_arrow, run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>, grams array<long>, gram_times array<int>"))
     each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     more = each.join(rest, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("more_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))

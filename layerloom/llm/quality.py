@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from layerloom.llm.common import LOWER, SPACE, byte_hash, crc_mod, joined, slices, span_hash, word_spans, written
+from layerloom.llm.common import LOWER, SPACE, byte_hash, crc_mod, in_arrow, joined, slices, span_hash, unused, word_spans, written
 
 THRESHOLD = 0.7
 SHRINK = 0.1
@@ -105,7 +106,7 @@ def train(rows: DataFrame) -> Discriminant:
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(total.tolist())], ["label", "m"])
 
     size = 1 + FEATURES + FEATURES * FEATURES
-    parts = rows.mapInArrow(moments, "label int, m array<double>").groupBy("label").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(size)]).alias("m"))
+    parts = rows.transform(in_arrow, moments, "label int, m array<double>").groupBy("label").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(size)]).alias("m"))
     got = {r.label: np.array(r.m) for r in parts.collect()}
     n = [float(got[c][0]) if c in got else 0.0 for c in (0, 1)]
     if not (n[0] and n[1]):
@@ -124,7 +125,7 @@ def train(rows: DataFrame) -> Discriminant:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.round(held.value.squashed(x) * 8).astype(np.int32)), pa.array(y.astype(np.int32))], ["bin", "label"])
 
-    bins = rows.mapInArrow(binned, "bin int, label int").groupBy("bin").agg(F.sum("label").alias("ones"), F.count("*").alias("n")).collect()
+    bins = rows.transform(in_arrow, binned, "bin int, label int").groupBy("bin").agg(F.sum("label").alias("ones"), F.count("*").alias("n")).collect()
     z, k, m = (np.array([r[i] for r in bins], float) for i in range(3))
     model.slope, model.shift = logistic(z / 8, k, m)
     return model
@@ -150,15 +151,20 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield np.array(b.column("x").to_pylist(), float).reshape(-1, FEATURES), b.column("label").to_numpy()
 
 
-def vectors(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each row."""
+def with_vectors(docs: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """Some columns of ``docs``, and the statistics of each row's text in the column ``name``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(features(texts).tolist(), pa.list_(pa.float64()))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, columns), pa.array(features(texts).tolist(), pa.list_(pa.float64()))], [*columns, name])
+
+    return docs.transform(in_arrow, run, T.StructType([*map(docs.schema.__getitem__, columns), T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+
+def vectors(docs: DataFrame) -> DataFrame:
+    """doc_id and the statistics of each row."""
+    return with_vectors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "x", ["doc_id"])
 
 
 def fit(scored: DataFrame, labels: DataFrame) -> Discriminant:
@@ -178,17 +184,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
                 s = model.value.score(np.array(b.column("x").to_pylist(), float).reshape(-1, FEATURES))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
-    out = scored.mapInArrow(run, "doc_id long, score double")
+    out = scored.transform(in_arrow, run, "doc_id long, score double")
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns; texts are not shuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(written(vectors(docs)), labels))
+    """The documents whose score reaches the threshold, with all their columns; texts are not shuffled, and their statistics, written beside them, serve both the fit and the scores."""
+    name = unused("x", docs.columns)
+    held = written(with_vectors(docs, name, docs.columns))
+    model = docs.sparkSession.sparkContext.broadcast(fit(held.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("x")), labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                yield part.filter(pa.array(model.value.score(features(texts)) >= threshold))
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column(name).to_pylist(), float).reshape(-1, FEATURES)
+                yield b.drop_columns([name]).filter(pa.array(model.value.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return held.transform(in_arrow, run, docs.schema)

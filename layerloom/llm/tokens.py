@@ -8,7 +8,7 @@ Normalisation may only join what has equal counts, so by default it only makes n
 
 Inside a task, texts are cut before single spaces, where no pre-token of a byte-level tokenizer spans, and the library
 encodes each distinct piece once (``PieceMemo``). A text with white space after a space, where a cut could change the
-pre-tokens, goes to the library whole, and so do all texts of other kinds of tokenizers.
+pre-tokens, or with an added token in it goes to the library whole, and so do all texts of other kinds of tokenizers.
 
 Cases: null counts as empty, with 0 tokens; repeated rows each get a row; an empty table gives no rows; other columns
 are ignored.
@@ -19,23 +19,23 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain, islice
-from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import packed, scratch_dir, slices
+from layerloom.llm.common import in_arrow, packed, ranges, scratch_dir, slices
 
 LIMIT = 1024
 CACHE = "tokenizer string, digest binary, n_tokens long"
-#: Pieces that a worker remembers.
-MEMO = 800_000
-_BLANK_AFTER_SPACE = re.compile(r" \s")
+#: Pieces that a worker remembers; some 200 bytes each.
+MEMO = 300_000
+#: A space before white space or the end: a cut there could change the pre-tokens.
+_UNSAFE = r" ([\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
 
 def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -56,12 +56,11 @@ def tokenizer_digest(path: str) -> str:
 
 
 class PieceMemo:
-    """Encodes texts with the library, each distinct piece between spaces once. Values are what ``make`` gives for a piece's ids."""
+    """Encodes texts with the library, each distinct piece between spaces once; a piece's ids stand in one array with all others."""
 
-    def __init__(self, path: str, make: Callable[[list[int]], Any]):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.make = make
-        self.known: dict[str, Any] = {}  # by piece, without the space before it
+        self.forget()
         if path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
@@ -71,55 +70,88 @@ class PieceMemo:
             return
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.encode = lambda texts: [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        self.encode = lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
         with open(path) as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        self.cuts = plain.items() <= pre.items() and not spec.get("normalizer") and not any(" " in a["content"] or a["lstrip"] or a["rstrip"] for a in spec["added_tokens"])
-
-    def values(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces, in order."""
-        cut: list[list[str] | None] = [p if self.cuts and len(p := t.split(" ")) > 1 and p[-1] and not _BLANK_AFTER_SPACE.search(t) else None for t in texts]
-        self._learn({x for p in cut if p for x in p[1:]})
-        whole = self.encode([p[0] if p else t for t, p in zip(texts, cut)])  # first pieces have no space before them
-        return [[self.make(w), *map(self.known.__getitem__, p[1:])] if p else [self.make(w)] for w, p in zip(whole, cut)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > MEMO:  # the pieces met first are mostly the frequent ones
-            self.known = dict(islice(self.known.items(), MEMO // 4))
-            new = list(pieces.difference(self.known))
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            got = self.library.encode(" " + " ".join(some), add_special_tokens=False)
-            ids, starts = got.ids, [s for s, _ in got.offsets]
-            at = begin = 0
-            for x in some:  # no token spans the space before a piece
-                at += 1 + len(x)
-                end = bisect_left(starts, at, begin)
-                self.known[x], begin = self.make(ids[begin:end]), end
-
-
-_memos: dict[tuple, PieceMemo] = {}
-
-
-def memo(path: str, make: Callable[[list[int]], Any] = list) -> PieceMemo:
-    """One for each worker process, kept between tasks."""
-    if (path, make) not in _memos:
-        _memos[path, make] = PieceMemo(path, make)
-    return _memos[path, make]
-
-
-def counts(texts: list[bytes], path: str) -> list[int]:
-    return [sum(v) for v in memo(path, len).values([t.decode() for t in texts])]
-
-
-def ids(texts: list[str], path: str) -> list[list[int]]:
-    return [list(chain.from_iterable(v)) for v in memo(path).values(texts)]
+        self.added = [a["content"] for a in spec["added_tokens"]]
+        self.cuts = plain.items() <= (spec.get("pre_tokenizer") or {}).items() and not spec.get("normalizer")
+        # in a byte-level vocabulary a token that begins with a space is written with this letter
+        self.begins = np.array([(library.id_to_token(i) or "").startswith("\u0120") for i in range(library.get_vocab_size())], bool)
+
+    def forget(self, keep: int = 0) -> None:
+        """Only the first ``keep`` pieces stay: those met first are mostly the frequent ones."""
+        old = (self.known, self.ids, self.at) if keep else ({}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.known: dict[str, int] = dict(islice(old[0].items(), keep))  # by piece, without the space before it
+        self.at = old[2][: keep + 1].copy()
+        self.ids = old[1][: self.at[-1]].copy()
+
+    def values(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the number of each text's ids."""
+        column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        whole = np.ones(len(texts), bool) if not self.cuts else np.logical_or.reduce([pc.match_substring_regex(column, _UNSAFE).to_numpy(False), *(pc.match_substring(column, a).to_numpy(False) for a in self.added)])
+        pieces = pc.split_pattern(column.filter(pa.array(~whole)), " ")
+        n_pieces = np.ones(len(texts), np.int64)
+        n_pieces[~whole] = pc.list_value_length(pieces).to_numpy()
+        flat, heads = pieces.flatten(), pieces.offsets.to_numpy()[:-1] - (pieces.offsets[0].as_py() if len(pieces) else 0)
+        rest = np.ones(len(flat), bool)
+        rest[heads] = False  # the first piece of a text has no space before it
+        words = flat.filter(pa.array(rest)).dictionary_encode()
+        place = self._places(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        lead: list[str] = [""] * len(texts)
+        for i, t in zip(np.flatnonzero(~whole).tolist(), flat.take(pa.array(heads)).to_pylist()):
+            lead[i] = t
+        for i in np.flatnonzero(whole).tolist():
+            lead[i] = texts[i].decode()
+        first = self.encode(lead)
+        n_first = np.fromiter(map(len, first), np.int64, len(first))
+        pool = np.concatenate([self.ids, np.fromiter(chain.from_iterable(first), np.uint32, int(n_first.sum()))])
+        unit = np.concatenate(([0], np.cumsum(n_pieces)))[:-1]  # of each text, the place of its first piece
+        start, n = np.zeros(int(n_pieces.sum()), np.int64), np.zeros(int(n_pieces.sum()), np.int64)
+        start[unit], n[unit] = len(self.ids) + np.cumsum(n_first) - n_first, n_first
+        others = np.ones(len(start), bool)
+        others[unit] = False
+        start[others], n[others] = self.at[place], np.diff(self.at)[place]
+        return pool[ranges(start, n)], np.add.reduceat(n, unit) if len(unit) else n
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        new = [x for x in words if x not in self.known]
+        if len(self.known) + len(new) > MEMO:
+            self.forget(MEMO // 4)
+            new = [x for x in words if x not in self.known]
+        if new:
+            got = self.encode([" " + " ".join(new[i : i + 500]) for i in range(0, len(new), 500)])
+            ids = np.fromiter(chain.from_iterable(got), np.uint32)
+            ends = np.append(np.flatnonzero(self.begins[ids])[1:], len(ids))  # only a piece's first token begins with a space
+            if len(ends) != len(new):
+                got = self.encode([" " + x for x in new])
+                ids, ends = np.fromiter(chain.from_iterable(got), np.uint32), np.cumsum([len(x) for x in got])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.at = np.concatenate([self.at, len(self.ids) + ends])
+            self.ids = np.concatenate([self.ids, ids])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+
+_memos: dict[str, PieceMemo] = {}
+
+
+def memo(path: str) -> PieceMemo:
+    """One for each worker process, kept between tasks; its size is bounded by MEMO."""
+    if path not in _memos:
+        _memos[path] = PieceMemo(path)
+    return _memos[path]
+
+
+def counts(texts: list[bytes], path: str) -> np.ndarray:
+    return memo(path).values(texts)[1]
+
+
+def ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, and the number of each text's ids."""
+    return memo(path).values(texts)
 
 
 class CountCache:
@@ -130,7 +162,8 @@ class CountCache:
         spark.createDataFrame([], CACHE).write.mode("append").parquet(self.path)
 
     def read(self, version: str) -> DataFrame:
-        return self.spark.read.schema(CACHE).parquet(self.path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+        """One row for each digest, also where two runs have appended it at once."""
+        return self.spark.read.schema(CACHE).parquet(self.path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def append(self, rows: DataFrame, version: str) -> None:
         rows.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(self.path)
@@ -148,6 +181,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: CountCache, limit: int
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counts(texts, tokenizer), pa.int64())], ["digest", "n_tokens"])
 
     misses = packed(keyed.select("digest", "text")).join(cache.read(version), "digest", "left_anti").dropDuplicates(["digest"])
-    cache.append(misses.mapInArrow(encode, "digest binary, n_tokens long"), version)
+    cache.append(misses.transform(in_arrow, encode, "digest binary, n_tokens long"), version)
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(cache.read(version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
