@@ -5,10 +5,11 @@ table: the documents' ids and lengths, and the coded blocks), and a segment into
 is coded with a model that starts anew, and carries its number of ids and their crc32, so blocks are read
 independently and damage is found.
 
-Model of a block, for each id: the ids that last followed the two ids before (order 2) and the one before (order 1)
-give a candidate; its chance mixes, in the logistic domain with weights that learn, the hit rates of the order-2
-confidence, the order-1 confidence and the recent hits. If the candidate fails, order 0 codes the id among the ids
-that the block has seen, or as a new one. The coder keeps a 48-bit interval and writes 16 bits at a time. All
+Model of a block, for each id: ids are numbered by first occurrence. What last followed the two ids before (order 2) or
+else the one before (order 1) is the candidate; its chance mixes, in the logistic domain with weights that learn, the
+hit rates by order-2 confidence, by order-1 confidence, and by the candidate's own frequency (order 0). If the candidate
+fails, order 0 codes the id by its count among all of the block so far, or as a new one: the length of its number by
+the lengths of the new ones before, then its bits. The coder keeps a 56-bit interval and writes 16 bits at a time. All
 arithmetic is on integers. The blocks of a segment are coded in step with each other, one id of each at a time.
 
 Cases: a null text is empty and becomes the end id alone; documents with one id follow each other in order of a hash of the text; a
@@ -28,254 +29,338 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerloom.llm import tokens
-from layerloom.llm.common import packed, ranged, scratch_dir, unpacked
+from layerloom.llm.common import in_arrow, packed, ranged, scratch_dir, slices
 
-BLOCK = 2048
-#: Ids of a segment: blocks that are coded in step; and UTF-8 bytes that are tokenised at once.
-SEGMENT = 2_000_000
-STEP_BYTES = 1 << 20
+BLOCK = 4096
+#: Ids of a segment: its blocks are coded in step.
+SEGMENT = 7_000_000
 END_ID = 0
 HEADER = struct.Struct("<4sHIII")  # magic, version, ids, crc32 of the ids, 16-bit words that follow
-MAGIC, VERSION = b"LLCM", 1
+MAGIC, VERSION = b"LLCM", 2
 FILE = "part int, seq int, n_ids long, doc_ids array<long>, n_tokens array<int>, blocks array<binary>"
 
 _SQUASH = np.array([round(4096 / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], np.int64)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int64)
-_MASK, _TOP, _LOW = np.uint64((1 << 48) - 1), np.uint64(32), np.uint64(0xFFFF)
-_16 = np.uint64(16)
-_SLOTS = 4096
+_LENGTH = np.array([0, *(n.bit_length() for n in range(1, 65536))], np.int64)  # bits of a number
+_FROM = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.uint16)  # row j marks what comes after j
+_BELOW_17 = (np.arange(18)[None, :] < np.arange(18)[:, None]).astype(np.int64)
+#: The coder's interval has 56 bits and gives off 16 at a time; an interval below 2**34 that straddles is cut.
+_TOP, _SHIFT, _WORD, _ALL, _NARROW = np.uint64(40), np.uint64(16), np.uint64(0xFFFF), np.uint64((1 << 56) - 1), np.uint64(1 << 34)
+
+
+class Counts:
+    """Order 0: how often each slot (an id, by first occurrence in the lane) has occurred. Each level above counts for 16 of the one below; a row holds the running sums of its 16."""
+
+    def __init__(self, lanes: int, block: int):
+        self.total = np.zeros(lanes, np.int64)
+        self.levels, self.width, n = [], [], block
+        while not self.levels or n > 1:
+            n = -(-n // 16)
+            self.levels.insert(0, np.zeros((lanes * n, 17), np.uint16))  # the first is 0
+            self.width.insert(0, n)
+        self.shifts = [4 * k for k in reversed(range(len(self.levels)))]
+
+    def span(self, lane: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count of all slots before, count of the slot)."""
+        start = np.zeros(len(lane), np.int64)
+        for level, n, shift in zip(self.levels, self.width, self.shifts):
+            x = slot >> shift
+            at = (lane * n + (x >> 4)) * 17 + (x & 15)
+            before = level.reshape(-1).take(at)
+            start += before
+        return start, level.reshape(-1).take(at + 1).astype(np.int64) - before
+
+    def find(self, lane: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot that holds the v-th count, count before it, its count)."""
+        slot, left = np.zeros(len(lane), np.int64), v
+        for level, n in zip(self.levels, self.width):
+            row = lane * n + slot
+            j = (level.take(row, axis=0)[:, 1:] > left.astype(np.uint16)[:, None]).argmax(1)
+            at = row * 17 + j
+            before = level.reshape(-1).take(at)
+            left = left - before
+            slot = slot << 4 | j
+        return slot, v - left, level.reshape(-1).take(at + 1).astype(np.int64) - before
+
+    def add(self, lane: np.ndarray, slot: np.ndarray) -> None:
+        for level, n, shift in zip(self.levels, self.width, self.shifts):
+            x = slot >> shift
+            row = lane * n + (x >> 4)
+            level[row] = level.take(row, axis=0) + _FROM.take(x & 15, axis=0)
+        self.total += 1
+
+    def of(self, lane: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        at, flat = (lane * self.width[-1] + (slot >> 4)) * 17 + (slot & 15), self.levels[-1].reshape(-1)
+        return flat.take(at + 1).astype(np.int64) - flat.take(at)
 
 
 class Model:
-    """Predictions for the next id of each lane (block); all arrays have a row for each lane."""
+    """Predictions for the next id of each lane (block); all arrays have a row for each lane. ``step`` works on the first ``live`` lanes."""
 
     def __init__(self, lanes: int, block: int):
+        self.block, self.hash_bits = block, max(4, int(block - 1).bit_length())
         self.lane = np.arange(lanes)
-        self.next1, self.sure1 = np.zeros((lanes, _SLOTS), np.int32), np.zeros((lanes, _SLOTS), np.uint8)
-        self.next2, self.sure2 = np.zeros((lanes, _SLOTS), np.int32), np.zeros((lanes, _SLOTS), np.uint8)
-        self.rate = [np.full((lanes, n), 1 << 15, np.int64) for n in (16, 32, 16)]
-        self.weight = np.full((3, lanes), 1 << 15, np.int64)
-        self.past = np.zeros(lanes, np.int64)
-        self.a = self.b = np.zeros(lanes, np.int64)  # the last id and the one before, plus one
-        self.seen = np.zeros((lanes, block), np.int64)
+        # what followed a slot, and a hash of two slots: (slot + 1) << 4 | how often in a row
+        self.next1, self.next2 = np.zeros(lanes * (block + 1), np.int32), np.zeros(lanes << self.hash_bits, np.int32)
+        self.rate = [np.full(lanes * 64, 1 << 15, np.int64) for _ in range(3)]
+        self.weight = [np.full(lanes, 1 << 15, np.int64) for _ in range(3)]
+        self.a = self.b = np.zeros(lanes, np.int64)  # the last slot and the one before, plus one
+        self.seen = np.zeros((lanes, block), np.uint16)
         self.n_seen = np.zeros(lanes, np.int64)
-        self.new = np.full(lanes, 1 << 15, np.int64)  # chance of a seen id, of 65,536
+        self.old = np.full(lanes, 1 << 15, np.int64)  # chance that a miss was seen before, of 65,536
+        self.count = Counts(lanes, block)
+        self.lengths = np.ones((lanes, 18), np.int64)  # of new ids, plus one, in bits
 
     def keep(self, n: int) -> None:
         """Goes on with the first ``n`` lanes."""
-        self.lane, self.past, self.a, self.b, self.n_seen, self.new = (x[:n] for x in (self.lane, self.past, self.a, self.b, self.n_seen, self.new))
-        self.weight = self.weight[:, :n]
+        self.lane, self.a, self.b, self.n_seen, self.old, self.count.total = (x[:n] for x in (self.lane, self.a, self.b, self.n_seen, self.old, self.count.total))
+        self.weight = [w[:n] for w in self.weight]
 
     def candidate(self) -> tuple[np.ndarray, np.ndarray]:
-        """The candidate (plus one; 0: none) and its chance, of 65,536."""
-        self.h1 = (self.a * 40503 >> 3) & (_SLOTS - 1)
-        self.h2 = ((self.a * 40503 ^ self.b * 60493) >> 2) & (_SLOTS - 1)
-        p1, p2 = self.next1[self.lane, self.h1], self.next2[self.lane, self.h2]
-        s1, s2 = self.sure1[self.lane, self.h1], self.sure2[self.lane, self.h2]
-        cand = np.where(p2 > 0, p2, p1)
-        self.at = (s2.astype(np.int64), s1 + 16 * (p1 == cand), self.past & 15)
-        self.inputs = np.stack([_STRETCH[r[self.lane, i] >> 4] for r, i in zip(self.rate, self.at)])
-        self.p = _SQUASH[np.clip((self.weight * self.inputs).sum(0) >> 16, -2047, 2047) + 2047]
-        return cand, np.where(cand > 0, np.clip(self.p << 4, 64, 65472), 64)
-
-    def update(self, ids: np.ndarray, hit: np.ndarray, cand: np.ndarray) -> None:
+        """The candidate slot (plus one; 0: none) and its chance, of 65,536."""
+        self.at1 = self.lane * (self.block + 1) + self.a
+        self.at2 = (self.lane << self.hash_bits) + ((self.a * 40503 + self.b * 60493 >> 3) & ((1 << self.hash_bits) - 1))
+        self.t1, self.t2 = self.next1.take(self.at1), self.next2.take(self.at2)
+        s1, s2 = self.t1 >> 4, self.t2 >> 4
+        self.cand = np.where(s2 > 0, s2, s1)
+        often = _LENGTH.take(self.count.of(self.lane, np.maximum(self.cand - 1, 0)))
+        at = self.lane * 64
+        self.at = (at + (self.t2 & 15), at + (self.t1 & 15) + 16 * (s1 == self.cand), at + often + 16 * (self.t2 > 0))
+        self.seen_rate = [r.take(i) for r, i in zip(self.rate, self.at)]
+        self.inputs = [_STRETCH.take(v >> 4) for v in self.seen_rate]
+        dot = (self.weight[0] * self.inputs[0] + self.weight[1] * self.inputs[1] + self.weight[2] * self.inputs[2] >> 16) + 2047
+        self.p = _SQUASH.take(dot, mode="clip")
+        self.has = self.cand > 0
+        return self.cand, np.where(self.has, np.minimum(np.maximum(self.p << 4, 64), 65472), 64)
+
+    def learn(self, slot: np.ndarray, hit: np.ndarray) -> None:
+        """``slot``: of the id that came."""
         bit = hit.astype(np.int64)
-        err = np.where(cand > 0, (bit << 12) - self.p, 0) * 10
-        self.weight = self.weight + ((self.inputs * err) >> 10)
-        for r, i in zip(self.rate, self.at):
-            v = r[self.lane, i]
-            r[self.lane, i] = np.where(cand > 0, v + ((bit * 65535 - v) >> 5), v)
-        self.past = (self.past << 1 | bit) & 15
-        x = (ids + 1).astype(np.int32)
-        for nxt, sure, h in ((self.next1, self.sure1, self.h1), (self.next2, self.sure2, self.h2)):
-            same = nxt[self.lane, h] == x
-            c = sure[self.lane, h]
-            sure[self.lane, h] = np.where(same, np.minimum(c + 1, 15), 0)
-            nxt[self.lane, h] = x
-        self.b, self.a = self.a, x.astype(np.int64)
-
-    def width(self) -> tuple[np.ndarray, np.ndarray]:
-        """(interval of each seen id, where new ids begin), of 65,536."""
-        n = np.maximum(self.n_seen, 1)
-        w = np.where(self.n_seen > 0, np.maximum(self.new // n, 1), 0)
-        return w, w * self.n_seen
-
-    def literal(self, ids: np.ndarray, old: np.ndarray, miss: np.ndarray) -> None:
-        """Learns whether missed ids were seen before, and notes new ones (also those that a candidate gave)."""
-        self.new = np.where(miss, np.clip(self.new + ((old * 65535 - self.new) >> 5), 8192, 57344), self.new)
-        fresh = np.flatnonzero(~old)
-        self.seen[self.lane[fresh], self.n_seen[fresh]] = ids[fresh]
-        self.n_seen = self.n_seen + ~old
-
-
-def _slots(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For ids (steps, lanes): the place of each in the order of first occurrence in its lane, and whether it occurred before."""
-    steps, lanes = x.shape
-    lane = np.tile(np.arange(lanes), steps)
-    flat = x.ravel()
-    by = np.lexsort((np.arange(flat.size), flat, lane))
-    first = np.concatenate(([True], (np.diff(flat[by]) != 0) | (np.diff(lane[by]) != 0)))
-    head = by[first][np.cumsum(first) - 1]
-    old = np.ones(flat.size, bool)
-    old[by[first]] = False
-    rank = (np.cumsum(~old.reshape(steps, lanes), axis=0) - 1).ravel()
-    slot = np.empty(flat.size, np.int64)
-    slot[by] = rank[head]
-    return slot.reshape(steps, lanes), old.reshape(steps, lanes)
-
-
-class Encoder:
+        err = ((bit << 12) - self.p) * self.has * 10
+        for k in range(3):
+            self.weight[k] = self.weight[k] + (self.inputs[k] * err >> 10)
+            v = self.seen_rate[k]
+            self.rate[k][self.at[k]] = v + (((bit << 16) - bit - v) * self.has >> 5)
+        x = slot + 1
+        for nxt, t, at in ((self.next1, self.t1, self.at1), (self.next2, self.t2, self.at2)):
+            nxt[at] = np.where(t >> 4 == x, np.minimum(t + 1, t | 15), x << 4)
+        self.count.add(self.lane, slot)
+        self.b, self.a = self.a, x
+
+    def parts(self, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For lanes without a hit: where in 2**32 their interval begins, and how much of it is for ids seen before."""
+        rest = 65536 - self.chance[lane]
+        return self.chance[lane] << 16, np.where(self.n_seen[lane] > 0, rest * self.old[lane], 0)
+
+    def missed(self, lane: np.ndarray, old: np.ndarray) -> None:
+        v = self.old[lane]
+        self.old[lane] = np.minimum(np.maximum(v + ((old * 65535 - v) >> 5), 8192), 61440)
+
+    def note(self, lane: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """New ids."""
+        self.seen[lane, self.n_seen[lane]] = ids
+        self.n_seen[lane] += 1
+        self.lengths[lane, length] += 1
+
+
+class Interval:
+    """The intervals of all lanes; ``narrow`` gives the lanes, one after the other group, whose first 16 bits are decided."""
+
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
+
+    def narrow(self, lane, start: np.ndarray, width: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        """[start, start + width) of 2**bits, in some lanes (or a slice)."""
+        r = self.range[lane] >> np.uint64(bits)
+        low, rng = self.low[lane] + r * start.astype(np.uint64), r * width.astype(np.uint64)
+        self.low[lane], self.range[lane] = low, rng
+        at = np.arange(lane.stop) if isinstance(lane, slice) else lane
+        while True:
+            same = (low ^ (low + rng)) >> _TOP == 0
+            cut = ~same & (rng < _NARROW)
+            if cut.any():
+                rng = np.where(cut, (~low + np.uint64(1)) & (_NARROW - np.uint64(1)), rng)
+                same |= cut
+            todo = np.flatnonzero(same)
+            if not len(todo):
+                return
+            at, low, rng = at[todo], low[todo], rng[todo]
+            yield at
+            low, rng = (low << _SHIFT) & _ALL, rng << _SHIFT
+            self.low[at], self.range[at] = low, rng
+
+
+class Encoder(Interval):
     def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
+        super().__init__(lanes)
         self.out, self.n = np.zeros((lanes, words), "<u2"), np.zeros(lanes, np.int64)
 
-    def code(self, lane: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        """Narrows the intervals of some lanes to [start, start + width) of 65,536."""
-        r = self.range[lane] >> _16
-        low, rng = self.low[lane] + r * start.astype(np.uint64), r * width.astype(np.uint64)
-        todo = _settled(low, rng)
-        while len(todo):
-            k = lane[todo]
-            self.out[k, self.n[k]] = (low[todo] >> _TOP) & _LOW
-            self.n[k] += 1
-            low[todo] = (low[todo] << _16) & _MASK
-            rng[todo] <<= _16
-            todo = todo[_settled_at(low, rng, todo)]
-        self.low[lane], self.range[lane] = low, rng
+    def code(self, lane, start: np.ndarray, width: np.ndarray, bits: int = 32) -> None:
+        for at in self.narrow(lane, start, width, bits):
+            self.out[at, self.n[at]] = (self.low[at] >> _TOP) & _WORD
+            self.n[at] += 1
 
     def finish(self, lane: int) -> bytes:
-        tail = [(int(self.low[lane]) >> s) & 0xFFFF for s in (32, 16, 0)]
-        return self.out[lane, : self.n[lane]].tobytes() + struct.pack("<3H", *tail)
+        """Enough words for a number inside the last interval."""
+        tail = (int(self.low[lane]) + int(self.range[lane]) - 1) >> 40 & 0xFFFF
+        n = 1 if tail << 40 >= int(self.low[lane]) else 4
+        full = int(self.low[lane])
+        words = [tail] if n == 1 else [full >> s & 0xFFFF for s in (40, 24, 8)] + [(full & 0xFF) << 8]
+        return self.out[lane, : self.n[lane]].tobytes() + struct.pack(f"<{n}H", *words)
 
 
-class Decoder:
+class Decoder(Interval):
     def __init__(self, words: list[np.ndarray]):
         lanes = len(words)
-        self.words = np.zeros((lanes, max(map(len, words)) + 4), np.uint64)
+        super().__init__(lanes)
+        self.words = np.zeros((lanes, max(map(len, words)) + 5), "<u2")
         for i, w in enumerate(words):
             self.words[i, : len(w)] = w
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
+        w = self.words.astype(np.uint64)[:, :4]
+        self.value = (w[:, 0] << _TOP) | (w[:, 1] << np.uint64(24)) | (w[:, 2] << np.uint64(8)) | (w[:, 3] >> np.uint64(8))
         self.at = np.full(lanes, 3)
-        self.value = (self.words[:, 0] << _TOP) | (self.words[:, 1] << _16) | self.words[:, 2]
 
-    def target(self, lane: np.ndarray) -> np.ndarray:
-        return np.minimum((self.value[lane] - self.low[lane]) // (self.range[lane] >> _16), _LOW).astype(np.int64)
+    def target(self, lane, bits: int = 32) -> np.ndarray:
+        return np.minimum((self.value[lane] - self.low[lane]) // (self.range[lane] >> np.uint64(bits)), np.uint64((1 << bits) - 1)).astype(np.int64)
 
-    def code(self, lane: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        r = self.range[lane] >> _16
-        low, rng, value = self.low[lane] + r * start.astype(np.uint64), r * width.astype(np.uint64), self.value[lane]
-        todo = _settled(low, rng)
-        while len(todo):
-            k = lane[todo]
-            value[todo] = ((value[todo] << _16) & _MASK) | self.words[k, np.minimum(self.at[k], self.words.shape[1] - 1)]
-            self.at[k] += 1
-            low[todo] = (low[todo] << _16) & _MASK
-            rng[todo] <<= _16
-            todo = todo[_settled_at(low, rng, todo)]
-        self.low[lane], self.range[lane], self.value[lane] = low, rng, value
+    def code(self, lane, start: np.ndarray, width: np.ndarray, bits: int = 32) -> None:
+        for at in self.narrow(lane, start, width, bits):  # the value's last 8 bits are half of the word at ``at``
+            k = np.minimum(self.at[at], self.words.shape[1] - 2)
+            fresh = (self.words[at, k].astype(np.uint64) & np.uint64(0xFF)) << np.uint64(8) | self.words[at, k + 1].astype(np.uint64) >> np.uint64(8)
+            self.value[at] = ((self.value[at] << _SHIFT) & _ALL) | fresh
+            self.at[at] += 1
 
 
-def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
-    """Places whose first 16 bits are decided; an interval too narrow to go on is cut so that they are."""
-    return np.flatnonzero(_decided(low, rng, slice(None)))
+def _slots(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each id's place in the order of first occurrence; ``first`` is room for 65,536 numbers."""
+    n = np.arange(len(x))
+    first[x[::-1]] = n[::-1]  # of repeated ids the last one assigned stays
+    head = first[x]
+    return (np.cumsum(head == n) - 1)[head]
 
 
-def _settled_at(low: np.ndarray, rng: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return _decided(low, rng, at)
-
-
-def _decided(low: np.ndarray, rng: np.ndarray, at) -> np.ndarray:
-    a, b = low[at], rng[at]
-    same = ((a ^ (a + b)) >> _TOP) == 0
-    narrow = ~same & (b < np.uint64(1 << 16))
-    if narrow.any():
-        rng[at] = np.where(narrow, (~a + np.uint64(1)) & _LOW, b)
-    return same | narrow
+def _lanes(n: int, block: int) -> np.ndarray:
+    """Ids of each block: as few blocks as hold ``n``, as even as can be, the longer ones first."""
+    lanes = -(-n // block)
+    return n // lanes + (np.arange(lanes) < n % lanes)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """The coded blocks of a run of ids below 65,536."""
-    lanes = -(-len(ids) // block)
-    if not lanes:
+    if not len(ids):
         return []
-    n = np.full(lanes, block)
-    n[-1] = len(ids) - block * (lanes - 1)
-    steps = int(n.max())
-    x = np.zeros((lanes, steps), np.int64)
-    x.ravel()[: len(ids)] = ids  # only the last block may be shorter, and then steps is block, or it is the only one
-    x = np.ascontiguousarray(x.T)
-    slot, old = _slots(x, n)
-    model, coder = Model(lanes, steps), Encoder(lanes, 3 * steps + 8)
+    ids = np.asarray(ids)
+    if ids.min() < 0 or ids.max() > 65535:
+        raise ValueError("this format holds ids from 0 to 65,535")
+    if not 0 < block < 65536:
+        raise ValueError("a block has 1 to 65,535 ids")
+    n = _lanes(len(ids), block)
+    lanes, steps, ends = len(n), int(n[0]), np.cumsum(n)
+    x, slot, room = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint16), np.zeros(65536, np.int64)
+    for i, e in enumerate(ends.tolist()):
+        x[i, : n[i]] = ids[e - n[i] : e]
+        slot[i, : n[i]] = _slots(x[i, : n[i]], room)
+    x, slot = np.ascontiguousarray(x.T), np.ascontiguousarray(slot.T)
+    model, coder = Model(lanes, steps), Encoder(lanes, 2 * steps + 16)
     for t in range(steps):
-        if t == n[-1] and lanes > 1:
-            model.keep(lanes - 1)
-        lane = model.lane
-        v, was, s = x[t, : len(lane)], old[t, : len(lane)], slot[t, : len(lane)]
-        cand, p = model.candidate()
-        hit = cand == v + 1
-        coder.code(lane, np.where(hit, 0, p), np.where(hit, p, 65536 - p))
-        w, new_from = model.width()
+        live = int((n > t).sum()) if t == steps - 1 else lanes
+        if live < lanes:
+            model.keep(live)
+        s = slot[t, :live].astype(np.int64)
+        cand, model.chance = model.candidate()
+        hit = cand == s + 1
+        start, width = np.zeros(live, np.int64), model.chance << 16
         m = np.flatnonzero(~hit)
+        new = m[s[m] == model.n_seen[m]]
         if len(m):
-            o = was[m]
-            coder.code(lane[m], np.where(o, s[m] * w[m], new_from[m]), np.where(o, w[m], 65536 - new_from[m]))
-            f = m[~o]
-            if len(f):
-                coder.code(lane[f], v[f], np.ones(len(f), np.int64))
-        model.literal(v, was, ~hit)
-        model.update(v, hit, cand)
+            base, share = model.parts(m)
+            before, own = model.count.span(m, s[m])
+            unit = share // np.maximum(model.count.total[m], 1)
+            start[m], width[m] = base + unit * before, unit * own
+            model.missed(m, s[m] != model.n_seen[m])
+        if len(new):
+            at = np.searchsorted(m, new)
+            v = x[t, new].astype(np.int64)
+            length, start[new], width[new] = _fresh(model, new, base[at], share[at], v)
+        coder.code(slice(0, live), start, width)
+        if len(new):
+            coder.code(new, v + 1 - (1 << length - 1) << 17 - length, 1 << 17 - length, 16)
+            model.note(new, v, length)
+        model.learn(s, hit)
     out = []
-    for i in range(lanes):
-        part = np.asarray(ids[i * block : (i + 1) * block]).astype("<u4")
+    for i, e in enumerate(ends.tolist()):
+        part = ids[e - n[i] : e].astype("<u4")
         body = coder.finish(i)
         out.append(HEADER.pack(MAGIC, VERSION, len(part), zlib.crc32(part.tobytes()), len(body) // 2) + body)
     return out
 
 
-def decode(blocks: list[bytes], block: int = BLOCK) -> np.ndarray:
+def _fresh(model: Model, lane: np.ndarray, base: np.ndarray, share: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits of a new id plus one, start and width of that length) in 2**32."""
+    length = _LENGTH.take(np.minimum(ids + 1, 65535)) + (ids == 65535)
+    rows = model.lengths[lane]
+    unit = (((65536 - model.chance[lane]) << 16) - share) // rows.sum(1)
+    return length, base + share + unit * np.einsum("ij,ij->i", rows, _BELOW_17.take(length, axis=0)), unit * rows[np.arange(len(lane)), length]
+
+
+def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of some blocks, one after the other; raises ValueError where a block is damaged."""
     if not blocks:
         return np.zeros(0, np.int64)
-    heads = [HEADER.unpack_from(b) for b in blocks]
-    for h, b in zip(heads, blocks):
-        if h[0] != MAGIC or h[1] != VERSION or len(b) != HEADER.size + 2 * h[4]:
+    heads = []
+    for b in blocks:
+        heads.append(HEADER.unpack_from(b) if len(b) >= HEADER.size else (b"",))
+        if heads[-1][0] != MAGIC or heads[-1][1] != VERSION or not heads[-1][2] or len(b) != HEADER.size + 2 * heads[-1][4]:
             raise ValueError("not a block of this format")
     n = np.array([h[2] for h in heads])
     by = np.argsort(-n, kind="stable")
     count = n[by]
     coder = Decoder([np.frombuffer(blocks[i], "<u2", offset=HEADER.size) for i in by])
     model = Model(len(blocks), int(count[0]))
-    x = np.zeros((int(count[0]), len(blocks)), np.int64)
+    x = np.zeros((int(count[0]), len(blocks)), np.uint16)
+    live = len(blocks)
     for t in range(len(x)):
-        live = int(np.searchsorted(-count, -t))  # lanes with more than t ids
+        while count[live - 1] <= t:
+            live -= 1
         if live < len(model.lane):
             model.keep(live)
-        lane = model.lane
-        cand, p = model.candidate()
-        hit = coder.target(lane) < p
-        coder.code(lane, np.where(hit, 0, p), np.where(hit, p, 65536 - p))
-        v = np.where(hit, cand.astype(np.int64) - 1, 0)
-        w, new_from = model.width()
-        was = np.ones(len(lane), bool)
+        cand, model.chance = model.candidate()
+        all_ = slice(0, live)
+        got = coder.target(all_)
+        width = model.chance << 16
+        hit = got < width
+        start, s = np.zeros(live, np.int64), cand.astype(np.int64) - 1
         m = np.flatnonzero(~hit)
+        new = m[:0]
         if len(m):
-            got = coder.target(lane[m])
-            o = got < new_from[m]
-            s = np.where(o, got // np.maximum(w[m], 1), 0)
-            coder.code(lane[m], np.where(o, s * w[m], new_from[m]), np.where(o, w[m], 65536 - new_from[m]))
-            v[m] = model.seen[lane[m], s]
-            f = m[~o]
-            if len(f):
-                raw = coder.target(lane[f])
-                coder.code(lane[f], raw, np.ones(len(f), np.int64))
-                v[f] = raw
-                was[f] = False
-        model.literal(v, was, ~hit)
-        model.update(v, hit, cand)
-        x[t, : len(lane)] = v
-    rows: list[np.ndarray] = [np.zeros(0)] * len(blocks)
+            base, share = model.parts(m)
+            at = got[m] - base
+            was = at < share
+            o = m[was]
+            unit = share[was] // np.maximum(model.count.total[o], 1)
+            s[o], before, own = model.count.find(o, np.minimum(at[was] // np.maximum(unit, 1), model.count.total[o] - 1))
+            start[o], width[o] = base[was] + unit * before, unit * own
+            model.missed(m, was)
+            new, rows = m[~was], model.lengths[m[~was]]
+        if len(new):
+            base, share, at = base[~was], share[~was], at[~was]
+            unit = (((65536 - model.chance[new]) << 16) - share) // rows.sum(1)
+            length = np.minimum((np.cumsum(rows, axis=1) <= ((at - share) // unit)[:, None]).sum(1), 17)
+            start[new], width[new] = base + share + unit * np.einsum("ij,ij->i", rows, _BELOW_17.take(length, axis=0)), unit * rows[np.arange(len(new)), length]
+            s[new] = model.n_seen[new]
+        coder.code(all_, start, width)
+        if len(new):
+            length = np.maximum(length, 1)
+            v = coder.target(new, 16) >> 17 - length
+            coder.code(new, v << 17 - length, 1 << 17 - length, 16)
+            v = np.minimum(v + (1 << length - 1) - 1, 65535)
+            model.note(new, v, length)
+        s = np.minimum(np.maximum(s, 0), model.block - 1)  # only in damaged blocks
+        model.learn(s, hit)
+        x[t, :live] = s
+    rows = [np.zeros(0)] * len(blocks)
     for j, i in enumerate(by):
-        rows[i] = x[: n[i], j]
+        rows[i] = model.seen[j].take(x[: n[i], j]).astype(np.int64)
         if zlib.crc32(rows[i].astype("<u4").tobytes()) != heads[i][3]:
             raise ValueError("a block's checksum differs")
     return np.concatenate(rows)
@@ -287,57 +372,54 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = None, 0
-        wait: list[tuple] = []  # documents to tokenise
-        done: list[tuple] = []  # tokenised ones of the segment
+        docs_, lens, runs = [], [], []  # of the segment
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal seq, done
-            if done:
-                ids = np.concatenate([i for _, i in done])
+            nonlocal seq
+            if docs_:
+                ids = np.concatenate(runs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([[d for d, _ in done]], pa.list_(pa.int64())),
-                     pa.array([[len(i) for _, i in done]], pa.list_(pa.int32())), pa.array([encode(ids, block)], pa.list_(pa.binary()))], ["part", "seq", "n_ids", "doc_ids", "n_tokens", "blocks"])
-                seq, done = seq + 1, []
-
-        def work() -> None:
-            done.extend((d, np.array([*i, end_id], np.uint32)) for (d, _), i in zip(wait, tokens.ids([t for _, t in wait], tokenizer)))
-            wait.clear()
-
-        size = 0
-        for b in batches:
-            for p, d, body in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "body"))):
-                t = unpacked(body).decode()
-                if p != part or size > STEP_BYTES:
-                    work()
-                    size = 0
-                    if p != part or sum(len(i) for _, i in done) >= segment:
+                    [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([docs_], pa.list_(pa.int64())),
+                     pa.array([np.concatenate(lens)], pa.list_(pa.int32())), pa.array([encode(ids, block)], pa.list_(pa.binary()))], ["part", "seq", "n_ids", "doc_ids", "n_tokens", "blocks"])
+                seq += 1
+                for x in (docs_, lens, runs):
+                    x.clear()
+
+        for batch in batches:
+            for piece, texts in slices(batch, "body"):
+                parts_ = piece.column("part").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(parts_)) + 1).tolist(), len(texts)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if parts_[lo] != part or sum(map(len, runs)) >= segment:
                         yield from flush()
-                    if p != part:
-                        part, seq = p, 0
-                wait.append((d, t))
-                size += len(t)
-        work()
+                    if parts_[lo] != part:
+                        part, seq = int(parts_[lo]), 0
+                    ids, n = tokens.ids(texts[lo:hi], tokenizer)
+                    docs_.extend(piece.column("doc_id").slice(lo, hi - lo).to_pylist())
+                    runs.append(np.insert(ids, np.cumsum(n), end_id))
+                    lens.append((n + 1).astype(np.int32))
         yield from flush()
 
-    rows = packed(rows.withColumn("text_hash", F.xxhash64("text"))).repartition(parts, "part").sortWithinPartitions("part", "doc_id", "text_hash")
-    rows.select("part", "doc_id", "body").mapInArrow(run, FILE).write.parquet(path)
+    rows = packed(rows.withColumn("text_hash", F.xxhash64("text"))).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "text_hash")
+    rows.select("part", "doc_id", "body").transform(in_arrow, run, FILE).write.parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document of the files, from the decoded blocks: doc_id, start, n_tokens, ids_crc32, and the ids if asked."""
     files = spark.read.schema(FILE).parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                raw = decode(row["blocks"], block).astype("<u4")
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                raw = decode(row["blocks"]).astype("<u4")
                 ends = np.cumsum(row["n_tokens"])
                 cuts = list(zip((ends - row["n_tokens"]).tolist(), ends.tolist()))
                 n = len(cuts)
                 cols = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array([s for s, _ in cuts], pa.int64()), pa.array(row["n_tokens"], pa.int64()), pa.array([zlib.crc32(raw[s:e].tobytes()) for s, e in cuts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array([raw[s:e].tolist() for s, e in cuts], pa.list_(pa.int64()))] * with_ids, ["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    read = files.select("part", "seq", "doc_ids", "n_tokens", "blocks").mapInArrow(run, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    read = files.select("part", "seq", "doc_ids", "n_tokens", "blocks").transform(in_arrow, run, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before("part")), F.lit(0)).alias("base"))  # one row for each range
     segments = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(before("part", "seq")), F.lit(0)).alias("ahead")).join(parts, "part").select("part", "seq", (F.col("base") + F.col("ahead")).alias("first"))

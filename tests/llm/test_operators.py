@@ -406,3 +406,48 @@ def test_table_bounds_the_broadcast_and_no_score(spark, docs):
         got = {r.doc_id: r for r in language_model.text_scores(docs, depth=4, table=table).collect()}
         assert got.keys() == want.keys() and any(r.held_out for r in got.values())
         assert all(r.score == pytest.approx(want[d].score, rel=1e-9) for d, r in got.items())
+
+
+def test_coder_uses_more_history_and_beats_static_order_0():
+    """Zipfian ids with some repeated runs: longer blocks take fewer bits, and the size stays near the order-0 entropy."""
+    rng = np.random.default_rng(9)
+    ids = np.minimum(rng.zipf(1.3, 40_000), 50_000)
+    for k in range(0, 40_000, 1000):
+        ids[k : k + 100] = ids[:100]
+    bits = [sum(map(len, id_files.encode(ids, block))) * 8 / len(ids) for block in (512, 2048, 8192, 40_000)]
+    assert bits == sorted(bits, reverse=True) and bits[0] - bits[-1] > 0.5
+    n = np.bincount(ids)
+    assert bits[-1] < -(n[n > 0] / len(ids) * np.log2(n[n > 0] / len(ids))).sum() * 1.06
+    assert bits[-1] < len(zlib.compress(ids.astype("<u2").tobytes(), 9)) * 8 / len(ids)
+    for block in (1, 7, 300):
+        assert (id_files.decode(id_files.encode(ids[:900], block)) == ids[:900]).all()
+
+
+@pytest.mark.parametrize("ids", [[65_536], [-1], [3, 1 << 20]])
+def test_coder_refuses_ids_that_do_not_fit(ids):
+    with pytest.raises(ValueError):
+        id_files.encode(np.array(ids))
+
+
+def test_pieces_encode_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    library, rng = Tokenizer.from_file(path), random.Random(4)
+    bits = ["foo", "bar", " ", "  ", "\n", "\n\n", "\t", "<|endoftext|>", "don't", "été", "日本", " ", "\x85", "\x1c", "　", "x9", "1234", "...", " a", " the", " ", "᠎", "\U0001f600", "\r\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(8000)]
+    memo = tokens.PieceMemo(path)
+    for size in (8000, 500):
+        for i in range(0, 8000, size):
+            ids, n = memo.values([t.encode() for t in texts[i : i + size]])
+            want = [e.ids for e in library.encode_batch(texts[i : i + size], add_special_tokens=False)]
+            assert n.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+        memo.forget(40)
+
+
+def test_cache_with_a_digest_twice_keeps_one_row_a_document(spark, docs):
+    path, cache = tokens.default_tokenizer(), tokens.CountCache(spark)
+    first = tokens.count_tokens(docs, path, cache).count()
+    held = cache.read(version := tokens.tokenizer_digest(path))
+    cache.append(held, version)  # as two runs at once would
+    assert tokens.count_tokens(docs, path, cache).count() == first == docs.count()
