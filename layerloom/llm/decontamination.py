@@ -26,6 +26,7 @@ from layerloom.llm.common import LOWER, byte_hash, in_arrow, joined, ranges, sli
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+HELD_BYTES = 32 << 20
 _WORD = np.ones(256, bool)
 _WORD[0x00:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
 VERDICT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<long>"
@@ -60,23 +61,17 @@ class TestBlock:
 
 
 def suffix_array(seq: np.ndarray, at: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``seq`` that start at ``at``, each up to ``run`` words long: ties are refined two words at a time."""
-    order, rank, d = np.arange(len(at)), np.zeros(len(at), np.int64), 0
-    while len(at):
-        key = np.zeros(len(at), np.int64)
-        for k in (0, 1):
-            ok = d + k < run
-            key[ok] += seq[at[ok] + d + k] << (0 if k else 31)
-        if not key.any():
-            return order
-        order = np.lexsort((key, rank))
-        step = (np.diff(rank[order]) != 0) | (np.diff(key[order]) != 0)
-        new = np.concatenate(([0], np.cumsum(step)))
-        rank[order] = new
-        if new[-1] == len(at) - 1:
-            return order
-        d += 2
-    return order
+    """Order of the suffixes of ``seq`` that start at ``at``, each up to ``run`` words long, by rank doubling; ``seq`` is 0 where no run is, and at its end."""
+    rank, width = seq, 1
+    while len(at) and width < int(run.max()):
+        key = rank << 32
+        key[:-width] |= rank[width:]  # what follows another run's end only parts suffixes that are equal to their ends
+        distinct, rank = np.unique(key, return_inverse=True)
+        rank = np.where(seq > 0, rank + 1, 0)
+        if len(distinct) == len(seq):
+            break
+        width *= 2
+    return np.argsort(rank[at], kind="stable")
 
 
 def search(block: TestBlock, seq: np.ndarray, at: np.ndarray, run: np.ndarray):
@@ -142,10 +137,19 @@ class Shard:
         gaps = np.flatnonzero(seq == 0)
         known = np.flatnonzero(seq)
         run = gaps[np.searchsorted(gaps, known)] - known
-        at, run = known[run >= block.least], run[run >= block.least]
-        if not len(at):
+        if not (run >= block.least).any():
             return none, none, none
-        order = suffix_array(seq, at, run)
+        # only runs that can hold a window go into the array, each with a gap after it
+        head = np.concatenate(([True], np.diff(known) != 1))
+        of = np.cumsum(head) - 1
+        use = run[head][of] >= block.least
+        place = np.arange(int(use.sum())) + of[use] - np.concatenate(([0], np.cumsum(run[head] < block.least)))[of[use]]
+        short = np.zeros(int(place[-1]) + 2, np.int64)
+        short[place] = seq[known[use]]
+        at, run = known[use], run[use]
+        fits = run >= block.least
+        at, run = at[fits], run[fits]
+        order = suffix_array(short, place[fits], run)
         at, run = at[order], run[order]
         win, best, place = search(block, seq, at, run)
         hit = np.flatnonzero(win[:, 1] > win[:, 0])
@@ -185,15 +189,29 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_
     return out
 
 
-def _matched(texts: list[bytes], tests: list) -> tuple[Shard, list]:
-    shard, found = Shard(texts), []
-    for bc in tests:
+def _matched(batches: Iterator[pa.RecordBatch], tests: list) -> Iterator[tuple[pa.RecordBatch, Shard, list]]:
+    """(rows, their shard, its matches by block). With several blocks, shards of ``HELD_BYTES`` of text wait for each block in turn."""
+    held: list[tuple[pa.RecordBatch, Shard, list]] = []
+    size = 0
+    for batch in batches:
+        for part, texts in slices(batch):
+            held.append((part, Shard(texts), []))
+            size += sum(map(len, texts))
+            if len(tests) == 1 or size > HELD_BYTES:
+                yield from _through(held, tests)
+                held, size = [], 0
+    yield from _through(held, tests)
+
+
+def _through(held: list[tuple[pa.RecordBatch, Shard, list]], tests: list) -> list[tuple[pa.RecordBatch, Shard, list]]:
+    for bc in tests if held else ():
         block = bc.value
-        found.append((block, *shard.match(block)))
+        for _, shard, found in held:
+            found.append((block.item_ids, block.item, block.pos, *shard.match(block)))
         if len(tests) > 1:  # one block in memory at a time
             del block
             bc.__dict__.pop("_value", None)
-    return shard, found
+    return held
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -201,15 +219,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     tests = blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                shard, _ = _matched(texts, tests)
-                n_hit, items = shard.verdicts()
-                names = [",".join(map(str, x)) for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(shard.n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]), pa.array([x > 0 for x in n_hit]), pa.array(items, pa.list_(pa.int64()))],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"])
+        for part, shard, _ in _matched(batches, tests):
+            n_hit, items = shard.verdicts()
+            names = [",".join(map(str, x)) for x in items]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(shard.n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]), pa.array([x > 0 for x in n_hit]), pa.array(items, pa.list_(pa.int64()))],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, run, VERDICT)
 
@@ -219,14 +235,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     tests = blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                ids = np.array([-1 if x is None else x for x in part.column("doc_id").to_pylist()], np.int64)
-                shard, found = _matched(texts, tests)
-                for block, s, n, place in found:
-                    if len(s):
-                        doc = shard.doc_of(place)
-                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (block.item_ids[block.item[s]], block.pos[s], ids[doc], place - shard.begin[doc], n)], ["item_id", "item_pos", "doc_id", "doc_pos", "n_words"])
+        for part, shard, found in _matched(batches, tests):
+            ids = np.array([-1 if x is None else x for x in part.column("doc_id").to_pylist()], np.int64)
+            for item_ids, item, pos, s, n, place in found:
+                if len(s):
+                    doc = shard.doc_of(place)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (item_ids[item[s]], pos[s], ids[doc], place - shard.begin[doc], n)], ["item_id", "item_pos", "doc_id", "doc_pos", "n_words"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, run, MATCH)
     best = F.min(F.struct((-F.col("n_words")).alias("n"), "doc_id", "doc_pos")).alias("m")
@@ -238,9 +252,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     tests = blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                shard, _ = _matched(texts, tests)
-                yield part.filter(pa.array([x == 0 for x in shard.verdicts()[0]]))
+        for part, shard, _ in _matched(batches, tests):
+            yield part.filter(pa.array([x == 0 for x in shard.verdicts()[0]], pa.bool_()))
 
     return docs.transform(in_arrow, run, docs.schema)
