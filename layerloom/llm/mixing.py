@@ -7,8 +7,9 @@ A shard then draws its quota of each source's blocks, disjoint from all others s
 permutation of the source's blocks, and shuffles the documents of its blocks locally.
 
 Offsets in a stream are prefix sums in two steps (hash buckets, then inside a bucket), so a source with a third of all
-rows is not sorted in one task. The driver holds one row per source, at most ``MAX_SOURCES``: weights are a table
-that people write; more raise an error.
+rows is not sorted in one task. Nobody holds the tree: a draw is a function of its node, so a task finds the shard of
+its blocks by walking down from the root through the nodes that it needs. The driver holds one row per source, at most
+``MAX_SOURCES``: weights are a table that people write; more raise an error.
 
 Cases: a null source is a source of its own, last in order; a null or empty text has size 0 and takes 0; repeated rows
 are separate documents; sources without words have target 0; an empty table gives no rows; other columns pass ``mix``.
@@ -29,9 +30,10 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 BLOCK_WORDS = 4096
+#: A shard has so many blocks, fewer if there would be less than LEAST_SHARDS.
 BLOCKS_PER_SHARD = 4096
+LEAST_SHARDS = 8
 MAX_SOURCES = 100_000
-MAX_QUOTAS = 5_000_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,18 +75,54 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray
         if hi - lo == 1:
             out[lo] = have
             continue
-        mid, total = (lo + hi) // 2, int(have.sum())
-        draw = total * (mid - lo) // (hi - lo)
-        rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        left = np.zeros_like(have)
-        for i, n in enumerate(have.tolist()):
-            total -= n
-            left[i] = rng.hypergeometric(n, total, draw) if draw and n else 0
-            draw -= int(left[i])
+        mid = (lo + hi) // 2
+        left = left_half(have, lo, hi, seed)
         nodes += [(lo, mid, left), (mid, hi, have - left)]
     return out
 
 
+def left_half(have: np.ndarray, lo: int, hi: int, seed: int) -> np.ndarray:
+    """How many blocks of each source the left half of a node's shards draws from the node's own, without replacement."""
+    total = int(have.sum())
+    draw = total * ((lo + hi) // 2 - lo) // (hi - lo)
+    rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
+    left = np.zeros_like(have)
+    for i, n in enumerate(have.tolist()):
+        total -= n
+        left[i] = rng.hypergeometric(n, total, draw) if draw and n else 0
+        draw -= int(left[i])
+    return left
+
+
+class TreeWalk:
+    """Finds the shards of drawn blocks; of each source, a node's left half takes the first ones of the node's blocks. Keeps the draws of NODES nodes at most."""
+
+    NODES = 20_000
+
+    def __init__(self, quotas: np.ndarray, shards: int, seed: int = 0):
+        self.quotas, self.shards, self.seed = quotas.astype(np.int64), shards, seed
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+
+    def shard_of(self, source: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(source), np.int64)
+        nodes = [(0, self.shards, self.quotas, np.arange(len(source)), drawn.astype(np.int64))]
+        while nodes:
+            lo, hi, have, who, place = nodes.pop()
+            if not len(who):
+                continue
+            if hi - lo == 1:
+                out[who] = lo
+                continue
+            left = self.known.get((lo, hi))
+            if left is None:
+                if len(self.known) >= self.NODES:
+                    self.known.clear()
+                left = self.known[lo, hi] = left_half(have, lo, hi, self.seed)
+            here, mid = place < left[source[who]], (lo + hi) // 2
+            nodes += [(lo, mid, left, who[here], place[here]), (mid, hi, have - left, who[~here], place[~here] - left[source[who[~here]]])]
+        return out
+
+
 def permuted(i: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     """A seeded permutation of 0..n-1 at ``i``: a Feistel network over the next power of four, walked until it is inside."""
     half = np.maximum(1, np.ceil(np.log2(np.maximum(n, 2)) / 2)).astype(np.uint64)
@@ -101,7 +139,7 @@ def permuted(i: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int = BLOCKS_PER_SHARD) -> DataFrame:
+def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int = BLOCKS_PER_SHARD, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """Per row of ``docs``: its key, sizes, its source's target, and its draws: epoch, block, shard, and words from the document's start."""
     spark = docs.sparkSession
     sized = written(sizes(docs))
@@ -113,11 +151,8 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int
     want = targets(totals) if sum(totals) else [0.0] * len(rows)
     words = np.array([min(round(t), MAX_EPOCHS * s) for t, s in zip(want, totals)], np.int64)
     quota = -(-words // block_words)
-    shards = max(1, -(-int(quota.sum()) // blocks_per_shard))
-    if shards * len(rows) > MAX_QUOTAS:
-        raise ValueError(f"{shards} shards of {len(rows)} sources: take larger blocks")
-    ends = np.cumsum(splitting_tree(quota, shards), axis=0).T.copy()  # by source: the first block of each next shard
-    mix = spark.sparkContext.broadcast((words, quota, ends))
+    shards = max(least_shards, -(-int(quota.sum()) // blocks_per_shard))
+    mix = spark.sparkContext.broadcast((words, quota, shards))
     known = spark.createDataFrame([(i, r.source, r.total, float(want[i])) for i, r in enumerate(rows)], "k int, named string, source_size long, target double")
     digits = 1 + max(0, int(np.ceil(np.log2(max(1, max([r.n for r in rows], default=1) / 50_000)) / 4)))
     placed = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("named"))).drop("named", "source").withColumn("bucket", F.substring("place", 1, digits))
@@ -128,7 +163,8 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int
     located = placed.withColumn("within", within).join(buckets, ["k", "bucket"]).withColumn("offset", F.col("base") + F.col("within"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, quota, ends = mix.value
+        words, quota, shards = mix.value
+        tree = TreeWalk(quota, shards)
         for x in batches:
             k, size = x.k.to_numpy(), x["size"].to_numpy()
             draws: list[list] = [[] for _ in range(len(x))]
@@ -138,9 +174,7 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int
                 i = np.flatnonzero(take > 0)
                 block = start[i] // block_words
                 drawn = permuted(block, quota[k[i]], (k[i] + 1).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-                shard = np.zeros(len(i), np.int64)
-                for s in np.unique(k[i]):
-                    shard[k[i] == s] = np.searchsorted(ends[s], drawn[k[i] == s], side="right")
+                shard = tree.shard_of(k[i], drawn)
                 for j, *d in zip(i.tolist(), block.tolist(), shard.tolist(), take[i].tolist()):
                     draws[j].append({"epoch": e, "block": d[0], "shard": d[1], "n_words": d[2]})
             yield x[[*ROW, "k", "size", "source_size", "target", "place"]].assign(draws=draws)
@@ -149,23 +183,32 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """Per document: its words, its source's words and target, and the words that the mix draws of it."""
+    """Per document: its words, its source's words and target, and the words that the shards draw of it."""
     total = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d.n_words)
     return plan(docs).select("doc_id", "size", "source_size", "target", total.alias("taken"))
 
 
-def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """The mixed documents with all their columns and ``mix_shard``, ``mix_order``: one row for each draw, shuffled inside its shard.
+def shard_words(docs: DataFrame, **sizes_: int) -> DataFrame:
+    """What the tree dealt out: per shard and source, the blocks that hold documents, and their words."""
+    draws = plan(docs, **sizes_).select("k", F.explode("draws").alias("d"))
+    return draws.groupBy(F.col("d.shard").alias("shard"), F.col("k").alias("source_number")).agg(F.countDistinct("d.block").alias("n_blocks"), F.sum("d.n_words").alias("n_words"))
+
+
+def mix(docs: DataFrame, whole: bool = False, **sizes_: int) -> DataFrame:
+    """The mixed documents with all their columns and ``mix_shard``, ``mix_order`` (in place of columns of these names): one row for each draw, shuffled inside its shard.
 
-    A source's stream ends at its target to the word, so its last document may be cut there; with ``whole`` it is kept whole.
+    A source's stream ends at its target to the word, so its last document may be cut there; with ``whole`` it is kept
+    whole. ``sizes_`` go to ``plan``.
     """
-    d = plan(docs).select(*ROW, "k", "size", "place", F.explode("draws").alias("d"))
+    d = plan(docs, **sizes_).select(*ROW, "k", "size", "place", F.explode("draws").alias("d"))
     order = F.md5(F.concat_ws("|", "d.shard", "k", "d.block", "d.epoch", "place").cast("binary"))
     cut = F.when(F.col("d.n_words") < F.col("size"), F.col("d.n_words"))
-    d = d.select(F.col("doc_id").alias("drawn_id"), F.col("text_hash").alias("drawn_hash"), F.col("nth").alias("drawn_nth"), F.col("d.shard").alias("mix_shard"), order.alias("mix_order"), cut.cast("int").alias("drawn_cut"))
-    rows = numbered(docs.withColumn("text_hash", F.xxhash64("text")))
-    out = rows.join(d, F.col("doc_id").eqNullSafe(F.col("drawn_id")) & (F.col("text_hash") == F.col("drawn_hash")) & (F.col("nth") == F.col("drawn_nth")))
+    d = d.select(F.coalesce("doc_id", F.lit(0)).alias("drawn_id"), F.col("doc_id").isNull().alias("drawn_null"), F.col("text_hash").alias("drawn_hash"), F.col("nth").alias("drawn_nth"), F.col("d.shard").alias("mix_shard"), order.alias("mix_order"), cut.cast("int").alias("drawn_cut"))
+    rows = numbered(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash")))
+    out = rows.join(d, (F.coalesce("doc_id", F.lit(0)) == F.col("drawn_id")) & (F.col("doc_id").isNull() == F.col("drawn_null")) & (F.col("text_hash") == F.col("drawn_hash")) & (F.col("nth") == F.col("drawn_nth")))
+    text = F.col("row.text")
     if not whole:
-        words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-        out = out.withColumn("text", F.when(F.col("drawn_cut").isNull(), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.coalesce("drawn_cut", F.lit(1))), "")))
-    return out.select(*docs.columns, "mix_shard", "mix_order")
+        words = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+        text = F.when(F.col("drawn_cut").isNull(), text).otherwise(F.array_join(F.slice(words, F.lit(1), F.coalesce("drawn_cut", F.lit(1))), ""))
+    kept = [text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("mix_shard", "mix_order")]
+    return out.select(*kept, "mix_shard", "mix_order")

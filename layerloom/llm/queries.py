@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def mix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shard_words(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_decontamination, op2_token_counts, op3_mixing, op4_suffix_dedup, op5_quality, op6_urls, op7_fingerprints, op8_token_ids, op9_jaccard_join, op10_lm_scores)
+    own = (op1_decontamination, op2_token_counts, op3_mixing, mix_shards, op4_suffix_dedup, op5_quality, op6_urls, op7_fingerprints, op8_token_ids, op9_jaccard_join, op10_lm_scores)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
