@@ -402,14 +402,15 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Here a document is an id with a text: rows that share an id, or have none, but hold different texts are linked and
     kept each by its own text. Rows equal in both are one document, but for those without id and words.
     """
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).withColumn("_text_hash", F.xxhash64("text"))
-    keyed = keyed.withColumn("_key", F.xxhash64("_id", F.coalesce("text", F.lit(""))))
-    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = keyed.where(~loose)
-    found = groups(rows.select(F.col("_key").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    ids = rows.select("_key", "_id", "_text_hash").distinct()
-    first = found.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_text_hash", "_key")).alias("first")).select(F.col("first._key").alias("_key"))
-    others = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
-    place = F.row_number().over(Window.partitionBy("_key").orderBy(others))
-    kept = rows.join(first, "_key", "left_semi").withColumn("_place", place).where("_place = 1")
-    return kept.select(docs.columns).unionByName(keyed.where(loose).select(docs.columns))
+    text = F.col("text")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    loose = (F.col("id") == _LEAST) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = keyed.withColumn("key", F.xxhash64("id", F.coalesce("text", F.lit("")))).withColumn("loose", loose)
+    rows = keyed.where("NOT loose")
+    found = groups(rows.select(F.col("key").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = rows.select("key", "id", "text_hash").distinct()
+    first = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "text_hash", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    others = F.xxhash64(*[F.col(f"row.`{c}`").cast("string") for c in docs.columns])
+    place = F.row_number().over(Window.partitionBy("key").orderBy(others))
+    kept = rows.join(first, "key", "left_semi").withColumn("place", place).where("place = 1")
+    return kept.select("row.*").unionByName(keyed.where("loose").select("row.*"))
