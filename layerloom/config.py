@@ -1,10 +1,10 @@
 """Defaults of the jobs; every job takes them as plain arguments."""
 
-CHUNK_MAX_TOKENS = 150
-CHUNK_OVERLAP = 1
+PASSAGE_MAX_TOKENS = 150
+PASSAGE_OVERLAP = 1
 MERGE_THRESHOLD = 0.80
 MERGE_MAX_TOKENS = 400
-LOOKBACK_CHUNKS = 2
+LOOKBACK_PASSAGES = 2
 EMBED_BATCH = 128
 CLAIM_DEDUP_THRESHOLD = 0.93
 TOP_K = 20

@@ -2,12 +2,12 @@
 
 
 def queries() -> dict:
-    from layerloom.jobs import library, queries, replies  # noqa: F401  (the last two register theirs with the first)
+    from layerloom.jobs import episodes, library, queries, replies  # noqa: F401  (the others register theirs with ``queries``)
 
     return dict(queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from layerloom.jobs import library_oracles, oracles, replies
+    from layerloom.jobs import episodes, library_oracles, oracles, replies
 
-    return oracles.SQL | library_oracles.SQL | replies.SQL
+    return oracles.SQL | library_oracles.SQL | replies.SQL | episodes.SQL

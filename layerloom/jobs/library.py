@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerloom.functions import text as T
-from layerloom.jobs.queries import _chunks, _items, _second_run, _vectors, query
+from layerloom.jobs.queries import _passages, _items, _second_run, _vectors, query
 from layerloom.operators import admission, layers, status
 from layerloom.sources.tables import table
 
@@ -24,13 +24,13 @@ def _files(spark, d) -> DataFrame:
 
 
 def _stamped(spark, d) -> DataFrame:
-    return _chunks(spark, d).withColumn("stamped", F.col("id") % 3 != 0)
+    return _passages(spark, d).withColumn("stamped", F.col("id") % 3 != 0)
 
 
 def _spanned(spark, d) -> DataFrame:
-    """Items of some chunks, of which some have lost their span."""
+    """Items of some passages, of which some have lost their span."""
     lost = F.col("p") % 9 == 4
-    return _items(spark, d).where("chunk_id % 5 <> 1").withColumn("start_char", F.when(lost, 0).otherwise(F.col("start_char"))).withColumn("end_char", F.when(lost, 0).otherwise(F.col("end_char")))
+    return _items(spark, d).where("passage_id % 5 <> 1").withColumn("start_char", F.when(lost, 0).otherwise(F.col("start_char"))).withColumn("end_char", F.when(lost, 0).otherwise(F.col("end_char")))
 
 
 @query
@@ -65,8 +65,8 @@ def merge_report(spark, d):
 
 
 @query
-def bad_span_chunks(spark, d):
-    return status.bad_span_chunks(_spanned(spark, d))
+def bad_span_passages(spark, d):
+    return status.bad_span_passages(_spanned(spark, d))
 
 
 @query
@@ -76,25 +76,25 @@ def scope_status(spark, d):
 
 @query
 def missing_embeddings(spark, d):
-    return status.missing_embeddings(_chunks(spark, d).withColumn("embedded", F.col("id") % 7 != 2), _items(spark, d).withColumn("embedded", F.col("p") % 6 != 1))
+    return status.missing_embeddings(_passages(spark, d).withColumn("embedded", F.col("id") % 7 != 2), _items(spark, d).withColumn("embedded", F.col("p") % 6 != 1))
 
 
 @query
 def extraction_summary(spark, d):
-    chunks = _stamped(spark, d)
+    passages = _stamped(spark, d)
     episodes = table(spark, d, "conversations").select(F.col("conv_id").alias("episode_id")).distinct()
-    return status.summary(episodes, chunks.where("episode_id % 10 <> 7"), _items(spark, d).where("episode_id % 10 <> 7"))
+    return status.summary(episodes, passages.where("episode_id % 10 <> 7"), _items(spark, d).where("episode_id % 10 <> 7"))
 
 
 @query
 def featured_episodes(spark, d):
-    return status.newest(_chunks(spark, d))
+    return status.newest(_passages(spark, d))
 
 
 @query
 def model_label(spark, d):
-    chunks = _chunks(spark, d).withColumn("model", F.expr("CASE WHEN id % 4 = 0 THEN 'large' WHEN id % 4 = 1 THEN 'small' ELSE '' END"))
-    return status.model_labels(chunks, _items(spark, d).withColumn("model", F.concat(F.lit("m"), F.length("content") % 3)))
+    passages = _passages(spark, d).withColumn("model", F.expr("CASE WHEN id % 4 = 0 THEN 'large' WHEN id % 4 = 1 THEN 'small' ELSE '' END"))
+    return status.model_labels(passages, _items(spark, d).withColumn("model", F.concat(F.lit("m"), F.length("content") % 3)))
 
 
 def _actions(flags: DataFrame) -> DataFrame:
@@ -118,9 +118,9 @@ def resolution_status(spark, d):
 
 @query
 def delete_episodes(spark, d):
-    gone = _chunks(spark, d).where("episode_id % 4 = 1").select("episode_id").distinct()
-    chunks, items = status.delete_episodes(_chunks(spark, d), _items(spark, d), gone)
-    return layers.layer_counts(chunks, items)
+    gone = _passages(spark, d).where("episode_id % 4 = 1").select("episode_id").distinct()
+    passages, items = status.delete_episodes(_passages(spark, d), _items(spark, d), gone)
+    return layers.layer_counts(passages, items)
 
 
 def _joined(name: str):
@@ -129,21 +129,21 @@ def _joined(name: str):
 
 @query
 def export_nested(spark, d):
-    rows = status.nested_export(_chunks(spark, d), _items(spark, d))
-    return rows.select("id", "episode_id", "chunk_index", *[F.array_join(f"{v}.content", "|").alias(v) for v in ("propositions", "claims", "phrases")])
+    rows = status.nested_export(_passages(spark, d), _items(spark, d))
+    return rows.select("id", "episode_id", "passage_index", *[F.array_join(f"{v}.content", "|").alias(v) for v in ("propositions", "claims", "phrases")])
 
 
 @query
 def unresolved_export(spark, d):
     items = _items(spark, d)
-    rows = status.unresolved_export(_chunks(spark, d), items, layers.flagged(items))
+    rows = status.unresolved_export(_passages(spark, d), items, layers.flagged(items))
     return rows.select("item_id", "episode_id", "layer", "content", *map(_joined, ("propositions", "claims", "prior_propositions")))
 
 
 @query
 def extraction_trace(spark, d):
     items = _items(spark, d).withColumn("start_char", F.when(F.col("p") % 8 == 5, -1).otherwise(F.col("start_char")))
-    return status.trace(_chunks(spark, d), items, layers.flagged(items))
+    return status.trace(_passages(spark, d), items, layers.flagged(items))
 
 
 @query

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerloom import config
 from layerloom.functions import text as T
 from layerloom.functions import vectors as V
-from layerloom.operators import chunking, layers, retrieval
+from layerloom.operators import packing, layers, retrieval
 from layerloom.sources import tables
 from layerloom.sources.tables import table
 
@@ -22,12 +22,12 @@ def query(f):
     return f
 
 
-def _chunks(spark, d):
-    return tables.dialogue_chunks(table(spark, d, "conversations"))
+def _passages(spark, d):
+    return tables.dialogue_passages(table(spark, d, "conversations"))
 
 
 def _items(spark, d):
-    return tables.items(_chunks(spark, d))
+    return tables.items(_passages(spark, d))
 
 
 def _second_run(items: DataFrame) -> DataFrame:
@@ -77,29 +77,28 @@ def parse_header(spark, d):
 
 @query
 def dedupe_episodes(spark, d):
-    first = F.row_number().over(Window.partitionBy("content_hash").orderBy("id"))
-    return tables.episodes(table(spark, d, "documents")).select("id", "content_hash").withColumn("r", first).where("r = 1").drop("r")
+    return tables.episodes(table(spark, d, "documents")).groupBy("content_hash").agg(F.min("id").alias("id")).select("id", "content_hash")
 
 
 @query
 def sentences(spark, d):
-    rows = chunking.sentence_rows(table(spark, d, "documents"), "doc_id")
+    rows = packing.sentence_rows(table(spark, d, "documents"), "doc_id")
     return rows.groupBy("episode_id").agg(F.count("*").alias("sentences"), F.sum("tokens").alias("tokens"))
 
 
 @query
-def chunk_text(spark, d):
-    return chunking.chunk(table(spark, d, "documents"), "doc_id")
+def passage_text(spark, d):
+    return packing.passage(table(spark, d, "documents"), "doc_id")
 
 
 @query
 def ingest_report(spark, d):
-    """The flagship: clean, hash, drop repeats, cut into chunks, and count by source."""
+    """The flagship: clean, hash, drop repeats, cut into passages, and count by source."""
     docs = table(spark, d, "documents").select("doc_id", "source", T.clean("text").alias("text"))
-    first = F.row_number().over(Window.partitionBy(T.content_hash("text")).orderBy("doc_id"))
-    ids = docs.select("doc_id", "source", first.alias("r")).where("r = 1").select("doc_id", "source")
-    chunks = chunking.chunk(docs.join(ids.select("doc_id"), "doc_id", "left_semi"), "doc_id")
-    return chunks.join(ids, F.col("episode_id") == F.col("doc_id")).groupBy("source").agg(F.countDistinct("doc_id").alias("episodes"), F.count("*").alias("chunks"), F.sum("token_estimate").alias("tokens"))
+    first = docs.groupBy(T.content_hash("text").alias("hash")).agg(F.min(F.struct("doc_id", "source", "text")).alias("first"))
+    # source and id are the passageed text's key, so the passages need no join
+    passages = packing.passage(first.select(F.struct("first.doc_id", "first.source").alias("key"), "first.text"), "key")
+    return passages.groupBy("episode_id.source").agg(F.countDistinct("episode_id.doc_id").alias("episodes"), F.count("*").alias("passages"), F.sum("token_estimate").alias("tokens"))
 
 
 @query
@@ -110,7 +109,7 @@ def library_page(spark, d):
 
 @query
 def extraction_requests(spark, d):
-    return _chunks(spark, d).select("id", F.concat(F.lit("Extract the layers of this passage:\n"), "content").alias("request"))
+    return _passages(spark, d).select("id", F.concat(F.lit("Extract the layers of this passage:\n"), "content").alias("request"))
 
 
 @query
@@ -121,13 +120,13 @@ def episode_layer_status(spark, d):
 
 
 @query
-def pending_chunks(spark, d):
+def pending_passages(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
 @query
-def chunk_layer_counts(spark, d):
-    return layers.layer_counts(_chunks(spark, d), _items(spark, d))
+def passage_layer_counts(spark, d):
+    return layers.layer_counts(_passages(spark, d), _items(spark, d))
 
 
 @query
@@ -137,12 +136,12 @@ def flagged_items(spark, d):
 
 @query
 def prior_context(spark, d):
-    return layers.prior_context(_chunks(spark, d))
+    return layers.prior_context(_passages(spark, d))
 
 
 @query
 def lookback_requests(spark, d):
-    return layers.lookback_requests(_chunks(spark, d), layers.flagged(_items(spark, d)))
+    return layers.lookback_requests(_passages(spark, d), layers.flagged(_items(spark, d)))
 
 
 @query
@@ -171,8 +170,8 @@ def model_diff_totals(spark, d):
 @query
 def clear_layers(spark, d):
     items = _items(spark, d)
-    scope = _chunks(spark, d).where("episode_id % 3 = 0").select("episode_id").distinct()
-    return layers.clear_layers(_chunks(spark, d), items, scope)[1]
+    scope = _passages(spark, d).where("episode_id % 3 = 0").select("episode_id").distinct()
+    return layers.clear_layers(_passages(spark, d), items, scope)[1]
 
 
 @query
@@ -206,7 +205,7 @@ def topk_layers(spark, d):
 
 @query
 def topk_retrieve(spark, d):
-    return retrieval.best_chunks(retrieval.layer_hits(_vectors(spark, d).where("id >= 5"), _queries(spark, d), 0.20, 0.25))
+    return retrieval.best_passages(retrieval.layer_hits(_vectors(spark, d).where("id >= 5"), _queries(spark, d), 0.20, 0.25))
 
 
 def _all_hits(spark, d):
@@ -222,7 +221,7 @@ def topk_layers_all(spark, d):
 
 @query
 def topk_retrieve_all(spark, d):
-    return retrieval.best_chunks(_all_hits(spark, d))
+    return retrieval.best_passages(_all_hits(spark, d))
 
 
 @query

@@ -48,11 +48,11 @@ def backfill_hashes(episodes: DataFrame) -> DataFrame:
     return todo.join(free, "hash", "left").select("id", F.when(mine, F.col("hash")).alias("content_hash"), F.when(mine, "updated").otherwise("skipped").alias("action"))
 
 
-def merge_neighbours(chunks: DataFrame, threshold: float = config.MERGE_THRESHOLD, cap: int = config.MERGE_MAX_TOKENS) -> DataFrame:
-    """Chunks (episode_id, position, tokens, embedding) with the group that each belongs to, and its likeness to the group so far.
+def merge_neighbours(passages: DataFrame, threshold: float = config.MERGE_THRESHOLD, cap: int = config.MERGE_MAX_TOKENS) -> DataFrame:
+    """Passages (episode_id, position, tokens, embedding) with the group that each belongs to, and its likeness to the group so far.
 
-    A chunk joins the group before it if the dot product with the group's vector exceeds ``threshold`` and the tokens fit
-    ``cap``; the vector is then the normalised mean. Each chunk depends on the one before, so an episode's chunks pass
+    A passage joins the group before it if the dot product with the group's vector exceeds ``threshold`` and the tokens fit
+    ``cap``; the vector is then the normalised mean. Each passage depends on the one before, so an episode's passages pass
     one task in order; only the running vector is held, not the episode.
     """
 
@@ -76,11 +76,11 @@ def merge_neighbours(chunks: DataFrame, threshold: float = config.MERGE_THRESHOL
                 likeness.append(like)
             yield pd.DataFrame({"episode_id": b["episode_id"], "position": b["position"], "tokens": b["tokens"], "group_index": groups, "likeness": pd.Series(likeness, dtype="float64")})
 
-    rows = chunks.select(F.col("episode_id").cast("long"), F.col("position").cast("long"), F.col("tokens").cast("long"), "embedding").repartition("episode_id").sortWithinPartitions("episode_id", "position")
+    rows = passages.select(F.col("episode_id").cast("long"), F.col("position").cast("long"), F.col("tokens").cast("long"), "embedding").repartition("episode_id").sortWithinPartitions("episode_id", "position")
     return rows.mapInPandas(run, "episode_id long, position long, tokens long, group_index long, likeness double")
 
 
 def merge_report(merged: DataFrame) -> DataFrame:
-    """Per episode: chunks before and after merging, and merges."""
-    out = merged.groupBy("episode_id").agg(F.count("*").alias("raw_chunks"), (F.max("group_index") + 1).alias("final_chunks"))
-    return out.withColumn("merges", F.col("raw_chunks") - F.col("final_chunks"))
+    """Per episode: passages before and after merging, and merges."""
+    out = merged.groupBy("episode_id").agg(F.count("*").alias("raw_passages"), (F.max("group_index") + 1).alias("final_passages"))
+    return out.withColumn("merges", F.col("raw_passages") - F.col("final_passages"))

@@ -1,4 +1,4 @@
-"""Jobs over chunks and their layered items: selection, counts, look-back, differences, exports, clearing."""
+"""Jobs over passages and their layered items: selection, counts, look-back, differences, exports, clearing."""
 
 from __future__ import annotations
 
@@ -6,57 +6,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerloom import config
+from layerloom.functions.text import strip
 
 
-def layer_counts(chunks: DataFrame, items: DataFrame) -> DataFrame:
-    """Items of each layer per chunk; children are counted before the join."""
-    n = items.groupBy(F.col("chunk_id").alias("id")).agg(*[F.count_if(F.col("layer") == k).alias(v) for k, v in config.LAYERS.items()])
-    return chunks.select("id", "episode_id", "chunk_index").join(n, "id", "left").na.fill(0, list(config.LAYERS.values()))
+def layer_counts(passages: DataFrame, items: DataFrame) -> DataFrame:
+    """Items of each layer per passage; children are counted before the join."""
+    n = items.groupBy(F.col("passage_id").alias("id")).agg(*[F.count_if(F.col("layer") == k).alias(v) for k, v in config.LAYERS.items()])
+    return passages.select("id", "episode_id", "passage_index").join(n, "id", "left").na.fill(0, list(config.LAYERS.values()))
 
 
 def flagged(items: DataFrame) -> DataFrame:
-    """Propositions and claims that need earlier context, named by chunk, layer and place in the layer."""
-    place = F.row_number().over(Window.partitionBy("chunk_id", "layer").orderBy("p")) - 1
+    """Propositions and claims that need earlier context, named by passage, layer and place in the layer."""
+    place = F.row_number().over(Window.partitionBy("passage_id", "layer").orderBy("p")) - 1
     plural = F.create_map(*[F.lit(x) for kv in config.LAYERS.items() for x in kv])[F.col("layer")]
-    rows = items.withColumn("item_id", F.concat_ws(":", "chunk_id", plural, place))
-    return rows.where("needs_lookback").select("item_id", "chunk_id", "episode_id", "chunk_index", "layer", "content")
+    rows = items.withColumn("item_id", F.concat_ws(":", "passage_id", plural, place))
+    return rows.where("needs_lookback").select("item_id", "passage_id", "episode_id", "passage_index", "layer", "content")
 
 
-def prior_context(chunks: DataFrame, n: int = config.LOOKBACK_CHUNKS) -> DataFrame:
-    """The texts of the last ``n`` existing chunks before each, joined by blank lines."""
-    before = Window.partitionBy("episode_id").orderBy("chunk_index").rowsBetween(-n, -1)
-    return chunks.select("id", "episode_id", "chunk_index", F.array_join(F.collect_list("content").over(before), "\n\n").alias("prior"))
+def prior_context(passages: DataFrame, n: int = config.LOOKBACK_PASSAGES) -> DataFrame:
+    """The texts of the last ``n`` existing passages before each, joined by blank lines."""
+    before = Window.partitionBy("episode_id").orderBy("passage_index").rowsBetween(-n, -1)
+    return passages.select("id", "episode_id", "passage_index", F.array_join(F.collect_list("content").over(before), "\n\n").alias("prior"))
 
 
-def lookback_requests(chunks: DataFrame, flags: DataFrame, n: int = config.LOOKBACK_CHUNKS) -> DataFrame:
-    """One request per chunk with flagged items: the prior text and the items in order of id."""
-    asked = flags.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "content"))).alias("items"))
-    return asked.join(prior_context(chunks, n), F.col("chunk_id") == F.col("id")).select("chunk_id", "prior", F.size("items").cast("long").alias("n_items"), F.array_join("items.item_id", ",").alias("item_ids"))
+def lookback_requests(passages: DataFrame, flags: DataFrame, n: int = config.LOOKBACK_PASSAGES) -> DataFrame:
+    """One request per passage with flagged items: the prior text and the items in order of id."""
+    asked = flags.groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "content"))).alias("items"))
+    return asked.join(prior_context(passages, n), F.col("passage_id") == F.col("id")).select("passage_id", "prior", F.size("items").cast("long").alias("n_items"), F.array_join("items.item_id", ",").alias("item_ids"))
 
 
 def apply_lookback(flags: DataFrame, replies: DataFrame) -> DataFrame:
     """Replies (item_id, reply): an empty, equal or missing one leaves the flag."""
     out = flags.join(replies, "item_id", "left")
     done = F.coalesce((F.col("reply") != "") & (F.col("reply") != F.col("content")), F.lit(False))
-    return out.select("item_id", "chunk_id", "episode_id", F.when(done, F.col("reply")).otherwise(F.col("content")).alias("content"), (~done).alias("needs_lookback"))
+    return out.select("item_id", "passage_id", "episode_id", F.when(done, F.col("reply")).otherwise(F.col("content")).alias("content"), (~done).alias("needs_lookback"))
 
 
 def lookback_summary(applied: DataFrame) -> DataFrame:
     open_ = F.array_join(F.array_sort(F.collect_list(F.when(F.col("needs_lookback"), F.col("item_id")))), ",")
-    return applied.groupBy("episode_id").agg(F.count("*").alias("flagged"), F.countDistinct("chunk_id").alias("calls"), F.count_if(~F.col("needs_lookback")).alias("resolved"), open_.alias("still_unresolved"))
+    return applied.groupBy("episode_id").agg(F.count("*").alias("flagged"), F.countDistinct("passage_id").alias("calls"), F.count_if(~F.col("needs_lookback")).alias("resolved"), open_.alias("still_unresolved"))
 
 
 def _keys(items: DataFrame, side: str) -> DataFrame:
-    last = Window.partitionBy("chunk_id", "layer", "key").orderBy(F.desc("id"))
-    rows = items.withColumn("key", F.trim("content")).withColumn("r", F.row_number().over(last)).where("r = 1")
-    return rows.select("chunk_id", "layer", "key", F.col("source_text").alias(side))
+    last = Window.partitionBy("passage_id", "layer", "key").orderBy(F.desc("id"))
+    rows = items.withColumn("key", strip("content")).withColumn("r", F.row_number().over(last)).where("r = 1")
+    return rows.select("passage_id", "layer", "key", F.col("source_text").alias(side), F.lit(True).alias(f"in_{side}"))
 
 
 def model_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """What a second run added, removed, kept, or anchored elsewhere, by trimmed content; of equal keys the last counts."""
-    both = _keys(old, "was").join(_keys(new, "now"), ["chunk_id", "layer", "key"], "full_outer")
-    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "source_span_changed").otherwise("unchanged")
-    return both.select("chunk_id", "layer", "key", change.alias("change"))
+    both = _keys(old, "was").join(_keys(new, "now"), ["passage_id", "layer", "key"], "full_outer")
+    change = F.when(F.col("in_was").isNull(), "added").when(F.col("in_now").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "source_span_changed").otherwise("unchanged")
+    return both.select("passage_id", "layer", "key", change.alias("change"))
 
 
 def model_diff_totals(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -65,11 +66,11 @@ def model_diff_totals(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.rollup("layer").agg(F.sum("o").alias("old"), F.sum("n").alias("new"), F.sum(F.col("n") - F.col("o")).alias("delta"))
 
 
-def clear_layers(chunks: DataFrame, items: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
+def clear_layers(passages: DataFrame, items: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items left, report) after the items of the episodes in ``scope`` are removed."""
     inside = items.join(scope, "episode_id", "left_semi")
-    n = chunks.join(scope, "episode_id", "left_semi").agg(F.count("*").alias("chunks"))
-    report = inside.agg(F.countDistinct("chunk_id").alias("chunks_with_rows"), *[F.count_if(F.col("layer") == k).alias(v) for k, v in config.LAYERS.items()])
+    n = passages.join(scope, "episode_id", "left_semi").agg(F.count("*").alias("passages"))
+    report = inside.agg(F.countDistinct("passage_id").alias("passages_with_rows"), *[F.count_if(F.col("layer") == k).alias(v) for k, v in config.LAYERS.items()])
     return items.join(scope, "episode_id", "left_anti"), n.join(report)
 
 
@@ -77,14 +78,14 @@ def sample(items: DataFrame, count: int = 32, seed: str = "s") -> DataFrame:
     """A seeded sample of each layer, cut to ``count``."""
     rank = F.row_number().over(Window.partitionBy("layer").orderBy(F.md5(F.concat(F.lit(seed), F.col("id").cast("string")).cast("binary"))))
     rows = items.withColumn("r", rank).where(F.col("r") <= (count + 2) // 3)
-    return rows.orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col("id").cast("string")).cast("binary"))).limit(count).select("id", "layer", "chunk_id", "content")
+    return rows.orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col("id").cast("string")).cast("binary"))).limit(count).select("id", "layer", "passage_id", "content")
 
 
 def export_rows(items: DataFrame, layer: str) -> DataFrame:
-    return items.where(F.col("layer") == layer).select("episode_id", "chunk_index", "start_char", "id", "content").orderBy("chunk_index", "start_char", "id")
+    return items.where(F.col("layer") == layer).select("episode_id", "passage_index", "start_char", "id", "content").orderBy("passage_index", "start_char", "id")
 
 
-def episode_status(chunks: DataFrame) -> DataFrame:
-    """Per episode: chunks, layered ones (``extracted`` set) and a label."""
-    n = chunks.groupBy("episode_id").agg(F.count("*").alias("chunks"), F.count_if("extracted").alias("layered"))
-    return n.withColumn("status", F.when(F.col("layered") == F.col("chunks"), "fully_layered").when(F.col("layered") > 0, "partial").otherwise("not_started"))
+def episode_status(passages: DataFrame) -> DataFrame:
+    """Per episode: passages, layered ones (``extracted`` set) and a label."""
+    n = passages.groupBy("episode_id").agg(F.count("*").alias("passages"), F.count_if("extracted").alias("layered"))
+    return n.withColumn("status", F.when(F.col("layered") == F.col("passages"), "fully_layered").when(F.col("layered") > 0, "partial").otherwise("not_started"))

@@ -1,7 +1,7 @@
-"""Overlapping sentence chunks by greedy packing, without a loop over a document in Python.
+"""Overlapping sentence passages by greedy packing, without a loop over a document in Python.
 
-For a sentence, the tokens before it rise strictly, so the last sentence that fits a chunk that starts here is found by
-a range frame over them. The real chunk starts are the chain from the first sentence on, one fold over a document's
+For a sentence, the tokens before it rise strictly, so the last sentence that fits a passage that starts here is found by
+a range frame over them. The real passage starts are the chain from the first sentence on, one fold over a document's
 array of ends.
 """
 
@@ -20,8 +20,8 @@ def sentence_rows(docs: DataFrame, id_col: str = "id", text_col: str = "text") -
     return rows.select("episode_id", F.col("position").cast("long").alias("position"), F.col("x.paragraph"), F.col("x.sentence"), token_estimate(F.col("x.sentence")).alias("tokens"))
 
 
-def pack(rows: DataFrame, max_tokens: int = config.CHUNK_MAX_TOKENS, overlap: int = config.CHUNK_OVERLAP) -> DataFrame:
-    """(episode_id, chunk_index, content, token_estimate) from sentence rows; one shuffle, by episode."""
+def pack(rows: DataFrame, max_tokens: int = config.PASSAGE_MAX_TOKENS, overlap: int = config.PASSAGE_OVERLAP) -> DataFrame:
+    """(episode_id, passage_index, content, token_estimate) from sentence rows; one shuffle, by episode."""
     by = Window.partitionBy("episode_id")
     before = F.coalesce(F.sum("tokens").over(by.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("before", before).withColumn("n", F.count("*").over(by)).withColumn("total", F.sum("tokens").over(by))
@@ -33,21 +33,21 @@ def pack(rows: DataFrame, max_tokens: int = config.CHUNK_MAX_TOKENS, overlap: in
     rows = rows.withColumn("joint", text)
     items = F.array_sort(F.collect_list(F.struct("position", "end", "joint", "sentence")))
     docs = rows.groupBy("episode_id").agg(items.alias("items"), F.max("n").alias("n"))
-    start = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("chunks"))
+    start = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("passages"))
 
     def step(acc, x):
         here = acc.next == x.position
         follow = F.when(x.end >= F.col("n"), F.lit(-1)).otherwise(F.greatest(x.end - overlap, x.position + 1))
-        grown = F.concat(acc.chunks, F.array(F.struct(x.position.alias("first"), x.end.alias("last"))))
-        return F.struct(F.when(here, follow).otherwise(acc.next).cast("long").alias("next"), F.when(here, grown).otherwise(acc.chunks).alias("chunks"))
+        grown = F.concat(acc.passages, F.array(F.struct(x.position.alias("first"), x.end.alias("last"))))
+        return F.struct(F.when(here, follow).otherwise(acc.next).cast("long").alias("next"), F.when(here, grown).otherwise(acc.passages).alias("passages"))
 
-    chunks = docs.withColumn("chunks", F.aggregate("items", start, step).chunks).select("episode_id", "items", F.posexplode("chunks").alias("chunk_index", "c"))
-    part = F.slice("items", (F.col("c.first") + 1).cast("int"), (F.col("c.last") - F.col("c.first")).cast("int"))
-    content = F.array_join(F.transform(part, lambda x, i: F.when(i == 0, x.sentence).otherwise(F.concat(x.joint, x.sentence))), "")
-    out = chunks.select("episode_id", F.col("chunk_index").cast("long").alias("chunk_index"), content.alias("content"))
-    return out.withColumn("token_estimate", token_estimate("content"))
+    passages = docs.withColumn("passages", F.aggregate("items", start, step).passages)
+    said = lambda c: F.array_join(F.transform(F.slice("items", (c.first + 1).cast("int"), (c.last - c.first).cast("int")), lambda x, i: F.when(i == 0, x.sentence).otherwise(F.concat(x.joint, x.sentence))), "")
+    # the texts are made inside the array, so that no row carries all sentences of its document
+    out = passages.select("episode_id", F.transform("passages", said).alias("contents")).select("episode_id", F.posexplode("contents").alias("passage_index", "content"))
+    return out.withColumn("passage_index", F.col("passage_index").cast("long")).withColumn("token_estimate", token_estimate("content"))
 
 
-def chunk(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_tokens: int = config.CHUNK_MAX_TOKENS, overlap: int = config.CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of each text; an empty text has none."""
+def passage(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_tokens: int = config.PASSAGE_MAX_TOKENS, overlap: int = config.PASSAGE_OVERLAP) -> DataFrame:
+    """Passages of each text; an empty text has none."""
     return pack(sentence_rows(docs, id_col, text_col), max_tokens, overlap)

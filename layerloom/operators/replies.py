@@ -1,4 +1,4 @@
-"""Model replies: parsing, one shape for their items, and the place of each item in its chunk."""
+"""Model replies: parsing, one shape for their items, and the place of each item in its passage."""
 
 from __future__ import annotations
 
@@ -10,17 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerloom import config
-from layerloom.functions.text import BLANK, match_normal, strip
+from layerloom.functions.text import BLANK, strip
 
 ATTEMPTS = 3
 
 
 def parse_replies(attempts: DataFrame, most: int = ATTEMPTS) -> DataFrame:
-    """(chunk_id, reply variant, attempt) from attempts (chunk_id, attempt, raw): the first of ``most`` that is a JSON object; null if none is."""
+    """(passage_id, reply variant, attempt) from attempts (passage_id, attempt, raw): the first of ``most`` that is a JSON object; null if none is."""
     v = F.try_parse_json("raw")
     good = F.schema_of_variant(v).startswith("OBJECT") & (F.col("attempt") <= most)
     first = F.min(F.when(good, F.struct("attempt", "raw"))).alias("first")
-    return attempts.groupBy("chunk_id").agg(first).select("chunk_id", F.try_parse_json("first.raw").alias("reply"), F.col("first.attempt").alias("attempt"))
+    return attempts.groupBy("passage_id").agg(first).select("passage_id", F.try_parse_json("first.raw").alias("reply"), F.col("first.attempt").alias("attempt"))
 
 
 def _said(v: Column, field: str) -> Column:
@@ -35,7 +35,7 @@ def _truthy(v: Column) -> Column:
 
 
 def reply_items(replies: DataFrame) -> DataFrame:
-    """(chunk_id, layer, p, content, source_text, needs_lookback) of parsed replies.
+    """(passage_id, layer, p, content, source_text, needs_lookback) of parsed replies.
 
     A layer is a list, or an object whose values are the items (in order of their keys); other values are no items. A
     text is content and source at once; an object needs content, and its source falls back to it; other items go.
@@ -45,53 +45,63 @@ def reply_items(replies: DataFrame) -> DataFrame:
     for layer, plural in config.LAYERS.items():
         at = f"$.{plural}"
         found = F.coalesce(F.try_variant_get("reply", at, "array<variant>"), F.map_values(F.try_variant_get("reply", at, "map<string,variant>")))
-        rows = replies.select("chunk_id", F.lit(layer).alias("layer"), F.posexplode(found).alias("p", "v"))
+        rows = replies.select("passage_id", F.lit(layer).alias("layer"), F.posexplode(found).alias("p", "v"))
         out = rows if out is None else out.unionByName(rows)
     kind = F.schema_of_variant("v")
     text = strip(F.try_variant_get("v", "$", "string"))
     content = F.when(kind == "STRING", text).when(kind.startswith("OBJECT"), _said(F.col("v"), "content"))
     source = F.when(kind == "STRING", text).otherwise(_said(F.col("v"), "source_text"))
     flag = F.when(kind.startswith("OBJECT"), _truthy(F.try_variant_get("v", "$.needs_lookback", "variant"))).otherwise(F.lit(False))
-    rows = out.select("chunk_id", "layer", F.col("p").cast("long").alias("p"), content.alias("content"), source.alias("source_text"), (flag & (F.col("layer") != "phrase")).alias("needs_lookback"))
+    rows = out.select("passage_id", "layer", F.col("p").cast("long").alias("p"), content.alias("content"), source.alias("source_text"), (flag & (F.col("layer") != "phrase")).alias("needs_lookback"))
     return rows.where("content <> ''").withColumn("source_text", F.when(F.col("source_text") == "", F.col("content")).otherwise(F.col("source_text")))
 
 
-def best_window(text: str, wanted: str, least: float = config.FUZZY_THRESHOLD) -> tuple[int, int] | None:
-    """The span of ``text`` most like ``wanted``: the earliest and then shortest of the best, or None below ``least``."""
-    n, best, at = len(wanted), least, None
-    match = SequenceMatcher(autojunk=False)
+_PLAIN = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."})
+
+
+def plain(text: str) -> str:
+    """As ``match_normal``."""
+    return " ".join(text.translate(_PLAIN).split())
+
+
+def best_window(text: str, source: str, least: float = config.FUZZY_THRESHOLD) -> tuple[int, int] | None:
+    """The span of ``text`` most like ``source``, both in plain letters: the earliest and then shortest of the best, or None below ``least``."""
+    wanted, n = plain(source), len(source.strip())
+    if len(wanted) < 8:
+        return None
+    best, at = 0.0, None
+    match = SequenceMatcher()
     match.set_seq2(wanted)
-    for i in range(max(0, len(text) - max(8, n - 15) + 1)):
+    for i in range(len(text)):
         for size in range(max(8, n - 15), min(n + 24, len(text) - i) + 1):
-            if 2 * min(size, n) < best * (size + n):  # cannot reach the best
-                continue
-            match.set_seq1(text[i : i + size])
-            if match.real_quick_ratio() < best or match.quick_ratio() < best:
+            bound = max(best, least - 1e-9)  # what is below the threshold needs no exact ratio
+            match.set_seq1(plain(text[i : i + size]))
+            if match.real_quick_ratio() <= best or match.real_quick_ratio() < bound or match.quick_ratio() < bound:
                 continue
             got = match.ratio()
-            if got > best or (at is None and got >= best):
+            if got > best:
                 best, at = got, (i, i + size)
-    return at
+    return at if best >= least else None
 
 
-def resolve_spans(items: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``items`` with start_char and end_char in the chunk (id, content), source_text as it stands there; null where it does not.
+def resolve_spans(items: DataFrame, passages: DataFrame) -> DataFrame:
+    """``items`` with start_char and end_char in the passage (id, content), source_text as it stands there; null where it does not.
 
     Exact first, then with any white space between words; only what is left goes to the fuzzy search, in Arrow batches.
     """
-    rows = items.join(chunks.select(F.col("id").alias("chunk_id"), F.col("content").alias("chunk")), "chunk_id")
+    rows = items.join(passages.select(F.col("id").alias("passage_id"), F.col("content").alias("passage")), "passage_id")
     quoted = F.transform(F.filter(F.split("source_text", rf"{BLANK}+"), lambda w: w != ""), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    loose = F.when(F.size(quoted) > 1, F.regexp_substr("chunk", F.array_join(quoted, r"\s+")))
-    rows = rows.withColumn("hit", F.when(F.col("source_text") == "", None).when(F.expr("locate(source_text, chunk)") > 0, F.col("source_text")).otherwise(loose))
-    found = rows.where("hit IS NOT NULL").withColumn("start_char", (F.expr("locate(hit, chunk)") - 1).cast("long")).withColumn("end_char", F.col("start_char") + F.length("hit"))
-    plain = ["chunk_id", "layer", "p", "content", "needs_lookback", "source_text", "start_char", "end_char"]
+    loose = F.when(F.size(quoted) > 1, F.regexp_substr("passage", F.array_join(quoted, r"\s+")))
+    rows = rows.withColumn("hit", F.when(F.col("source_text") == "", None).when(F.expr("locate(source_text, passage)") > 0, F.col("source_text")).otherwise(loose))
+    found = rows.where("hit IS NOT NULL").withColumn("start_char", (F.expr("locate(hit, passage)") - 1).cast("long")).withColumn("end_char", F.col("start_char") + F.length("hit"))
+    plain = ["passage_id", "layer", "p", "content", "needs_lookback", "source_text", "start_char", "end_char"]
     found = found.drop("source_text").withColumnRenamed("hit", "source_text").select(plain)
-    rest = rows.where("hit IS NULL").select("chunk_id", "layer", "p", "content", "needs_lookback", "source_text", "chunk", match_normal("source_text").alias("wanted"))
+    rest = rows.where("hit IS NULL").select("passage_id", "layer", "p", "content", "needs_lookback", "source_text", "passage")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            spans = [best_window(c, w) if len(w) >= 8 else None for c, w in zip(b["chunk"], b["wanted"])]
-            b["source_text"] = [c[s[0] : s[1]] if s else t for c, s, t in zip(b["chunk"], spans, b["source_text"])]
+            spans = [best_window(c, w or "") for c, w in zip(b["passage"], b["source_text"])]
+            b["source_text"] = [c[s[0] : s[1]] if s else t for c, s, t in zip(b["passage"], spans, b["source_text"])]
             b["start_char"] = pd.array([s[0] if s else None for s in spans], dtype="Int64")
             b["end_char"] = pd.array([s[1] if s else None for s in spans], dtype="Int64")
             yield b[plain]
@@ -99,6 +109,19 @@ def resolve_spans(items: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.unionByName(rest.mapInPandas(search, found.schema))
 
 
+def placed(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items with a place in their passage, kept and dropped items of each passage)."""
+    there = F.col("start_char").isNotNull()
+    return resolved.where(there), resolved.groupBy("passage_id").agg(F.count_if(there).alias("kept"), F.count_if(~there).alias("dropped"))
+
+
+def lookback_answers(replies: DataFrame) -> DataFrame:
+    """(item_id, reply) from replies (raw): JSON objects whose ``resolved`` lists item_id and content. Of repeated ids the last counts; other shapes are skipped."""
+    found = F.coalesce(F.try_variant_get(F.try_parse_json("raw"), "$.resolved", "array<variant>"), F.array().cast("array<variant>"))
+    rows = replies.select(F.posexplode(found).alias("p", "v")).select("p", F.try_variant_get("v", "$.item_id", "string").alias("item_id"), F.try_variant_get("v", "$.content", "string").alias("reply"))
+    return rows.where("item_id IS NOT NULL").groupBy("item_id").agg(F.max_by("reply", "p").alias("reply"))
+
+
 def request_replies(requests: DataFrame, ask: Callable[[list[str]], list[str]], batch: int = config.EMBED_BATCH) -> DataFrame:
     """(id, raw): the answers of a model, a plug-in, to requests (id, request), asked in batches inside the tasks."""
 

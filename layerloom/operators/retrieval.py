@@ -17,7 +17,7 @@ LAYER_RANK = {"chunk": 0, "proposition": 1, "claim": 2, "phrase": 3}
 
 
 def layer_hits(items: DataFrame, queries: DataFrame, threshold: float = config.RETRIEVAL_THRESHOLD, phrase_threshold: float = config.PHRASE_THRESHOLD, limit: int = config.LAYER_LIMIT, block_bytes: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, layer, id, chunk_id, distance): the nearest items of each layer within its threshold. Every item meets every query.
+    """(query_id, layer, id, passage_id, distance): the nearest items of each layer within its threshold. Every item meets every query.
 
     The queries are broadcast in blocks of about ``block_bytes``. With more than one, a block's hits, ``limit`` a query
     and layer, are written before the next block starts, so one block is held at a time.
@@ -40,23 +40,23 @@ def _written(df: DataFrame) -> DataFrame:
 
 def _block_hits(items: DataFrame, queries: DataFrame, threshold: float, phrase_threshold: float, limit: int) -> DataFrame:
     near = items.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("query"))))
-    near = near.select("query_id", "layer", "id", "chunk_id", (1 - cosine("embedding", "query")).alias("distance"))
+    near = near.select("query_id", "layer", "id", "passage_id", (1 - cosine("embedding", "query")).alias("distance"))
     most = F.when(F.col("layer") == "phrase", 1 - phrase_threshold).otherwise(1 - threshold)
     rank = F.row_number().over(Window.partitionBy("query_id", "layer").orderBy("distance", "id"))
     return near.where(F.col("distance") <= most).withColumn("r", rank).where(F.col("r") <= limit).drop("r")
 
 
-def best_chunks(hits: DataFrame, top_k: int = config.TOP_K) -> DataFrame:
-    """The best hit of each chunk, then the best chunks of each query."""
+def best_passages(hits: DataFrame, top_k: int = config.TOP_K) -> DataFrame:
+    """The best hit of each passage, then the best passages of each query."""
     rank = F.create_map(*[F.lit(x) for kv in LAYER_RANK.items() for x in kv])[F.col("layer")]
-    best = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("distance", rank, "id"))
+    best = F.row_number().over(Window.partitionBy("query_id", "passage_id").orderBy("distance", rank, "id"))
     one = hits.withColumn("b", best).where("b = 1").drop("b")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", rank, "id"))
-    return one.withColumn("place", place.cast("long")).where(F.col("place") <= top_k).select("query_id", "place", "chunk_id", "layer", "id", F.round(1 - F.col("distance"), 4).alias("similarity"))
+    return one.withColumn("place", place.cast("long")).where(F.col("place") <= top_k).select("query_id", "place", "passage_id", "layer", "id", F.round(1 - F.col("distance"), 4).alias("similarity"))
 
 
 def distinct_claims(items: DataFrame, threshold: float = config.CLAIM_DEDUP_THRESHOLD) -> DataFrame:
-    """Claims whose similarity to every proposition of their chunk stays below the threshold; an equi-join on the chunk."""
-    claims, props = items.where("layer = 'claim'"), items.where("layer = 'proposition'").select("chunk_id", F.col("embedding").alias("other"))
-    most = claims.join(props, "chunk_id", "left").groupBy("id", "chunk_id").agg(F.max(cosine("embedding", "other")).alias("most"))
-    return most.select("id", "chunk_id", (F.coalesce("most", F.lit(-1.0)) >= threshold).alias("dropped"))
+    """Claims whose similarity to every proposition of their passage stays below the threshold; an equi-join on the passage."""
+    claims, props = items.where("layer = 'claim'"), items.where("layer = 'proposition'").select("passage_id", F.col("embedding").alias("other"))
+    most = claims.join(props, "passage_id", "left").groupBy("id", "passage_id").agg(F.max(cosine("embedding", "other")).alias("most"))
+    return most.select("id", "passage_id", (F.coalesce("most", F.lit(-1.0)) >= threshold).alias("dropped"))

@@ -1,4 +1,4 @@
-"""Streaming admission: new transcript files are admitted once per content hash, cut into chunks and appended."""
+"""Streaming admission: new transcript files are admitted once per content hash, cut into passages and appended."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from layerloom.functions import text as T
-from layerloom.operators import admission, chunking
+from layerloom.operators import admission, packing
 
 EPISODE = "file_id long, title string, guest string, content_hash string, batch long"
 
 
 def ingest_files(spark: SparkSession, folder: str, library: str, checkpoint: str) -> StreamingQuery:
-    """Reads the ``.txt`` files that appear in ``folder``; episodes and chunks are tables below ``library``.
+    """Reads the ``.txt`` files that appear in ``folder``; episodes and passages are tables below ``library``.
 
     A batch writes to its own partition and replaces it, so a batch that runs again after a failure leaves the same
     rows. Hashes of earlier batches reject copies; a file's id is a hash of its path. Runs over what is there and stops.
@@ -29,7 +29,7 @@ def ingest_files(spark: SparkSession, folder: str, library: str, checkpoint: str
         good.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{library}/episodes")
         kept = session.read.schema(EPISODE).parquet(f"{library}/episodes").where(F.col("batch") == number).select("file_id")
         bodies = batch.join(kept, "file_id", "left_semi").select("file_id", T.clean(T.header("raw").getField("body")).alias("text"))
-        chunks = chunking.chunk(bodies, "file_id").withColumn("batch", F.lit(number).cast("long"))
-        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{library}/chunks")
+        passages = packing.passage(bodies, "file_id").withColumn("batch", F.lit(number).cast("long"))
+        passages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{library}/passages")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

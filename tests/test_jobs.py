@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from layerloom.functions import text as T
 from layerloom.jobs.queries import QUERIES, _vectors
-from layerloom.operators import chunking, layers, retrieval
+from layerloom.operators import packing, layers, retrieval
 
 
 def one(spark, value, column):
@@ -40,7 +40,7 @@ def test_spans(spark):
     assert tuple(row.select(*T.highlight_parts(F.col("text"), F.col("a"), F.col("b"))).first()) == ("One. ", "Two", " is here! Three")
 
 
-def test_chunks_equal_a_greedy_loop(spark):
+def test_passages_equal_a_greedy_loop(spark):
     rng = random.Random(2)
     texts = {i: "\n\n".join(" ".join(" ".join(["w"] * rng.randint(1, 9)) + "." for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 4))) for i in range(60)}
     docs = spark.createDataFrame(list(texts.items()), "id long, text string")
@@ -59,7 +59,7 @@ def test_chunks_equal_a_greedy_loop(spark):
                     break
                 s = max(e - overlap, s + 1)
             want |= {(i, k): c for k, c in enumerate(out)}
-        got = {(r.episode_id, r.chunk_index): r.content for r in chunking.chunk(docs, max_tokens=most, overlap=overlap).collect()}
+        got = {(r.episode_id, r.passage_index): r.content for r in packing.passage(docs, max_tokens=most, overlap=overlap).collect()}
         assert got == want
 
 
@@ -67,7 +67,7 @@ def test_lookback_golden_counts(spark):
     """Known totals of a run: 32 flagged in 5 calls, 30 resolved, 2 left."""
     calls = {3: (1, 1), 4: (17, 0), 6: (6, 1), 7: (3, 0), 8: (3, 0)}
     rows = [(f"{c}:propositions:{i}", c, 42, "x", i >= done) for c, (done, left) in calls.items() for i in range(done + left)]
-    r = layers.lookback_summary(spark.createDataFrame(rows, "item_id string, chunk_id long, episode_id long, content string, needs_lookback boolean")).first()
+    r = layers.lookback_summary(spark.createDataFrame(rows, "item_id string, passage_id long, episode_id long, content string, needs_lookback boolean")).first()
     assert (r.flagged, r.calls, r.resolved, r.still_unresolved) == (32, 5, 30, "3:propositions:1,6:propositions:6")
 
 

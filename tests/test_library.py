@@ -38,26 +38,26 @@ def test_merge_stops_at_the_cap_and_at_unlike_vectors(spark):
 def test_replies(spark):
     good = {"propositions": [{"content": " a b ", "needs_lookback": "yes"}, {"content": ""}, 5, {"content": "c", "source_text": "s", "needs_lookback": 0}], "claims": {"x": "bare", "y": {"content": "d", "needs_lookback": True}}, "phrases": 7}
     rows = [(1, 1, "{bad"), (1, 2, json.dumps(good)), (1, 3, '{"claims": ["late"]}'), (2, 1, "nothing"), (3, 1, None), (4, 4, "{}")]
-    parsed = replies.parse_replies(spark.createDataFrame(rows, "chunk_id long, attempt int, raw string"))
-    assert {r.chunk_id: r.attempt for r in parsed.select("chunk_id", "attempt").collect()} == {1: 2, 2: None, 3: None, 4: None}
+    parsed = replies.parse_replies(spark.createDataFrame(rows, "passage_id long, attempt int, raw string"))
+    assert {r.passage_id: r.attempt for r in parsed.select("passage_id", "attempt").collect()} == {1: 2, 2: None, 3: None, 4: None}
     got = sorted((r.layer, r.content, r.source_text, r.needs_lookback) for r in replies.reply_items(parsed).collect())
     assert got == [("claim", "bare", "bare", False), ("claim", "d", "d", True), ("proposition", "a b", "a b", True), ("proposition", "c", "s", False)]
 
 
 def test_spans(spark):
-    chunk = "The quick  brown fox (it) jumps\nover the lazy dog."
+    passage = "The quick  brown fox (it) jumps\nover the lazy dog."
     items = [(1, "claim", i, "c", s, False) for i, s in enumerate(["quick", "quick brown", "fox (it) jumps over", "jumped over the lazy dog", "absent words altogether", "x.y"])]
-    rows = spark.createDataFrame(items, "chunk_id long, layer string, p long, content string, source_text string, needs_lookback boolean")
-    got = {r.p: r for r in replies.resolve_spans(rows, spark.createDataFrame([(1, chunk)], "id long, content string")).collect()}
+    rows = spark.createDataFrame(items, "passage_id long, layer string, p long, content string, source_text string, needs_lookback boolean")
+    got = {r.p: r for r in replies.resolve_spans(rows, spark.createDataFrame([(1, passage)], "id long, content string")).collect()}
     assert [got[i].source_text for i in (0, 1, 2)] == ["quick", "quick  brown", "fox (it) jumps\nover"]
-    assert all(chunk[r.start_char : r.end_char] == r.source_text for r in got.values() if r.start_char is not None)
+    assert all(passage[r.start_char : r.end_char] == r.source_text for r in got.values() if r.start_char is not None)
     assert [got[i].start_char is None for i in range(6)] == [False, False, False, False, True, True]
 
 
-@pytest.mark.parametrize("text, wanted", [("alpha beta gamma delta", "beta gamna"), ("one two three four", "zzzzzzzzzz"), ("short", "a longer text"), ("", "a longer text")])
+@pytest.mark.parametrize("text, wanted", [("alpha beta gamma delta", "beta gamna"), ("one two three four", "zzzzzzzzzz"), ("short", "a longer text"), ("", "a longer text"), ("they said “it’s a — long…  story” to us", 'said "it\'s a - long... storey"'), ("a  b   c d e f g h", " b c d e f g x ")])
 def test_window_is_the_best_of_all(text, wanted):
-    n = len(wanted)
-    every = [(-SequenceMatcher(None, text[i : i + k], wanted, autojunk=False).ratio(), i, k) for i in range(len(text)) for k in range(max(8, n - 15), n + 25) if i + k <= len(text)]
+    n, plain = len(wanted.strip()), replies.plain
+    every = [(-SequenceMatcher(None, plain(text[i : i + k]), plain(wanted)).ratio(), i, k) for i in range(len(text)) for k in range(max(8, n - 15), n + 25) if i + k <= len(text)]
     best = min(every, default=(0, 0, 0))
     assert replies.best_window(text, wanted) == ((best[1], best[1] + best[2]) if -best[0] >= 0.82 else None)
 
@@ -68,7 +68,7 @@ def test_requests(spark):
 
 
 def test_resolutions(spark):
-    flags = spark.createDataFrame([("1:claims:0", 1, "a"), ("1:claims:1", 1, "b"), ("1:claims:2", 1, "c")], "item_id string, chunk_id long, content string")
+    flags = spark.createDataFrame([("1:claims:0", 1, "a"), ("1:claims:1", 1, "b"), ("1:claims:2", 1, "c")], "item_id string, passage_id long, content string")
     asked = spark.createDataFrame([("1:claims:0", "set", " new "), ("1:claims:1", "delete", None), ("1:claims:2", "set", " "), ("1:claims:9", "set", "x"), ("1:phrases:0", "delete", None)], "item_id string, action string, content string")
     left, said = status.apply_resolutions(flags, asked)
     assert {r.item_id: (r.content, r.needs_lookback) for r in left.collect()} == {"1:claims:0": ("new", False), "1:claims:2": ("c", True)}
@@ -86,4 +86,4 @@ def test_stream_admits_each_text_once(spark, tmp_path):
     (inbox / "d.txt").write_text(_file("New", body="another text. With two sentences."))
     run()
     assert sorted(r.title for r in spark.read.parquet(str(tmp_path / "lib/episodes")).collect()) == ["New", "T"]
-    assert spark.read.parquet(str(tmp_path / "lib/chunks")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "lib/passages")).count() == 2
