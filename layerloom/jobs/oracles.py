@@ -49,7 +49,7 @@ _APPLIED = """applied AS (SELECT item_id, passage_id, episode_id, CASE WHEN leng
 _NEW = "fresh AS (SELECT id, passage_id, layer, p, CASE WHEN p % 11 = 2 THEN content || ' (rev)' ELSE content END AS content, CASE WHEN p % 5 = 1 THEN source_text || '*' ELSE source_text END AS source_text FROM items WHERE p % 7 <> 3)"
 _VEC = "v AS (SELECT vec_id AS id, ['chunk', 'proposition', 'claim', 'phrase'][vec_id % 4 + 1] AS layer, vec_id // 20 AS passage_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 _HITS = """hits AS (SELECT * FROM (SELECT q.id AS query_id, v.layer, v.id, v.passage_id, 1 - list_cosine_similarity(v.e, q.e) AS distance,
-  row_number() OVER (PARTITION BY q.id, v.layer ORDER BY 1 - list_cosine_similarity(v.e, q.e), v.id) AS r FROM v, v q WHERE q.id < 5 AND v.id >= 5) WHERE distance <= CASE WHEN layer = 'phrase' THEN 0.75 ELSE 0.8 END AND r <= 20)"""
+  row_number() OVER (PARTITION BY q.id, v.layer ORDER BY 1 - list_cosine_similarity(v.e, q.e), v.id) AS r FROM v, v q WHERE q.id % 20 = 0) WHERE distance <= CASE WHEN layer = 'phrase' THEN 0.75 ELSE 0.8 END AND r <= 20)"""
 
 _PLAIN = r"""regexp_replace(replace(translate(text, '‘’“”–—', '''''""--'), '…', '...'), '\s+', ' ', 'g')"""
 
@@ -93,5 +93,4 @@ SQL = {
     "claim_dedupe": f"WITH {_VEC} SELECT c.id, c.passage_id, coalesce(max(list_cosine_similarity(c.e, p.e)), -1) >= 0.2 AS dropped FROM v c LEFT JOIN v p ON p.passage_id = c.passage_id AND p.layer = 'proposition' WHERE c.layer = 'claim' GROUP BY c.id, c.passage_id",
 }
 
-_ALL = _HITS.replace("q.id < 5 AND v.id >= 5", "q.id % 20 = 0")
-SQL |= {name + "_all": SQL[name].replace(_HITS, _ALL) for name in ("topk_layers", "topk_retrieve")}
+SQL |= {name + "_all": SQL[name] for name in ("topk_layers", "topk_retrieve")}

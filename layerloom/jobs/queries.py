@@ -194,23 +194,23 @@ def vector_norm(spark, d):
 
 
 def _queries(spark, d):
-    return _vectors(spark, d).where("id < 5").select(F.col("id").alias("query_id"), "embedding")
+    """Every twentieth row; all rows are searched."""
+    return _vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 @query
 def topk_layers(spark, d):
-    hits = retrieval.layer_hits(_vectors(spark, d).where("id >= 5"), _queries(spark, d), 0.20, 0.25)
+    hits = _all_hits(spark, d)
     return hits.select("query_id", "layer", "id", F.round("distance", 4).alias("distance"))
 
 
 @query
 def topk_retrieve(spark, d):
-    return retrieval.best_passages(retrieval.layer_hits(_vectors(spark, d).where("id >= 5"), _queries(spark, d), 0.20, 0.25))
+    return retrieval.best_passages(_all_hits(spark, d))
 
 
 def _all_hits(spark, d):
-    queries = _vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
-    return retrieval.layer_hits(_vectors(spark, d), queries, 0.20, 0.25)
+    return retrieval.layer_hits(_vectors(spark, d), _queries(spark, d), 0.20, 0.25)
 
 
 @query
