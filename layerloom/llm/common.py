@@ -151,11 +151,21 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
 
 
+def gram_hash(prefix: np.ndarray, gram: int) -> np.ndarray:
+    """``span_hash`` of every ``gram`` neighbours, without look-ups."""
+    x = prefix[gram:] - prefix[: len(prefix) - gram]
+    x *= powers(len(prefix))[1][: len(x)]
+    x += np.uint64(gram)
+    return mixed(x)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(32))
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def word_spans(is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

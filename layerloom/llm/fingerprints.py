@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import CHUNK_BYTES, byte_hash, in_arrow, joined, packed, ranged, ranges, slices, sliding_min, span_hash, unpacked
+from layerloom.llm.common import CHUNK_BYTES, byte_hash, gram_hash, in_arrow, joined, packed, ranged, ranges, slices, sliding_min, span_hash, unpacked
 
 GRAM = 8
 WINDOW = 9
@@ -40,9 +40,10 @@ def chosen(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, gram: int, wi
     h = np.zeros(n, np.uint64)
     key = np.full(n, _NONE)
     if n >= gram:
-        at = np.arange(n - gram + 1)
-        h[: len(at)] = span_hash(byte_hash(data), at, at + gram)
-        key[: len(at)] = (h[: len(at)] & ~_LAST) | (_LAST - at.astype(np.uint64))
+        m = n - gram + 1
+        h[:m] = gram_hash(byte_hash(data), gram)
+        np.bitwise_and(h[:m], ~_LAST, out=key[:m])
+        key[:m] |= np.arange(int(_LAST), int(_LAST) - m, -1, dtype=np.uint64)
     grams = np.maximum(lens - gram + 1, 0)
     full = np.flatnonzero(grams >= window)
     spans = grams[full] - window + 1
