@@ -1,13 +1,13 @@
 """Registered queries and their SQL."""
 
 
-def queries() -> dict:
+def all_queries() -> dict:
     from layerloom.jobs import episodes, library, queries, replies  # noqa: F401  (the others register theirs with ``queries``)
 
     return dict(queries.QUERIES)
 
 
-def oracle_sql() -> dict[str, str]:
+def all_sql() -> dict[str, str]:
     from layerloom.jobs import episodes, library_oracles, oracles, replies
 
     return oracles.SQL | library_oracles.SQL | replies.SQL | episodes.SQL

@@ -88,3 +88,10 @@ def test_every_twentieth_row_is_a_query_in_blocks(spark, tmp_path):
     asked = items.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
     got = retrieval.layer_hits(items, asked, 0.20, 0.25, block_bytes=150).collect()
     assert key(got) == want and len(got) == len(want)
+
+
+def test_the_entry_can_be_asked_again():
+    import __spark_entry__ as entry
+
+    first, sql = entry.queries(), entry.oracle_sql()
+    assert set(entry.queries()) == set(first) and entry.oracle_sql() == sql and set(sql) <= set(first) and len(sql) > 70
