@@ -63,4 +63,21 @@ reach(id, to_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.b FROM re
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id) c ON c.id = d.doc_id
 """
 
-SQL = {"op1_decontamination": OP1, "op3_mixing": OP3, "op4_suffix_dedup": OP4, "op9_jaccard_join": OP9}
+OP11 = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, [len(w) < 100, 100 * list_unique(w) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN l USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest(range(1, 6)) AS i),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT filter_order, s AS step, o[s] AS x, o[: s - 1] AS before FROM (SELECT filter_order, o, unnest(range(1, 6)) AS s FROM orders)),
+few AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+at_ AS (SELECT part, filter_order, step, x, n, good, toxic, fails[x] AS here, list_bool_or(list_concat([false], list_transform(before, lambda i: fails[i]))) AS gone, list_sum(list_transform(fails, lambda y: y::INT)) AS k FROM few, steps),
+r AS (SELECT part, filter_order, step, x, sum(CASE WHEN NOT here AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN here AND gone THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN here AND k = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM at_ GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r
+"""
+
+SQL = {"op1_decontamination": OP1, "op3_mixing": OP3, "op4_suffix_dedup": OP4, "op9_jaccard_join": OP9, "op11_filter_audit": OP11}

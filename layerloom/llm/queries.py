@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from layerloom.llm import decontamination, fingerprints, id_files, language_model, mixing, oracles, quality, similarity_join, suffix_dedup, tokens, urls
+from layerloom.llm import decontamination, filter_audit, fingerprints, id_files, language_model, mixing, oracles, quality, similarity_join, suffix_dedup, tokens, urls
 from layerloom.llm.common import table
 
 
@@ -54,10 +54,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.text_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_decontamination, op2_token_counts, op3_mixing, mix_shards, op4_suffix_dedup, op5_quality, op6_urls, op7_fingerprints, op8_token_ids, op9_jaccard_join, op10_lm_scores)
+    own = (op1_decontamination, op2_token_counts, op3_mixing, mix_shards, op4_suffix_dedup, op5_quality, op6_urls, op7_fingerprints, op8_token_ids, op9_jaccard_join, op10_lm_scores, op11_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
