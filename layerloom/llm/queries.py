@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from layerloom.llm import decontamination, filter_audit, fingerprints, id_files, language_model, mixing, oracles, quality, similarity_join, suffix_dedup, tokens, urls
+from layerloom.llm import bin_packing, decontamination, filter_audit, fingerprints, hard_negatives, id_files, language_model, mixing, oracles, quality, similarity_join, suffix_dedup, tokens, urls
 from layerloom.llm.common import table
 
 
@@ -58,10 +59,21 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(rows.withColumn("label", label))
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_decontamination, op2_token_counts, op3_mixing, mix_shards, op4_suffix_dedup, op5_quality, op6_urls, op7_fingerprints, op8_token_ids, op9_jaccard_join, op10_lm_scores, op11_filter_audit)
+    own = (op1_decontamination, op2_token_counts, op3_mixing, mix_shards, op4_suffix_dedup, op5_quality, op6_urls, op7_fingerprints, op8_token_ids, op9_jaccard_join, op10_lm_scores, op11_filter_audit, op12_best_fit_packing, op13_hard_negatives)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
