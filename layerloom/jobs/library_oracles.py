@@ -20,6 +20,8 @@ _BLOCK = "string_agg(content, '|' ORDER BY start_char, id) FILTER (layer = '{}')
 _PAIRS = "pairs AS (SELECT c.passage_id, c.id AS claim, p.id AS proposition, list_cosine_similarity(c.e, p.e) AS similarity FROM v c JOIN v p ON p.passage_id = c.passage_id AND p.layer = 'proposition' WHERE c.layer = 'claim')"
 _STAMPED = f"(SELECT *, id % 3 <> 0 AS stamped FROM {_DIALOGUE})"
 
+_ANY_BLANK = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 SQL = {
     "bulk_admission": f"WITH {_ADMIT} SELECT file_id, title, guest, reject_reason, coalesce(duplicate_of, -1) AS duplicate_of FROM a",
     "bulk_admission_counts": f"WITH {_ADMIT} SELECT coalesce(reject_reason, 'admitted') AS outcome, count(*) AS files FROM a GROUP BY 1",
@@ -57,7 +59,7 @@ SQL = {
       SELECT layer, count(*) FILTER (a IS NULL) AS added, count(*) FILTER (b IS NULL) AS removed, count(*) FILTER (a AND b) AS shared FROM o FULL JOIN n USING (passage_id, layer, key) GROUP BY layer""",
     "pair_similarity": f"WITH {_VEC}, {_PAIRS} SELECT passage_id, claim, proposition, round(similarity, 4) AS similarity FROM pairs",
     "threshold_sweep": f"WITH {_VEC}, {_PAIRS} SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (similarity >= t) AS pairs FROM pairs, (SELECT unnest([-0.2, 0.0, 0.1, 0.2, 0.3, 0.5]::DOUBLE[]) AS t) GROUP BY t",
-    "sentence_bounds": r"""SELECT doc_id, length(regexp_extract(substr(text, 1, a), '^(.*[.!?]\s+)', 1, 's')) AS start, CASE WHEN r = '' THEN length(text) ELSE b + length(r) END AS "end"
-      FROM (SELECT *, regexp_extract(substr(text, b + 1), '^(.*?[.!?])(?:\s|$)', 1, 's') AS r FROM (SELECT *, length(text) // 3 AS a, length(text) // 2 AS b FROM documents))""",
+    "sentence_bounds": rf"""SELECT doc_id, length(regexp_extract(substr(text, 1, a), '^(.*[.!?]{_ANY_BLANK}+)', 1, 's')) AS start, CASE WHEN r = '' THEN length(text) ELSE b + length(r) END AS "end"
+      FROM (SELECT *, regexp_extract(substr(text, b + 1), '^(.*?[.!?](?:{_ANY_BLANK}+|$))', 1, 's') AS r FROM (SELECT *, length(text) // 3 AS a, length(text) // 2 AS b FROM documents))""",
     "highlight_parts": "SELECT doc_id, md5(substr(text, 1, a)) AS before, md5(substr(text, a + 1, b - a)) AS marked, md5(substr(text, b + 1)) AS after FROM (SELECT *, length(text) // 3 AS a, length(text) // 2 AS b FROM documents)",
 }

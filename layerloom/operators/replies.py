@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -64,24 +65,74 @@ def plain(text: str) -> str:
     return " ".join(text.translate(_PLAIN).split())
 
 
+def _collapsed(text: str) -> tuple[str, list[int]]:
+    """``text`` in plain letters with single spaces, and how many letters of that stand before each character (one entry more)."""
+    out, at, blank = [], [0], False
+    for c in text:
+        new = " " if c.isspace() else c.translate(_PLAIN)
+        out.append("" if new == " " and blank else new)
+        blank = new == " "
+        at.append(at[-1] + len(out[-1]))
+    return "".join(out), at
+
+
+def _common_lengths(text: str, where: dict[str, int], n: int) -> list[int]:
+    """The length of the longest common subsequence of each beginning of ``text`` (one entry more) with a text of ``n`` letters, whose places are bits of ``where``."""
+    full = (1 << n) - 1
+    rows, out = full, [0]
+    for c in text:
+        hit = rows & where.get(c, 0)
+        rows = ((rows + hit) | (rows - hit)) & full
+        out.append(n - rows.bit_count())
+    return out
+
+
+#: Starts of windows that the first filter looks at together.
+STARTS = 32
+
+
 def best_window(text: str, source: str, least: float = config.FUZZY_THRESHOLD) -> tuple[int, int] | None:
-    """The span of ``text`` most like ``source``, both in plain letters: the earliest and then shortest of the best, or None below ``least``."""
+    """The span of ``text`` most like ``source``, both in plain letters: the earliest and then shortest of the best, or None below ``least``.
+
+    Windows of many starts are excluded together by the pairs of letters that they share with ``source``: what turns one
+    text into the other by d insertions and deletions spoils at most 2 d of them. Of the others, all sizes of a start are
+    bounded by one pass over their longest common subsequences, and the exact ratio, twice the matched letters by all letters,
+    is taken only where that bound passes: matched blocks are a common subsequence.
+    """
     wanted, n = plain(source), len(source.strip())
     if len(wanted) < 8:
         return None
-    best, at = 0.0, None
-    match = SequenceMatcher()
+    letters, at = _collapsed(text)
+    where: dict[str, int] = {}
+    for i, c in enumerate(wanted):
+        where[c] = where.get(c, 0) | 1 << i
+    pairs = Counter(map("".join, zip(wanted, wanted[1:])))
+    low, high, end = max(8, n - 15), n + 24, len(text)
+    best, span, match = 0.0, None, SequenceMatcher()
     match.set_seq2(wanted)
-    for i in range(len(text)):
-        for size in range(max(8, n - 15), min(n + 24, len(text) - i) + 1):
-            bound = max(best, least - 1e-9)  # what is below the threshold needs no exact ratio
-            match.set_seq1(plain(text[i : i + size]))
-            if match.real_quick_ratio() <= best or match.real_quick_ratio() < bound or match.quick_ratio() < bound:
-                continue
-            got = match.ratio()
-            if got > best:
-                best, at = got, (i, i + size)
-    return at if best >= least else None
+    for block in range(0, end - low + 1, STARTS):
+        starts = range(block, min(block + STARTS, end - low + 1))
+        near = letters[at[block] : at[min(starts[-1] + high, end)]]
+        shared = (Counter(map("".join, zip(near, near[1:]))) & pairs).total()
+        spoiled = -(-(len(wanted) - 1 - shared) // 2)
+        most = len(wanted) + max(at[min(i + high, end)] - at[i] for i in starts)
+        if 1 - max(0, spoiled) / most < max(best, least - 1e-9) - 1e-9:
+            continue
+        for i in starts:
+            a = at[i] + (letters[at[i] : at[i] + 1] == " ")
+            common = _common_lengths(letters[a : at[min(i + high, end)]], where, len(wanted))
+            for size in range(low, min(high, end - i) + 1):
+                b = at[i + size] - a
+                # a blank at the end counts for nothing
+                bare = b - (b > 0 and letters[a + b - 1] == " ")
+                bound = 2.0 * common[max(0, bare)] / (max(0, bare) + len(wanted))
+                if bound <= best or bound < least - 1e-9:
+                    continue
+                match.set_seq1(letters[a : a + bare])
+                got = match.ratio()
+                if got > best:
+                    best, span = got, (i, i + size)
+    return span if best >= least else None
 
 
 def resolve_spans(items: DataFrame, passages: DataFrame) -> DataFrame:
@@ -91,7 +142,7 @@ def resolve_spans(items: DataFrame, passages: DataFrame) -> DataFrame:
     """
     rows = items.join(passages.select(F.col("id").alias("passage_id"), F.col("content").alias("passage")), "passage_id")
     quoted = F.transform(F.filter(F.split("source_text", rf"{BLANK}+"), lambda w: w != ""), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    loose = F.when(F.size(quoted) > 1, F.regexp_substr("passage", F.array_join(quoted, r"\s+")))
+    loose = F.when(F.size(quoted) > 1, F.regexp_substr("passage", F.array_join(quoted, rf"{BLANK}+")))
     rows = rows.withColumn("hit", F.when(F.col("source_text") == "", None).when(F.expr("locate(source_text, passage)") > 0, F.col("source_text")).otherwise(loose))
     found = rows.where("hit IS NOT NULL").withColumn("start_char", (F.expr("locate(hit, passage)") - 1).cast("long")).withColumn("end_char", F.col("start_char") + F.length("hit"))
     plain = ["passage_id", "layer", "p", "content", "needs_lookback", "source_text", "start_char", "end_char"]

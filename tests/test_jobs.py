@@ -36,7 +36,7 @@ def test_header(spark):
 def test_spans(spark):
     row = spark.createDataFrame([("One. Two is here! Three", 5, 8)], "text string, a int, b int")
     lo, hi = T.sentence_bounds(F.col("text"), F.col("a"), F.col("b"))
-    assert tuple(row.select(lo, hi).first()) == (5, 17)
+    assert tuple(row.select(lo, hi).first()) == (5, 18)
     assert tuple(row.select(*T.highlight_parts(F.col("text"), F.col("a"), F.col("b"))).first()) == ("One. ", "Two", " is here! Three")
 
 
