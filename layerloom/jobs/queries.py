@@ -97,7 +97,9 @@ def ingest_report(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", T.clean("text").alias("text"))
     first = docs.groupBy(T.content_hash("text").alias("hash")).agg(F.min(F.struct("doc_id", "source", "text")).alias("first"))
     # source and id are the passageed text's key, so the passages need no join
-    passages = packing.passage(first.select(F.struct("first.doc_id", "first.source").alias("key"), "first.text"), "key")
+    # cleaning shortens texts, so the raw ones tell whether one is too long for a row, without the work before
+    long = packing.any_long(table(spark, d, "documents"))
+    passages = packing.passage(first.select(F.struct("first.doc_id", "first.source").alias("key"), "first.text"), "key", any_long_=long)
     return passages.groupBy("episode_id.source").agg(F.countDistinct("episode_id.doc_id").alias("episodes"), F.count("*").alias("passages"), F.sum("token_estimate").alias("tokens"))
 
 
@@ -209,19 +211,19 @@ def topk_retrieve(spark, d):
     return retrieval.best_passages(_all_hits(spark, d))
 
 
-def _all_hits(spark, d):
-    return retrieval.layer_hits(_vectors(spark, d), _queries(spark, d), 0.20, 0.25)
+def _all_hits(spark, d, **how):
+    return retrieval.layer_hits(_vectors(spark, d), _queries(spark, d), 0.20, 0.25, **how)
 
 
 @query
 def topk_layers_all(spark, d):
-    """Every twentieth row as a query against all rows."""
-    return _all_hits(spark, d).select("query_id", "layer", "id", F.round("distance", 4).alias("distance"))
+    """The same rows by several blocks of queries, as many queries have them."""
+    return _all_hits(spark, d, block_bytes=1 << 14).select("query_id", "layer", "id", F.round("distance", 4).alias("distance"))
 
 
 @query
 def topk_retrieve_all(spark, d):
-    return retrieval.best_passages(_all_hits(spark, d))
+    return retrieval.best_passages(_all_hits(spark, d, block_bytes=1 << 14))
 
 
 @query

@@ -15,16 +15,23 @@ from layerloom.functions import text as T
 from layerloom.scratch import written
 
 
+def checked(files: DataFrame, *keep: str) -> DataFrame:
+    """Files (file_id, name, raw) with title, guest, content_hash and the first ``rule`` of the header that they fail."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    rows = files.select("file_id", *keep, "name", T.header("raw").alias("h"))
+    rows = rows.select("file_id", *keep, "name", "h.title", "h.guest", "h.has_header", T.content_hash(T.clean("h.body")).alias("content_hash"))
+    rule = F.when(~F.lower("name").endswith(".txt"), "not a text file").when(~F.col("has_header"), "no header").when(blank("title"), "no title").when(blank("guest"), "no guest")
+    cut = lambda c: F.substring(c, 1, 255).alias(c)
+    return rows.select("file_id", *keep, "name", cut("title"), cut("guest"), "content_hash", rule.alias("rule"))
+
+
 def admit(files: DataFrame, library: DataFrame | None = None) -> DataFrame:
     """Files (file_id, name, raw) with ``reject_reason`` (null: admitted) and ``duplicate_of``; the first failing rule counts.
 
     Copies are found by the smallest admissible id of each hash, which is aggregated before it is joined. ``library``
     (id, content_hash) holds the episodes that are stored already.
     """
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    rows = files.select("file_id", "name", T.header("raw").alias("h")).select("file_id", "name", "h.title", "h.guest", "h.has_header", T.content_hash(T.clean("h.body")).alias("content_hash"))
-    rule = F.when(~F.lower("name").endswith(".txt"), "not a text file").when(~F.col("has_header"), "no header").when(blank("title"), "no title").when(blank("guest"), "no guest")
-    rows = rows.withColumn("rule", rule)
+    rows = checked(files)
     held = rows.where("rule IS NULL").groupBy("content_hash").agg(F.min("file_id").alias("first"))
     if library is not None:
         stored = library.groupBy("content_hash").agg(F.min("id").alias("stored"))
@@ -34,7 +41,7 @@ def admit(files: DataFrame, library: DataFrame | None = None) -> DataFrame:
     out = rows.join(held, "content_hash", "left")
     of = F.when(F.col("rule").isNull(), F.coalesce("stored", F.when(F.col("first") < F.col("file_id"), F.col("first"))))
     reason = F.coalesce("rule", F.when(of.isNotNull(), "duplicate"))
-    return out.select("file_id", F.substring("title", 1, 255).alias("title"), F.substring("guest", 1, 255).alias("guest"), "content_hash", reason.alias("reject_reason"), of.alias("duplicate_of"))
+    return out.select("file_id", "title", "guest", "content_hash", reason.alias("reject_reason"), of.alias("duplicate_of"))
 
 
 def admission_counts(admitted: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,10 @@ from pyspark.sql import functions as F
 from layerloom import config
 from layerloom.functions import text as T
 from layerloom.functions.vectors import normalised
+from layerloom.scratch import scratch_dir, written
 
+#: Headings of the sections that a look-back request has of each passage before; ``{}`` is the passage's index.
+TEXT_HEAD, SAID_HEAD = "[passage {}: text]", "[passage {}: propositions]"
 ITEM = "passage_id long, layer string, p long, content string, source_text string, start_char long, end_char long, needs_lookback boolean"
 
 
@@ -110,17 +115,23 @@ def layer_status(passages: DataFrame, items: DataFrame, status: str | None = Non
 
 
 def results(hits: DataFrame, passages: DataFrame, items: DataFrame) -> DataFrame:
-    """Best passages of each query with their texts, matched contents and valid highlights; of equal texts the best stays.
+    """Best passages of each query with their texts, matched contents and valid highlights; of equal texts (by SHA-256) the best stays.
+
+    Repeats are dropped by digests; only then the texts are joined to what is left.
 
     ``hits``: (query_id, place, passage_id, layer, id, similarity); ``passages``: (id, episode_id, passage_index, content);
     ``items``: (layer, id, content, start_char, end_char). Hits whose passage is gone are left out.
     """
     matched = items.select("layer", "id", F.col("content").alias("matched_content"), "start_char", "end_char")
-    rows = hits.join(passages.select(F.col("id").alias("passage_id"), "episode_id", "passage_index", "content"), "passage_id").join(matched, ["layer", "id"], "left")
+    wanted = hits.select(F.col("passage_id").alias("id")).distinct()
+    texts = passages.select("id", "episode_id", "passage_index", "content").join(wanted, "id", "left_semi")
+    keys = texts.select(F.col("id").alias("passage_id"), F.unhex(F.sha2("content", 256)).alias("digest"))
+    first = F.row_number().over(Window.partitionBy("query_id", "digest").orderBy("place"))
+    kept = hits.join(keys, "passage_id").withColumn("first", first).where("first = 1").drop("first", "digest")
+    rows = kept.join(texts.withColumnRenamed("id", "passage_id"), "passage_id").join(matched, ["layer", "id"], "left")
     ok = T.valid_highlight(F.col("start_char"), F.col("end_char"), F.length("content"))
     rows = rows.withColumn("highlight_start", F.when(ok, F.col("start_char"))).withColumn("highlight_end", F.when(ok, F.col("end_char")))
-    first = F.row_number().over(Window.partitionBy("query_id", F.xxhash64("content"), "content").orderBy("place"))
-    return rows.withColumn("first", first).where("first = 1").select("query_id", "place", "passage_id", "episode_id", "passage_index", "layer", "id", "similarity", "content", "matched_content", "highlight_start", "highlight_end")
+    return rows.select("query_id", "place", "passage_id", "episode_id", "passage_index", "layer", "id", "similarity", "content", "matched_content", "highlight_start", "highlight_end")
 
 
 def snippets(found: DataFrame) -> DataFrame:
@@ -142,8 +153,8 @@ def snippets(found: DataFrame) -> DataFrame:
     return rows.select("query_id", "place", "quote", context.alias("context"), "has_highlight")
 
 
-def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = config.EMBED_BATCH) -> DataFrame:
-    """``rows`` (id, content) with ``embedding``, a unit vector: the answers of a model, a plug-in, asked in batches inside the tasks."""
+def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = config.EMBED_BATCH, keep: Sequence[str] = ("id", "content")) -> DataFrame:
+    """The columns ``keep`` of ``rows`` (with content) and ``embedding``, a unit vector: the answers of a model, a plug-in, asked in batches inside the tasks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -151,7 +162,8 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], b
                 part = f.iloc[i : i + batch]
                 yield part.assign(embedding=[np.asarray(v, float).tolist() for v in embed(part["content"].tolist())])
 
-    return rows.select("id", "content").mapInPandas(run, "id long, content string, embedding array<double>").withColumn("embedding", normalised("embedding"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+    return rows.select(*keep).mapInPandas(run, f"{schema}, embedding array<double>").withColumn("embedding", normalised("embedding"))
 
 
 def backfilled(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, now: Column, batch: int = config.EMBED_BATCH) -> DataFrame:
@@ -165,12 +177,51 @@ def context_sections(passages: DataFrame, items: DataFrame, n: int = config.LOOK
     said = items.where("layer = 'proposition'").groupBy(F.col("passage_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("p", "content"))).alias("said"))
     lines = F.array_join(F.transform("said.content", lambda x: F.concat(F.lit("- "), x)), "\n")
     index = F.col("passage_index").cast("string")
-    whole = F.concat(F.lit("--- Chunk "), index, F.lit(" (transcript) ---\n"), "content", F.when(F.col("said").isNull(), "").otherwise(F.concat(F.lit("\n\n--- Chunk "), index, F.lit(" (propositions) ---\n"), lines)))
+    text, said_ = (F.replace(F.lit(h), F.lit("{}"), index) for h in (TEXT_HEAD, SAID_HEAD))
+    whole = F.concat(text, F.lit("\n"), "content", F.when(F.col("said").isNull(), "").otherwise(F.concat(F.lit("\n\n"), said_, F.lit("\n"), lines)))
     rows = passages.join(said, "id", "left").withColumn("section", whole)
     before = Window.partitionBy("episode_id").orderBy("passage_index").rowsBetween(-n, -1)
     return rows.select("id", "episode_id", "passage_index", F.array_join(F.collect_list("section").over(before), "\n\n").alias("prior"))
 
 
+def _held(items: DataFrame) -> DataFrame:
+    """(id, items): the items of each passage with their ids, by layer and place."""
+    place = F.row_number().over(Window.partitionBy("passage_id", "layer").orderBy("p")) - 1
+    plural = F.create_map(*[F.lit(x) for kv in config.LAYERS.items() for x in kv])[F.col("layer")]
+    named = items.withColumn("item_id", F.concat_ws(":", "passage_id", plural, place))
+    return named.groupBy(F.col("passage_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("layer", "p", "item_id", "content", "needs_lookback"))).alias("items"))
+
+
+def _plain_items(held) -> list[dict]:
+    return [dict(x.asDict() if hasattr(x, "asDict") else x) for x in held] if held is not None else []
+
+
+def _flagged(items: list[dict]) -> list[dict]:
+    return [x for x in items if x["needs_lookback"] and x["layer"] != "phrase"]
+
+
+def _as_json(flags: list[dict]) -> str:
+    return json.dumps([{"item_id": x["item_id"], "content": x["content"]} for x in flags], ensure_ascii=False)
+
+
+def _resolve(flags: list[dict], reply: str) -> None:
+    """Puts the answers of ``reply`` in place; another text than the JSON that was asked for resolves nothing."""
+    try:
+        said = json.loads(reply).get("resolved", [])
+    except (TypeError, ValueError, AttributeError):
+        said = []
+    new = {r["item_id"]: r["content"] for r in said if isinstance(r, dict) and "item_id" in r and "content" in r}
+    for x in flags:
+        got = new.get(x["item_id"])
+        if got and got != x["content"]:
+            x["content"], x["needs_lookback"] = got, False
+
+
+def _section(index: int, content: str, items: list[dict]) -> str:
+    said = "\n".join(f"- {x['content']}" for x in items if x["layer"] == "proposition")
+    return f"{TEXT_HEAD.format(index)}\n{content}" + (f"\n\n{SAID_HEAD.format(index)}\n{said}" if said else "")
+
+
 def ordered_lookback(passages: DataFrame, items: DataFrame, ask: Callable[[str, str], str], n: int = config.LOOKBACK_PASSAGES) -> DataFrame:
     """The items (ITEM's columns, episode_id) after each passage's flagged ones were asked for, in order of passages.
 
@@ -178,35 +229,21 @@ def ordered_lookback(passages: DataFrame, items: DataFrame, ask: Callable[[str,
     task in order; it holds the sections of ``n`` passages, not the episode. ``ask`` gets the prior text and the flagged
     items as JSON and answers in JSON.
     """
-    place = F.row_number().over(Window.partitionBy("passage_id", "layer").orderBy("p")) - 1
-    plural = F.create_map(*[F.lit(x) for kv in config.LAYERS.items() for x in kv])[F.col("layer")]
-    named = items.withColumn("item_id", F.concat_ws(":", "passage_id", plural, place))
-    held = named.groupBy(F.col("passage_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("layer", "p", "item_id", "content", "needs_lookback"))).alias("items"))
+    held = _held(items)
     rows = passages.select("id", "episode_id", "passage_index", "content").join(held, "id", "left").repartition("episode_id").sortWithinPartitions("episode_id", "passage_index", "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
         episode, sections = None, []
         for f in frames:
             out = []
             for passage, e, index, content, held_items in zip(f["id"], f["episode_id"], f["passage_index"], f["content"], f["items"]):
                 if e != episode:
                     episode, sections = e, []
-                mine = [dict(x.asDict() if hasattr(x, "asDict") else x) for x in held_items] if held_items is not None else []
-                flags = [x for x in mine if x["needs_lookback"] and x["layer"] != "phrase"]
+                mine = _plain_items(held_items)
+                flags = _flagged(mine)
                 if flags:
-                    try:
-                        said = json.loads(ask("\n\n".join(sections), json.dumps([{"item_id": x["item_id"], "content": x["content"]} for x in flags], ensure_ascii=False))).get("resolved", [])
-                    except (ValueError, AttributeError):  # not the JSON that was asked for: nothing is resolved
-                        said = []
-                    new = {r["item_id"]: r["content"] for r in said if isinstance(r, dict) and "item_id" in r and "content" in r}
-                    for x in flags:
-                        got = new.get(x["item_id"])
-                        if got and got != x["content"]:
-                            x["content"], x["needs_lookback"] = got, False
-                props = [f"- {x['content']}" for x in mine if x["layer"] == "proposition"]
-                sections.append(f"--- Chunk {index} (transcript) ---\n{content}" + (f"\n\n--- Chunk {index} (propositions) ---\n" + "\n".join(props) if props else ""))
+                    _resolve(flags, ask("\n\n".join(sections), _as_json(flags)))
+                sections.append(_section(index, content, mine))
                 sections = sections[-n:] if n else []
                 out += [(x["item_id"], passage, e, x["layer"], x["content"], bool(x["needs_lookback"])) for x in mine]
             yield pd.DataFrame(out, columns=["item_id", "passage_id", "episode_id", "layer", "content", "needs_lookback"])
@@ -214,6 +251,50 @@ def ordered_lookback(passages: DataFrame, items: DataFrame, ask: Callable[[str,
     return rows.mapInPandas(run, "item_id string, passage_id long, episode_id long, layer string, content string, needs_lookback boolean")
 
 
+def lookback_rounds(passages: DataFrame, items: DataFrame, ask: Callable[[list[tuple[str, str]]], list[str]], n: int = config.LOOKBACK_PASSAGES, batch: int = config.EMBED_BATCH) -> DataFrame:
+    """As ``ordered_lookback``, in as many rounds as the longest episode has passages.
+
+    Round k asks for the k-th passages of all episodes at once, in batches of (prior text, flagged items as JSON), with the
+    resolved sections of the ``n`` rounds before joined in; its items and sections are written before the next round, so a lost
+    executor repeats a part of one round, and no task waits for the passages of one episode.
+    """
+    spark = passages.sparkSession
+    place = F.row_number().over(Window.partitionBy("episode_id").orderBy("passage_index", "id")) - 1
+    path = scratch_dir(spark)
+    rows = passages.select("id", "episode_id", "passage_index", "content").withColumn("rank", place).join(_held(items), "id", "left")
+    rows.write.partitionBy("rank").parquet(path)
+    ranked = spark.read.schema(rows.schema).parquet(path)
+    item = "array<struct<layer: string, p: long, item_id: string, content: string, needs_lookback: boolean>>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            mine = [_plain_items(x) for x in f["items"]]
+            flags = [_flagged(x) for x in mine]
+            asked = [i for i, x in enumerate(flags) if x]
+            for a in range(0, len(asked), batch):
+                some = asked[a : a + batch]
+                for i, reply in zip(some, ask([(f["prior"].iloc[i], _as_json(flags[i])) for i in some])):
+                    _resolve(flags[i], reply)
+            section = [_section(k, c, x) for k, c, x in zip(f["passage_index"], f["content"], mine)]
+            yield pd.DataFrame({"id": f["id"], "episode_id": f["episode_id"], "section": section, "items": mine})
+
+    done: list[DataFrame] = []
+    last = ranked.agg(F.max("rank")).first()[0]
+    for k in range(0 if last is None else last + 1):
+        now = ranked.where(F.col("rank") == k)
+        if before := done[max(0, k - n) : k] if n else []:
+            sections = functools.reduce(DataFrame.unionByName, [d.select("episode_id", "section").withColumn("r", F.lit(i)) for i, d in enumerate(before)])
+            prior = sections.groupBy("episode_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("r", "section")))["section"], "\n\n").alias("prior"))
+            now = now.join(prior, "episode_id", "left")
+        else:
+            now = now.withColumn("prior", F.lit(""))
+        done.append(written(now.mapInPandas(run, f"id long, episode_id long, section string, items {item}")))
+    if not done:
+        return spark.createDataFrame([], "item_id string, passage_id long, episode_id long, layer string, content string, needs_lookback boolean")
+    rows = functools.reduce(DataFrame.unionByName, done).select(F.col("id").alias("passage_id"), "episode_id", F.explode("items").alias("x"))
+    return rows.select("x.item_id", "passage_id", "episode_id", "x.layer", "x.content", "x.needs_lookback")
+
+
 def lookback_payloads(contexts: DataFrame, flags: DataFrame) -> DataFrame:
     """(passage_id, prior, items_json): one request for each passage with flagged items, which stand in it as JSON."""
     asked = flags.groupBy("passage_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("item_id", "content")))).alias("items_json"))
@@ -259,30 +340,3 @@ def comparison(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
     sizes = F.struct(*[F.struct(F.col(f"old_{v}").alias("old"), F.col(f"new_{v}").alias("new"), (F.col(f"new_{v}") - F.col(f"old_{v}")).alias("delta")).alias(v) for v in config.LAYERS.values()])
     none = F.array().cast("array<struct<layer:string,change:string,key:string>>")
     return rows.select("passage_id", F.to_json(F.struct("passage_id", sizes.alias("counts"), F.coalesce("changes", none).alias("changes"))).alias("document"))
-
-
-def approximate_hits(items: DataFrame, queries: DataFrame, tables: int = 24, bits: int = 6, seed: int = 7) -> DataFrame:
-    """(query_id, layer, id, passage_id, distance) of the items that share a bucket with a query in one of ``tables`` signatures of ``bits`` random hyperplanes.
-
-    An equi-join on buckets instead of every item with every query; every item is in every table. More tables raise the
-    recall, more bits lower the work.
-    """
-    from layerloom.functions.vectors import cosine
-
-    dims = (queries.select(F.size("embedding").alias("n")).first() or [0])[0]
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims))
-
-    def signed(rows: DataFrame) -> DataFrame:
-        held = rows.sparkSession.sparkContext.broadcast(planes)  # its size does not depend on the data
-
-        @F.pandas_udf("array<int>")
-        def buckets(v: pd.Series) -> pd.Series:
-            x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, dims))
-            side = np.einsum("tbd,nd->ntb", held.value, x) > 0
-            return pd.Series(list((side * (1 << np.arange(bits))).sum(2).astype(np.int32)))
-
-        return rows.select("*", F.posexplode(buckets("embedding")).alias("t", "bucket"))
-
-    near = signed(queries).select("query_id", F.col("embedding").alias("query"), "t", "bucket").join(signed(items), ["t", "bucket"])
-    near = near.groupBy("query_id", "layer", "id").agg(F.first("passage_id").alias("passage_id"), F.first("embedding").alias("embedding"), F.first("query").alias("query"))
-    return near.select("query_id", "layer", "id", "passage_id", (1 - cosine("embedding", "query")).alias("distance"))

@@ -8,7 +8,7 @@ found by pointer doubling: joins by (document, sentence), as many as the logarit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerloom import config
@@ -88,11 +88,20 @@ def pack_long(rows: DataFrame, max_tokens: int = config.PASSAGE_MAX_TOKENS, over
     return out.withColumn("token_estimate", token_estimate("content"))
 
 
-def passage(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_tokens: int = config.PASSAGE_MAX_TOKENS, overlap: int = config.PASSAGE_OVERLAP, in_a_row: int = IN_A_ROW) -> DataFrame:
-    """Passages of each text; an empty text has none. A sentence and the blank after it are two characters at least, so a text's length bounds its sentences."""
-    is_long = F.coalesce(F.length(text_col) > 2 * in_a_row, F.lit(False))
+def _is_long(text_col: str, in_a_row: int) -> Column:
+    """A sentence and the blank after it are two characters at least, so a text's length bounds its sentences."""
+    return F.coalesce(F.length(text_col) > 2 * in_a_row, F.lit(False))
+
+
+def any_long(docs: DataFrame, text_col: str = "text", in_a_row: int = IN_A_ROW) -> bool:
+    """Whether a text may have more sentences than one row should hold."""
+    return not docs.where(_is_long(text_col, in_a_row)).isEmpty()
+
+
+def passage(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_tokens: int = config.PASSAGE_MAX_TOKENS, overlap: int = config.PASSAGE_OVERLAP, in_a_row: int = IN_A_ROW, any_long_: bool | None = None) -> DataFrame:
+    """Passages of each text; an empty text has none. ``any_long_`` says what ``any_long`` would, where that is known."""
+    if not (any_long(docs, text_col, in_a_row) if any_long_ is None else any_long_):
+        return pack(sentence_rows(docs, id_col, text_col), max_tokens, overlap)
+    is_long = _is_long(text_col, in_a_row)
     out = pack(sentence_rows(docs.where(~is_long), id_col, text_col), max_tokens, overlap)
-    long = docs.where(is_long)
-    if long.isEmpty():
-        return out
-    return out.unionByName(pack_long(sentence_rows(long, id_col, text_col), max_tokens, overlap))
+    return out.unionByName(pack_long(sentence_rows(docs.where(is_long), id_col, text_col), max_tokens, overlap))

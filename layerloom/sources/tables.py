@@ -12,6 +12,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def ddl(rows: DataFrame) -> str:
+    """The columns of ``rows`` with their types, as DDL."""
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+
 def episodes(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("Doc "), F.col("doc_id")).alias("title"), F.col("source").alias("guest"), content_hash(clean("text")).alias("content_hash"))
 

@@ -133,12 +133,15 @@ def test_ordered_lookback_against_a_loop(spark):
                     if n in new:
                         x[3], x[4] = new[n], False
             said = "\n".join(f"- {x[3]}" for _, x in named if x[1] == "proposition")
-            sections.append(f"--- Chunk {k} (transcript) ---\n{text}" + (f"\n\n--- Chunk {k} (propositions) ---\n{said}" if said else ""))
+            sections.append(f"[passage {k}: text]\n{text}" + (f"\n\n[passage {k}: propositions]\n{said}" if said else ""))
             want |= {n: (x[3], x[4]) for n, x in named}
     p = spark.createDataFrame(passages, "id long, episode_id long, passage_index long, content string").repartition(3)
     i = spark.createDataFrame(items, "passage_id long, layer string, p long, content string, needs_lookback boolean")
     assert {r.item_id: (r.content, r.needs_lookback) for r in episodes.ordered_lookback(p, i, ask).collect()} == want
     assert episodes.ordered_lookback(p, i.limit(0), ask).count() == 0
+    many = lambda asked: [ask(*x) for x in asked]
+    assert {r.item_id: (r.content, r.needs_lookback) for r in episodes.lookback_rounds(p, i, many, batch=2).collect()} == want
+    assert episodes.lookback_rounds(p.limit(0), i, many).count() == 0
 
 
 def test_backfill_asks_only_for_what_lacks(spark):
@@ -150,21 +153,3 @@ def test_backfill_asks_only_for_what_lacks(spark):
 
     got = {r.id: (r.embedding, r.embedding_model) for r in episodes.backfilled(rows, embed, "new", F.current_timestamp()).collect()}
     assert got == {1: ([1.0, 0.0], "old"), 2: ([0.6, 0.8], "new")}
-
-
-def test_recall_of_approximate_hits(spark):
-    rng = np.random.default_rng(5)
-    centres = rng.standard_normal((40, 32))
-    e = centres[rng.integers(0, 40, 1500)] + 0.5 * rng.standard_normal((1500, 32))
-    items = spark.createDataFrame([(i, "claim", i // 20, v.tolist()) for i, v in enumerate(e)], "id long, layer string, passage_id long, embedding array<double>")
-    queries = items.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
-    near = defaultdict(list)
-    for r in episodes.approximate_hits(items, queries).collect():
-        near[r.query_id].append((r.distance, r.id))
-    unit = e / np.linalg.norm(e, axis=1, keepdims=True)
-    hit = total = 0
-    for q in range(0, 1500, 20):
-        best = set(np.argsort(1 - unit @ unit[q], kind="stable")[:10].tolist())
-        hit += len(best & {i for _, i in sorted(near[q])[:10]})
-        total += 10
-    assert hit / total >= 0.9
