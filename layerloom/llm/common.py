@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from layerloom.scratch import scratch_dir, written  # noqa: F401  (the operators take them from here)
+
 #: Bytes of text that one vectorised step handles; the arrays of a step take some fifty times that.
 CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch on its way to a Python task.
@@ -22,23 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder of ``spark.checkpoint.dir``; only where that is unset a local one is made (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="layerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/layerloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the shared scratch folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(name: str, columns: list[str]) -> str:
     """``name`` with so many underscores that no column is called so, in any case."""
     taken = {c.lower() for c in columns}

@@ -20,34 +20,58 @@ def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def brute_rules(pages, least, confidence):
-    """Antecedents of tokens that stand for their page sets, with their confidence, without those that a subset covers."""
+def brute_rules(pages, support, confidence, z):
+    """Antecedents of tokens that stand for others, with their confidence, without those that a subset covers."""
     where = defaultdict(set)
     for i, (toks, _) in enumerate(pages):
         for t in toks:
             where[t].add(i)
-    groups = defaultdict(list)
-    for t, s in where.items():
-        groups[frozenset(s)].append(t)
-    names = {min(ts): s for s, ts in groups.items() if len(s) >= least}
     bad = {i for i, (_, b) in enumerate(pages) if b}
+    base = len(bad) / len(pages)
+    rank = lambda t: (len(where[t]), t)
+    often = [t for t in where if len(where[t] & bad) >= max(support * len(pages), int(base * z * z / (1 - base)) + 1)]
+    alike = lambda t, u: len(where[t] & where[u]) >= 0.75 * len(where[t] | where[u])
+    best = {t: max([u for u in often if rank(u) > rank(t) and alike(t, u)], key=rank, default=t) for t in often}
+    names = [t for t in often if best[t] == t or best[best[t]] != best[t]]
     found = {}
-    for n in range(1, 5):
+    for n in range(1, 6):
         for some in itertools.combinations(sorted(names), n):
-            at = frozenset.intersection(*(names[t] for t in some))
-            if len(at & bad) >= least and len(at & bad) / len(at) >= confidence:
-                found[some] = len(at & bad) / len(at)
+            at = frozenset.intersection(*(frozenset(where[t]) for t in some))
+            hit = len(at & bad)
+            if hit < max(support * len(pages), 1) or hit / len(at) < confidence:
+                continue
+            p, m = hit / len(at), len(at)
+            if (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m) > base:
+                found[some] = p
     return {a: c for a, c in found.items() if not any((less := a[:i] + a[i + 1 :]) in found and found[less] >= c for i in range(len(a)))}
 
 
 def test_url_rules_against_brute_force(spark):
     rng = random.Random(3)
-    pages = [([t for t in "abcdef" if rng.random() < 0.5] + ["all", "every"], False) for _ in range(120)]
-    pages = [(t, ("a" in t and "b" in t and rng.random() < 0.9) or rng.random() < 0.3) for t, _ in pages]
-    got = urls.rules_of(spark.createDataFrame(pages, "tokens array<string>, bad boolean"), 0.05, 0.6, 8).collect()
-    want = brute_rules(pages, 8, 0.6)
-    assert {tuple(r.antecedent): pytest.approx(r.confidence) for r in got} == want and len(want) > 1
-    assert urls.rules_of(spark.createDataFrame(pages[:5], "tokens array<string>, bad boolean"), 0.05, 0.6, 8).count() == 0
+    schema = "tokens array<string>, bad boolean"
+    pages = [([t for t in "abcdef" if rng.random() < 0.5] + ["all", "every"], False) for _ in range(160)]
+    pages = [(t + ["near"] * (rng.random() < 0.9), ("a" in t and "b" in t and rng.random() < 0.9) or rng.random() < 0.2) for t, _ in pages]
+    pages += [(["x", "y", f"z{i % 2}"], True) for i in range(12)]
+    for z in (2.0, 3.0):
+        got = urls.rules_of(spark.createDataFrame(pages, schema), 0.02, 0.6, z).collect()
+        want = brute_rules(pages, 0.02, 0.6, z)
+        assert {tuple(r.antecedent): pytest.approx(r.confidence) for r in got} == want and len(want) > 1
+    assert ("y",) in want or ("x",) in want
+    few = [(["a"], True), (["a"], True), (["b"], False), (["c"], False), (["d"], False)]
+    assert urls.rules_of(spark.createDataFrame(few, schema), 0.05, 0.6).count() == 0  # two pages are no evidence
+    assert urls.rules_of(spark.createDataFrame([(["a"], True)] * 9, schema), 0.05, 0.6).count() == 0  # nothing is beyond a base rate of one
+    # one criterion at every size: the same pages a hundred times over have at least the same rules
+    more = {tuple(r.antecedent) for r in urls.rules_of(spark.createDataFrame(pages * 100, schema), 0.02, 0.6).collect()}
+    assert more >= {a for a in want if len(a) == 1}
+
+
+def test_many_correlated_words_do_not_explode(spark):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(24)]
+    pages = [([w for w in words if w != words[i % 24]] + (["evil"] if i % 5 == 0 else []), i % 5 == 0 or rng.random() < 0.1) for i in range(960)]
+    began = time.time()
+    got = [(r.antecedent, r.confidence) for r in urls.rules_of(spark.createDataFrame(pages, "tokens array<string>, bad boolean")).collect()]
+    assert (["evil"], 1.0) in got and time.time() - began < 30
 
 
 def test_url_rules_of_long_common_paths_do_not_explode(spark):
@@ -291,3 +315,20 @@ def test_slices_are_bounded_by_bytes():
     batch = pa.RecordBatch.from_pydict({"text": ["é" * 50, None, "x" * 500, "", "y" * 60]})
     got = [texts for _, texts in slices(batch, limit=100)]
     assert [len(t) for t in got] == [2, 1, 2] and b"".join(itertools.chain(*got)) == ("é" * 50 + "x" * 500 + "y" * 60).encode()
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    rng = random.Random(11)
+    shared = " ".join(rng.choices(WORDS, k=60))
+    texts = [f"{i} " + " ".join(f"{rng.randrange(10**9)}" for _ in range(20)) for i in range(1500)]
+    texts += [f"{i} {shared} {i}" for i in range(40)] + [texts[0]] * 3
+    for doc_id in (None, 7):
+        rows = spark.createDataFrame([(doc_id, t) for t in texts] + [(9, "x" + texts[5])], "doc_id long, text string").repartition(4)
+        got = defaultdict(list)
+        for r in suffix_dedup.remove_repeats(rows, with_text=True).collect():
+            got[r.doc_id].append((r.n_removed, bytes(r.kept).decode()))
+        mine = got[doc_id]
+        assert len(mine) == len(texts) and got[9] == [(len(texts[5]), "x")]
+        cut = [x for x in mine if x[0]]
+        assert len(cut) == 39 and sum(shared in t for _, t in mine) == 1  # one of the forty keeps the passage
+        assert Counter(t for n, t in mine if not n and shared not in t) == Counter(texts[:1500] + texts[-3:])
