@@ -30,6 +30,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 BLOCK_WORDS = 4096
+#: Blocks of all sources together, at most; blocks grow with the corpus beyond that, since a draw takes numbers below 10 ** 9.
+MOST_BLOCKS = 500_000_000
 #: A shard has so many blocks, fewer if there would be less than LEAST_SHARDS.
 BLOCKS_PER_SHARD = 4096
 LEAST_SHARDS = 8
@@ -139,6 +141,11 @@ def permuted(i: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def grown(block_words: int, words: int) -> int:
+    """``block_words``, or as many more as keep ``words`` within MOST_BLOCKS blocks (each source may add one)."""
+    return max(block_words, -(-words // MOST_BLOCKS))
+
+
 def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int = BLOCKS_PER_SHARD, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """Per row of ``docs``: its key, sizes, its source's target, and its draws: epoch, block, shard, and words from the document's start."""
     spark = docs.sparkSession
@@ -150,6 +157,7 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int
     totals = [r.total for r in rows]
     want = targets(totals) if sum(totals) else [0.0] * len(rows)
     words = np.array([min(round(t), MAX_EPOCHS * s) for t, s in zip(want, totals)], np.int64)
+    block_words = grown(block_words, int(words.sum()))
     quota = -(-words // block_words)
     shards = max(least_shards, -(-int(quota.sum()) // blocks_per_shard))
     mix = spark.sparkContext.broadcast((words, quota, shards))
@@ -183,9 +191,10 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_per_shard: int
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """Per document: its words, its source's words and target, and the words that the shards draw of it."""
+    """Per document: its words, its source's words and target, and the words that the shards draw of it, also shard by shard."""
     total = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d.n_words)
-    return plan(docs).select("doc_id", "size", "source_size", "target", total.alias("taken"))
+    shards = F.transform("draws", lambda d: F.struct(d.shard.alias("shard"), d.n_words.alias("n_words")))
+    return plan(docs).select("doc_id", "size", "source_size", "target", total.alias("taken"), shards.alias("shards"))
 
 
 def shard_words(docs: DataFrame, **sizes_: int) -> DataFrame:
@@ -212,3 +221,9 @@ def mix(docs: DataFrame, whole: bool = False, **sizes_: int) -> DataFrame:
         text = F.when(F.col("drawn_cut").isNull(), text).otherwise(F.array_join(F.slice(words, F.lit(1), F.coalesce("drawn_cut", F.lit(1))), ""))
     kept = [text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("mix_shard", "mix_order")]
     return out.select(*kept, "mix_shard", "mix_order")
+
+
+def mixed_shards(docs: DataFrame, **sizes_: int) -> DataFrame:
+    """The mixed documents with the columns of ``docs``: a shard's rows stand in tasks of their own, a large shard's in several, in the order of its local shuffle."""
+    out = mix(docs, **sizes_)
+    return out.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order").select(docs.columns)
