@@ -2,7 +2,8 @@
 
 A text's key is the digest of its normalised content together with the digest of the tokenizer (its file, library
 version and options). Texts whose key the cache holds are not encoded; of the others each distinct text is encoded once
-and its count is appended to the cache. Only digests and distinct misses move between executors.
+and its count is appended to the cache. Digests meet the cache first; then the texts of what it lacks move between
+executors, and nothing does where it lacks nothing. A folder that is kept serves later runs.
 
 Normalisation may only join what has equal counts, so by default it only makes null an empty text.
 
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import in_arrow, packed, ranges, scratch_dir, slices
+from layerloom.llm.common import in_arrow, packed, ranges, scratch_dir, slices, written
 
 LIMIT = 1024
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -180,7 +181,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: CountCache, limit: int
             for part, texts in slices(batch, "body"):
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counts(texts, tokenizer), pa.int64())], ["digest", "n_tokens"])
 
-    misses = packed(keyed.select("digest", "text")).join(cache.read(version), "digest", "left_anti").dropDuplicates(["digest"])
-    cache.append(misses.transform(in_arrow, encode, "digest binary, n_tokens long"), version)
+    misses = written(keyed.select("digest").distinct().join(cache.read(version), "digest", "left_anti"))
+    n = misses.count()
+    if n:
+        texts = keyed.select("digest", "text")
+        # where the misses are few, Spark broadcasts their digests and only their texts are packed
+        few = n * 64 <= docs.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        lacking = packed(texts.join(misses, "digest", "left_semi")) if few else packed(texts).join(misses, "digest", "left_semi")
+        cache.append(lacking.dropDuplicates(["digest"]).transform(in_arrow, encode, "digest binary, n_tokens long"), version)
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(cache.read(version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
