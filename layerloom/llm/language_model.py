@@ -173,53 +173,6 @@ class Slots:
         return out
 
 
-class Scorer:
-    """Tables of the kept contexts: by depth, grams with their log10 probability and nodes with P(1)."""
-
-    def __init__(self, depth: int, grams_: dict[int, tuple], nodes: dict[int, tuple]):
-        self.depth, self.grams, self.nodes = depth, grams_, nodes
-        self.ready = False
-
-    def __getstate__(self):
-        return {"depth": self.depth, "grams": self.grams, "nodes": self.nodes, "ready": False}
-
-    def _ready(self) -> None:
-        if not self.ready:
-            self.gram_at = {d: Slots(k) for d, (k, _) in self.grams.items()}
-            self.node_at = {d: Slots(k) for d, (k, _) in self.nodes.items()}
-            self.context_at = {d: Slots(np.unique(k >> 8)) for d, (k, _) in self.grams.items()}
-            self.ready = True
-
-    def logs(self, key: np.ndarray) -> np.ndarray:
-        """log10 P of the coded byte of each gram of full depth."""
-        self._ready()
-        out = np.zeros(len(key))
-        left = np.arange(len(key))
-        for d in range(self.depth, -1, -1):
-            k = cut(key[left], d)
-            i = self.gram_at[d].find(k)
-            out[left[i >= 0]] = self.grams[d][1][i[i >= 0]]
-            left, k = left[i < 0], k[i < 0]
-            if not len(left):
-                break
-            known = self.context_at[d].find(k >> 8) >= 0 if d else np.ones(len(k), bool)
-            out[left[known]] = self._bitwise(k[known], d)
-            left = left[~known]
-        return out
-
-    def _bitwise(self, key: np.ndarray, depth: int) -> np.ndarray:
-        byte = key & 255
-        node = (((key >> 8) << 8)[:, None] | (1 << _BITS) | (byte[:, None] >> (8 - _BITS))).ravel()
-        bit = ((byte[:, None] >> (7 - _BITS)) & 1).ravel() == 1
-        p = np.full(len(node), 0.5)
-        left = np.arange(len(node))
-        for d in range(depth, -1, -1):
-            i = self.node_at[d].find(cut(node[left], d))
-            p[left[i >= 0]] = self.nodes[d][1][i[i >= 0]]
-            left = left[i < 0]
-        return np.log10(np.where(bit, p, 1 - p)).reshape(-1, 8).sum(1)
-
-
 def path_logs(levels: list[Levels], key: np.ndarray, depth: int) -> np.ndarray:
     """log10 P of the coded byte of any grams of ``depth``, each bit at its deepest node of the tree. ``levels``: deep parts first."""
     byte = key & 255
@@ -352,72 +305,6 @@ def frequent(values: DataFrame, table: int) -> tuple[pa.Table, DataFrame]:
     return pairs.where(step >= least).toArrow(), pairs.where(step < least)  # the first is bounded by the table
 
 
-def train(counts: DataFrame, depth: int = DEPTH, table: int = TABLE) -> Scorer:
-    """A model of bounded size, for look-ups on one machine, from gram counts of depth 2 or more: the contexts with the largest counts, ``table`` grams in all; others count as their longest kept suffix. ``text_scores`` takes the whole tree."""
-    spark = counts.sparkSession
-    dealt = _dealt(counts.select("gram", "n"))
-    upper = upper_levels(counts, depth)
-    held = spark.sparkContext.broadcast(upper)
-
-    # contexts by size: the least count of a context for which all grams of the larger ones fit the table
-    def context_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n in _whole_contexts(batches):
-            for d in range(2, depth + 1):
-                k, c = summed(cut(key, d), n)
-                _, i = np.unique(k >> 8, return_inverse=True)
-                size = np.bincount(i, c)
-                step = np.floor(np.log2(size) * 8).astype(np.int32)
-                u, m = np.unique(step[i], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(m)], ["step", "n"])
-
-    steps = dealt.transform(in_arrow, context_sizes, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
-    least, total = 1 << 30, 0
-    for r in steps:
-        total += r.n
-        if total > table:
-            break
-        least = r.step
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n in _whole_contexts(batches):
-            part = Levels.subtrees(key, n, 2, depth)[0]
-            for d in range(2, depth + 1):
-                k, c = summed(cut(key, d), n)
-                _, i = np.unique(k >> 8, return_inverse=True)
-                k = k[np.floor(np.log2(np.bincount(i, c)) * 8)[i] >= least]
-                if len(k):
-                    yield from _entries([part, held.value], k, d)
-
-    got = [dealt.transform(in_arrow, entries, "depth int, gram boolean, key long, value double").toArrow()]  # bounded by the table
-    for d in (1, 0):
-        leaf = upper.node[d][(upper.node[d] & 255) >= 128]
-        k = np.unique(np.concatenate([(leaf & ~255) | ((leaf & 127) << 1) | b for b in (0, 1)]))
-        got += [pa.Table.from_batches([b]) for b in _entries([upper], k, d)]
-    level, kind, key, value = (np.concatenate([t.column(c).to_numpy() for t in got]) for c in ("depth", "gram", "key", "value"))
-    del got
-    tabs = {}
-    for is_gram in (True, False):
-        for d in range(depth + 1):
-            at = np.flatnonzero((kind == is_gram) & (level == d))
-            at = at[np.argsort(key[at])]
-            tabs[is_gram, d] = (key[at], value[at])
-    return Scorer(depth, {d: tabs[True, d] for d in range(depth + 1)}, {d: tabs[False, d] for d in range(depth + 1)})
-
-
-def _entries(levels: list[Levels], key: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
-    """Table rows of grams that stand in the tree: their log10 probabilities, and P(1) at the nodes on their paths."""
-    if not len(key):
-        return
-    byte = key & 255
-    node = ((key >> 8) << 8)[:, None] | (1 << _BITS) | (byte[:, None] >> (8 - _BITS))
-    bit = ((byte[:, None] >> (7 - _BITS)) & 1) == 1
-    u, i = np.unique(node.ravel(), return_inverse=True)
-    p = mixed_ones(levels, u, depth)
-    q = p[i].reshape(-1, 8)
-    for is_gram, k, v in ((True, key, np.log10(np.where(bit, q, 1 - q)).sum(1)), (False, u, p)):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), depth, np.int32)), pa.array(np.full(len(k), is_gram)), pa.array(k), pa.array(v)], ["depth", "gram", "key", "value"])
-
-
 def _listed(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
     """Distinct grams of each of ``n`` texts, and how often they stand there, as lists."""
     by = np.lexsort((key, doc))
@@ -429,7 +316,10 @@ def _listed(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[pa.Array, pa.Arra
 
 
 def text_scores(docs: DataFrame, depth: int = DEPTH, table: int = TABLE, head: int = HEAD) -> DataFrame:
-    """Per row: whether it was held out, tokens, known tokens, training tokens, the base's and the model's log10 probability."""
+    """Per row: whether it was held out, tokens, known tokens, training tokens, the base's and the model's log10 probability, and the model's code length in bits a coded byte.
+
+    The bytes coded are those of the words, one space between them, and the end; the first ones have end bytes as context.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     training = rows.where(crc_mod("doc_id", 5) != 1)
@@ -464,15 +354,17 @@ def text_scores(docs: DataFrame, depth: int = DEPTH, table: int = TABLE, head: i
                     base.append(sum(k * known.value[x] for x, k in here.items()))
                     rare.append([x for x in c if x not in here])
                     times.append([c[x] for x in rare[-1]])
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())), *left], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times", "grams", "gram_times"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(np.bincount(doc, minlength=len(texts))), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())), *left], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "n_coded", "rare", "times", "grams", "gram_times"])
 
-    scored = written(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").transform(in_arrow, run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>, grams array<long>, gram_times array<int>"))
+    scored = written(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").transform(in_arrow, run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, n_coded long, rare array<binary>, times array<int>, grams array<long>, gram_times array<int>"))
     each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     more = each.join(rest, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("more_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
     each = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.gram_times").alias("times"))
     more_score = each.join(seldom, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more_score"))
     total = float(np.log10(n + 0.5 * (v + 1)))
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return scored.join(more, "row", "left").join(more_score, "row", "left").select(
         "doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * total).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * total).alias("base_score"), score.alias("score"),
+        (-score * float(np.log2(10)) / F.col("n_coded")).alias("bits_per_byte"))

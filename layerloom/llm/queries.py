@@ -15,12 +15,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.default_tokenizer(), tokens.CountCache(spark))
+def op2_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
+    """``cache``: the folder of a cache that is kept; else a new one."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.default_tokenizer(), tokens.CountCache(spark, cache))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents"))
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("shards")
 
 
 def mix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,3 +332,69 @@ def test_rows_without_ids_are_told_apart(spark):
         cut = [x for x in mine if x[0]]
         assert len(cut) == 39 and sum(shared in t for _, t in mine) == 1  # one of the forty keeps the passage
         assert Counter(t for n, t in mine if not n and shared not in t) == Counter(texts[:1500] + texts[-3:])
+
+
+def test_a_kept_cache_moves_no_text_again(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "some words"), (2, "some words"), (3, None), (4, "other words here")], "doc_id long, text string")
+    cache = tokens.CountCache(spark, str(tmp_path / "cache"))
+    path = tokens.default_tokenizer()
+    run = lambda df: sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in tokens.count_tokens(df, path, cache).collect())
+    want = run(docs)
+    assert [x[:2] for x in want] == [(1, 10), (2, 10), (3, 0), (4, 16)] and want[2][2] == 0
+    moved = []
+    monkeypatch.setattr(tokens, "packed", lambda rows, real=tokens.packed: moved.append(rows.count()) or real(rows))
+    again = tokens.CountCache(spark, str(tmp_path / "cache"))
+    assert run(docs) == want and not moved  # everything is known
+    more = docs.unionByName(spark.createDataFrame([(5, "new"), (6, "new")], docs.schema))
+    assert len(run(more)) == 6 and moved == [2]  # only the rows of the one new text
+    assert again.read(tokens.tokenizer_digest(path)).count() == 4
+
+
+def test_blocks_grow_with_the_corpus():
+    assert mixing.grown(4096, 10**6) == 4096 and mixing.grown(4096, 2 * 10**12) == 4096
+    for words in (5 * 10**12, 10**15):
+        size = mixing.grown(4096, words)
+        assert words / size <= mixing.MOST_BLOCKS < 10**9
+    quota = np.array([400_000_000, 99_000_000, 1_000_000])  # what a draw may meet then
+    left = mixing.left_half(quota, 0, 8, 0)
+    assert left.sum() == quota.sum() // 2 and (left <= quota).all()
+
+
+def test_shards_stand_in_the_order_of_their_shuffle(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=rng.randint(1, 40))), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    sizes = {"block_words": 64, "blocks_per_shard": 4}
+    order = {}
+    for r in mixing.mix(docs, **sizes).collect():
+        order.setdefault((r.doc_id, r.text), []).append((r.mix_shard, r.mix_order))
+    got = mixing.mixed_shards(docs, **sizes)
+    assert got.columns == docs.columns
+    parts = [[order[r.doc_id, r.text] for r in part] for part in got.rdd.glom().collect()]
+    assert sum(map(len, parts)) == sum(map(len, order.values()))
+    seen = [[places[0] for places in part if len(places) == 1] for part in parts]  # rows that were drawn once
+    assert all(x == sorted(x) for x in seen) and [x for part in seen for x in part] == sorted(x for part in seen for x in part) and sum(map(len, seen)) > 100
+
+
+def test_long_texts_in_the_other_operators(spark):
+    """A text of some 2.5 MB is scored, counted, fingerprinted, mixed and written whole."""
+    from layerloom.llm import fingerprints, id_files, language_model
+
+    rng = random.Random(6)
+    long = " ".join(rng.choices([f"{a}{b}" for a in WORDS for b in "abcdefgh"], k=500_000))
+    assert len(long) > 2_000_000
+    rows = [(1, long, "s", "en"), (2, "short text", "s", "en"), (None, "no id", "s", "en"), (None, None, None, None), (2, "short text", "s", "en"), (2, "another", "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    path = tokens.default_tokenizer()
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, path, tokens.CountCache(spark)).collect()}[1] == len(ids)
+    written = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in id_files.encode_documents(docs, path).collect()}
+    assert (1, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) in written
+    assert Counter((r.doc_id, r.size) for r in mixing.taken(docs).collect()) == Counter([(1, 500_000), (2, 2), (2, 2), (2, 1), (None, 2), (None, 0)])
+    scores = Counter((r.doc_id, r.n_tokens) for r in language_model.text_scores(docs, depth=2).collect())
+    assert scores == Counter([(1, 500_001), (2, 3), (2, 3), (2, 2), (None, 3), (None, 1)])
+    prints = [(r.doc_id, r.n_chars) for r in fingerprints.compare_edited(docs).collect()]
+    assert Counter(prints) == Counter((i, len(t or "")) for i, t, *_ in rows)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.quality_scores(docs, labels).count() == len(rows)

@@ -386,17 +386,19 @@ def test_context_tree_scores(spark, docs):
                     p = one(data[i - depth : i], node)
                     score += log10(p if bit else 1 - p)
             assert r.score == pytest.approx(score, rel=1e-6)
+            assert r.bits_per_byte == pytest.approx(-score / log10(2) / (len(data) - depth), rel=1e-6)
     assert language_model.text_scores(empty(spark)).count() == 0
     assert language_model.text_scores(spark.createDataFrame([(2, "a b")], "doc_id long, text string")).count() == 1
 
 
-def test_kept_contexts_add_up_to_one(spark, docs):
-    model = language_model.train(language_model.gram_counts(docs, 3), 3, table=300)
-    key = np.frombuffer(b"\xff\xff\xff", np.uint8)
+def test_all_bytes_after_a_context_add_up_to_one(spark, docs):
+    counts = language_model.gram_counts(docs, 3)
+    held = counts.toPandas().sort_values("gram")
+    part = language_model.Levels.subtrees(held["gram"].to_numpy(), held["n"].to_numpy(), 2, 3)[0]
+    upper = language_model.upper_levels(counts, 3)
     for context in (b"alp", b"zzz", b" ga", b"\xff\xff\xff"):
         base = sum(c << (8 * (3 - i)) for i, c in enumerate(context))
-        assert (10 ** model.logs(np.arange(256) + base)).sum() == pytest.approx(1)
-    assert len(key) == 3
+        assert (10 ** language_model.path_logs([part, upper], np.arange(256) + base, 3)).sum() == pytest.approx(1)
 
 
 def test_table_bounds_the_broadcast_and_no_score(spark, docs):
