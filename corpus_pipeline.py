@@ -1,7 +1,12 @@
 """The corpus pipeline: quality, near duplicates, benchmark passages, the mix of sources, and token-id files.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``. All but the last return the columns of ``docs``.
+stage's ``docs``. All but the last return the columns of ``docs``. The last one numbers its rows by doc_id, as the files' format
+asks; the order of the mix is that of the files that the stage before it writes.
+
+Cases: a null text is empty; documents without an id, or that share one, are told apart by their texts; a null source is a
+source of its own; with labels of one kind only all documents pass or none does, and without any none does; an empty table passes all stages; columns of any name
+that the stages do not know pass through all but the last.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time that it takes a document."""
-    return mixing.mix(docs).select(docs.columns)
+    """The mix: a row for each time that it takes a document, written shard by shard in the order of each shard's shuffle."""
+    return mixing.mixed_shards(docs)
 
 
 def token_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
