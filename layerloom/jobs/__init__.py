@@ -2,12 +2,12 @@
 
 
 def all_queries() -> dict:
-    from layerloom.jobs import episodes, library, queries, replies  # noqa: F401  (the others register theirs with ``queries``)
+    from layerloom.jobs import details, episodes, library, queries, replies  # noqa: F401  (the others register theirs with ``queries``)
 
     return dict(queries.QUERIES)
 
 
 def all_sql() -> dict[str, str]:
-    from layerloom.jobs import episodes, library_oracles, oracles, replies
+    from layerloom.jobs import details, episodes, library_oracles, oracles, replies
 
-    return oracles.SQL | library_oracles.SQL | replies.SQL | episodes.SQL
+    return oracles.SQL | library_oracles.SQL | replies.SQL | episodes.SQL | details.SQL

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from layerloom import config
 from layerloom.functions import text as T
 from layerloom.functions import vectors as V
-from layerloom.operators import packing, layers, retrieval
+from layerloom.operators import packing, layers, replies, retrieval
 from layerloom.sources import tables
 from layerloom.sources.tables import table
 
@@ -111,7 +111,7 @@ def library_page(spark, d):
 
 @query
 def extraction_requests(spark, d):
-    return _passages(spark, d).select("id", F.concat(F.lit("Extract the layers of this passage:\n"), "content").alias("request"))
+    return replies.extraction_requests(_passages(spark, d))
 
 
 @query

@@ -55,13 +55,15 @@ def replaced(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.join(fresh.select("episode_id").distinct(), "episode_id", "left_anti").unionByName(fresh)
 
 
-def select_passages(passages: DataFrame, items: DataFrame, force: bool = False, episodes: DataFrame | None = None, up_to: int | None = None, limit: int | None = None) -> DataFrame:
-    """Passages (id, episode_id, passage_index, stamped) to extract: pending ones (not stamped, without items), or all with ``force``; of some episodes; up to an index; the first ``limit`` by episode and index."""
+def select_passages(passages: DataFrame, items: DataFrame, force: bool = False, episodes: DataFrame | None = None, up_to: int | None = None, limit: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Passages (id, episode_id, passage_index, stamped) to extract: pending ones (not stamped, without items), or all with ``force``; of some episodes, or by id; up to an index; the first ``limit`` by episode and index."""
     out = passages
     if not force:
         out = out.where("NOT stamped").join(items.select(F.col("passage_id").alias("id")).distinct(), "id", "left_anti")
     if episodes is not None:
         out = out.join(episodes.select("episode_id").distinct(), "episode_id", "left_semi")
+    if ids is not None:
+        out = out.join(ids.select("id").distinct(), "id", "left_semi")
     if up_to is not None:
         out = out.where(F.col("passage_index") <= up_to)
     return out if limit is None else out.orderBy("episode_id", "passage_index", "id").limit(limit)
@@ -81,23 +83,36 @@ def persist_layers(passages: DataFrame, items: DataFrame, fresh: DataFrame, mode
 
 
 def clear_stamps(passages: DataFrame, scope: DataFrame) -> DataFrame:
-    """``passages`` without stamps and models in the episodes of ``scope``."""
+    """``passages`` without stamps, models and look-back times, whichever of them they have, in the episodes of ``scope``; vectors stay."""
     mark = passages.join(scope.select("episode_id").distinct().withColumn("there", F.lit(True)), "episode_id", "left")
-    gone = {c: F.when(F.col("there").isNull(), F.col(c)) for c in ("extracted_at", "extraction_model")}
+    gone = {c: F.when(F.col("there").isNull(), F.col(c)) for c in ("extracted_at", "extraction_model", "lookback_completed_at") if c in passages.columns}
     return mark.withColumns(gone).select(passages.columns)
 
 
-def found_episodes(episodes: DataFrame, term: str = "", page: int = 1, size: int = config.PAGE_SIZE) -> DataFrame:
-    """One page of episodes (id, title, guest), newest first, whose title or guest holds ``term`` in any case."""
+def mark_lookback(passages: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """``passages`` (with lookback_completed_at) stamped as done where ``asked`` (passage_id) has them; the others keep theirs."""
+    mark = passages.join(asked.select(F.col("passage_id").alias("id")).distinct().withColumn("there", F.lit(True)), "id", "left")
+    return mark.withColumn("lookback_completed_at", F.when(F.col("there"), now).otherwise(F.col("lookback_completed_at"))).select(passages.columns)
+
+
+def found_episodes(episodes: DataFrame, term: str = "", page: int | str | None = 1, size: int = config.PAGE_SIZE) -> DataFrame:
+    """One page of episodes (id, title, guest), newest first, whose title or guest holds ``term`` in any case. A page that is no number, or below 1, is the first; one beyond the end is the last."""
     low = F.lit(term.lower())
-    return episodes.where(F.contains(F.lower("title"), low) | F.contains(F.lower("guest"), low)).orderBy(F.desc("id")).offset((page - 1) * size).limit(size)
+    rows = episodes.where(F.contains(F.lower("title"), low) | F.contains(F.lower("guest"), low))
+    try:
+        page = max(1, int(page))
+    except (TypeError, ValueError):
+        page = 1
+    if page > 1:
+        page = min(page, max(1, -(-rows.count() // size)))
+    return rows.orderBy(F.desc("id")).offset((page - 1) * size).limit(size)
 
 
 def episode_list(episodes: DataFrame, passages: DataFrame, items: DataFrame) -> DataFrame:
-    """Episodes (episode_id) with their numbers of passages, tokens and items; each table is counted before it is joined."""
-    n = passages.groupBy("episode_id").agg(F.count("*").alias("passages"), F.sum(T.token_estimate("content")).alias("tokens"))
+    """Episodes (episode_id) with their numbers of passages, layered passages (stamped), tokens and items; each table is counted before it is joined."""
+    n = passages.groupBy("episode_id").agg(F.count("*").alias("passages"), F.count_if("stamped").alias("layered"), F.sum(T.token_estimate("content")).alias("tokens"))
     m = items.groupBy("episode_id").agg(F.count("*").alias("items"))
-    return episodes.join(n, "episode_id", "left").join(m, "episode_id", "left").na.fill(0, ["passages", "tokens", "items"])
+    return episodes.join(n, "episode_id", "left").join(m, "episode_id", "left").na.fill(0, ["passages", "layered", "tokens", "items"])
 
 
 def unresolved_counts(items: DataFrame) -> DataFrame:
@@ -340,3 +355,29 @@ def comparison(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
     sizes = F.struct(*[F.struct(F.col(f"old_{v}").alias("old"), F.col(f"new_{v}").alias("new"), (F.col(f"new_{v}") - F.col(f"old_{v}")).alias("delta")).alias(v) for v in config.LAYERS.values()])
     none = F.array().cast("array<struct<layer:string,change:string,key:string>>")
     return rows.select("passage_id", F.to_json(F.struct("passage_id", sizes.alias("counts"), F.coalesce("changes", none).alias("changes"))).alias("document"))
+
+
+def comparison_report(old: DataFrame, new: DataFrame, changes: DataFrame, lookback: DataFrame, models: tuple[str, str], at: Column) -> DataFrame:
+    """(episode_id, document): the comparison of two runs over an episode as JSON.
+
+    It has the models and the time, the look-back's figures (lookback: episode_id, flagged, calls, resolved,
+    still_unresolved), each layer's rows in both runs and in all, and for each passage the items of both runs and what
+    changed (changes: passage_id, layer, key, change). Items are gathered by passage before passages are by episode.
+    """
+    entry = F.struct("layer", "p", "content", "source_text")
+    side = lambda rows, name: rows.groupBy("episode_id", "passage_id").agg(F.first("passage_index").alias(f"{name}_index"), F.array_sort(F.collect_list(entry)).alias(name))
+    diff = changes.where("change <> 'unchanged'").groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("layer", "change", "key"))).alias("changes"))
+    rows = side(old, "old").join(side(new, "new"), ["episode_id", "passage_id"], "full_outer").join(diff, "passage_id", "left")
+    none = F.array().cast("array<struct<layer:string,p:bigint,content:string,source_text:string>>")
+    rows = rows.withColumns({"old": F.coalesce("old", none), "new": F.coalesce("new", none), "changes": F.coalesce("changes", F.array().cast("array<struct<layer:string,change:string,key:string>>"))})
+    size = lambda name, layer: F.size(F.filter(name, lambda x: x.layer == layer)).cast("long")
+    counts = {f"{n}_{v}": size(n, k) for k, v in config.LAYERS.items() for n in ("old", "new")}
+    passage = F.struct(F.coalesce("old_index", "new_index").alias("passage_index"), "passage_id", "old", "new", "changes")
+    by = rows.withColumns(counts).groupBy("episode_id").agg(*[F.sum(c).alias(c) for c in counts], F.array_sort(F.collect_list(passage)).alias("passages"))
+    pair = lambda a, b, name: F.struct(a.alias("old"), b.alias("new"), (b - a).alias("delta")).alias(name)
+    total = lambda n: sum((F.col(f"{n}_{v}") for v in config.LAYERS.values()), F.lit(0))
+    totals = F.struct(*[pair(F.col(f"old_{v}"), F.col(f"new_{v}"), v) for v in config.LAYERS.values()], pair(total("old"), total("new"), "all"))
+    figures = F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("flagged", "calls", "resolved")], F.coalesce("still_unresolved", F.lit("")).alias("still_unresolved"))
+    head = F.struct(F.lit(models[0]).alias("old_model"), F.lit(models[1]).alias("new_model"), at.cast("string").alias("at"), F.size("passages").alias("passages"))
+    out = by.join(lookback, "episode_id", "left")
+    return out.select("episode_id", F.to_json(F.struct("episode_id", head.alias("header"), figures.alias("lookback"), totals.alias("totals"), "passages")).alias("document"))

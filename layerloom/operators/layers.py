@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerloom import config
-from layerloom.functions.text import strip
+from layerloom.functions.text import strip, truncated
 
 
 def layer_counts(passages: DataFrame, items: DataFrame) -> DataFrame:
@@ -81,6 +81,14 @@ def sample(items: DataFrame, count: int = 32, seed: str = "s") -> DataFrame:
     return rows.orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col("id").cast("string")).cast("binary"))).limit(count).select("id", "layer", "passage_id", "content")
 
 
+def sample_cards(items: DataFrame, passages: DataFrame, episodes: DataFrame, count: int = 32, seed: str = "s") -> DataFrame:
+    """``sample`` with each item's episode and title, and its text cut at a word; the sample is small, so it is broadcast to both joins."""
+    rows = F.broadcast(sample(items, count, seed))
+    rows = passages.select(F.col("id").alias("passage_id"), "episode_id", "passage_index").join(rows, "passage_id")
+    rows = episodes.select("episode_id", "title").join(F.broadcast(rows), "episode_id", "right")
+    return rows.select("id", "layer", "passage_id", "passage_index", "episode_id", "title", truncated("content").alias("text"))
+
+
 def export_rows(items: DataFrame, layer: str) -> DataFrame:
     return items.where(F.col("layer") == layer).select("episode_id", "passage_index", "start_char", "id", "content").orderBy("passage_index", "start_char", "id")
 

@@ -173,6 +173,13 @@ def lookback_answers(replies: DataFrame) -> DataFrame:
     return rows.where("item_id IS NOT NULL").groupBy("item_id").agg(F.max_by("reply", "p").alias("reply"))
 
 
+def extraction_requests(passages: DataFrame, template: str = "Extract the layers of this passage:\n{content}") -> DataFrame:
+    """(id, request): the template with each passage's text in place of ``{content}``, wherever it stands."""
+    parts = [F.lit(x) for x in template.split("{content}")]
+    said = F.coalesce("content", F.lit(""))
+    return passages.select("id", F.concat(*[c for x in parts for c in (x, said)][:-1]).alias("request"))
+
+
 def request_replies(requests: DataFrame, ask: Callable[[list[str]], list[str]], batch: int = config.EMBED_BATCH) -> DataFrame:
     """(id, raw): the answers of a model, a plug-in, to requests (id, request), asked in batches inside the tasks."""
 

@@ -29,6 +29,11 @@ def scope_status(passages: DataFrame, items: DataFrame, most: int = 10) -> DataF
     return counts.join(ids, "episode_id", "left").na.fill("", ["first_bad"])
 
 
+def scope_rows(items: DataFrame, scope: DataFrame) -> DataFrame:
+    """The items whose passage is in ``scope`` (id)."""
+    return items.join(scope.select(F.col("id").alias("passage_id")).distinct(), "passage_id", "left_semi")
+
+
 def missing_embeddings(passages: DataFrame, items: DataFrame) -> DataFrame:
     """Rows and those not embedded, for passages and each layer."""
     rows = passages.select(F.lit("chunk").alias("kind"), "embedded").unionByName(items.select(F.col("layer").alias("kind"), "embedded"))
@@ -112,3 +117,9 @@ def threshold_sweep(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     """Pairs at or above each threshold, counted in one pass."""
     rows = pairs.agg(*[F.count_if(F.col("similarity") >= t).alias(str(i)) for i, t in enumerate(thresholds)])
     return rows.select(F.inline(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(str(i)).alias("pairs")) for i, t in enumerate(thresholds)])))
+
+
+def trace_totals(trace_rows: DataFrame) -> DataFrame:
+    """Per episode the sums of ``trace``'s counts, and how many items are flagged."""
+    flags = F.when(F.col("flagged") == "", 0).otherwise(F.size(F.split("flagged", ",")))
+    return trace_rows.groupBy("episode_id").agg(F.count("*").alias("passages"), *[F.sum(c).alias(c) for c in (*config.LAYERS.values(), "dropped")], F.sum(flags.cast("long")).alias("flagged"))
