@@ -398,3 +398,39 @@ def test_long_texts_in_the_other_operators(spark):
     assert Counter(prints) == Counter((i, len(t or "")) for i, t, *_ in rows)
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.quality_scores(docs, labels).count() == len(rows)
+
+
+def test_winnowing_window_by_window(spark):
+    """Every window's least gram, the rightmost of equal ones, by a plain loop; and the likeness to the next document."""
+    from layerloom.llm import fingerprints
+    from layerloom.llm.common import byte_hash, span_hash
+
+    rng = random.Random(12)
+    k, w = fingerprints.GRAM, fingerprints.WINDOW
+    texts = ["".join(rng.choice("ab") for _ in range(n)) for n in (0, 1, k - 1, k, k + 1, k + w - 2, k + w - 1, 60, 300)] + ["a" * 100, "abcabcabc" * 30, "naïve 日本 " * 9]
+
+    def plain(text):
+        data = np.frombuffer(text, np.uint8)
+        prefix = byte_hash(data)
+        h = [int(span_hash(prefix, np.array([i]), np.array([min(i + k, len(data))]))[0]) for i in range(max(len(data) - k + 1, min(1, len(data))))]
+        kept = set()
+        for a in range(max(len(h) - w + 1, min(1, len(h)))):
+            some = range(a, min(a + w, len(h)))
+            kept.add(min(some, key=lambda i: (h[i] >> 32, -i)))
+        return [(i, h[i] & 0xFFFFFFFF) for i in sorted(kept)]
+
+    raw = [t.encode() for t in texts]
+    together = fingerprints.fingerprints(raw)
+    for t, got in zip(raw, together):
+        assert [tuple(x) for x in got.tolist()] == plain(t)
+        assert fingerprints.decoded(fingerprints.encoded(got)).tolist() == got.tolist()
+    rows = spark.createDataFrame([(None, "no id here at all, but some text"), *((i * 2, t) for i, t in enumerate(texts)), (4, "same id, other text")], "doc_id long, text string").repartition(3)
+    got = fingerprints.compare_edited(rows).collect()
+    assert len(got) == len(texts) + 2
+    sets = {i: {g for _, g in plain(t.encode())} for i, t in enumerate(texts)}
+    alike = lambda a, b: len(a & b) / len(a | b) if a and b else float(len(a) == len(b))
+    by = {r.doc_id: r for r in got if r.doc_id != 4}
+    for i in range(len(texts) - 1):
+        if 2 * i not in (2, 4):  # neighbours of the repeated id
+            assert by[2 * i].near_next == pytest.approx(alike(sets[i], sets[i + 1]))
+    assert by[2 * len(texts) - 2].near_next == pytest.approx(alike(sets[len(texts) - 1], {g for _, g in plain(b"no id here at all, but some text")}))
