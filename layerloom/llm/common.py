@@ -31,7 +31,7 @@ def unused(name: str, columns: list[str]) -> str:
 
 
 def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with batches of at most about ``BATCH_BYTES``, so that a task never holds thousands of long texts at once."""
+    """``mapInArrow`` with batches of at most about ``BATCH_BYTES``, so that a task never holds thousands of long texts at once; the session keeps that bound."""
     conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     have = conf.get(name).rstrip("b")
     if have.isdigit() and int(have) > BATCH_BYTES:

@@ -21,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from layerloom.llm.common import written
+from layerloom.llm.common import in_arrow, packed, slices, unused, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -203,27 +205,57 @@ def shard_words(docs: DataFrame, **sizes_: int) -> DataFrame:
     return draws.groupBy(F.col("d.shard").alias("shard"), F.col("k").alias("source_number")).agg(F.countDistinct("d.block").alias("n_blocks"), F.sum("d.n_words").alias("n_words"))
 
 
-def mix(docs: DataFrame, whole: bool = False, **sizes_: int) -> DataFrame:
-    """The mixed documents with all their columns and ``mix_shard``, ``mix_order`` (in place of columns of these names): one row for each draw, shuffled inside its shard.
-
-    A source's stream ends at its target to the word, so its last document may be cut there; with ``whole`` it is kept
-    whole. ``sizes_`` go to ``plan``.
-    """
+def _drawn(docs: DataFrame, **sizes_: int) -> DataFrame:
+    """One row for each draw: the columns of ``docs`` with the text packed as ``body``, the number of words to keep if it is cut, ``mix_shard`` and ``mix_order``."""
     d = plan(docs, **sizes_).select(*ROW, "k", "size", "place", F.explode("draws").alias("d"))
     order = F.md5(F.concat_ws("|", "d.shard", "k", "d.block", "d.epoch", "place").cast("binary"))
     cut = F.when(F.col("d.n_words") < F.col("size"), F.col("d.n_words"))
     d = d.select(F.coalesce("doc_id", F.lit(0)).alias("drawn_id"), F.col("doc_id").isNull().alias("drawn_null"), F.col("text_hash").alias("drawn_hash"), F.col("nth").alias("drawn_nth"), F.col("d.shard").alias("mix_shard"), order.alias("mix_order"), cut.cast("int").alias("drawn_cut"))
-    rows = numbered(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash")))
-    out = rows.join(d, (F.coalesce("doc_id", F.lit(0)) == F.col("drawn_id")) & (F.col("doc_id").isNull() == F.col("drawn_null")) & (F.col("text_hash") == F.col("drawn_hash")) & (F.col("nth") == F.col("drawn_nth")))
-    text = F.col("row.text")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"])
+    rows = docs.select(others.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), F.col("text").isNull().alias("no_text"), "text")
+    rows = numbered(packed(rows))  # the texts are shuffled here, and once more where shards are written
+    return rows.join(d, (F.coalesce("doc_id", F.lit(0)) == F.col("drawn_id")) & (F.col("doc_id").isNull() == F.col("drawn_null")) & (F.col("text_hash") == F.col("drawn_hash")) & (F.col("nth") == F.col("drawn_nth"))).select("row", "no_text", "body", "drawn_cut", "mix_shard", "mix_order")
+
+
+def _unpacked(drawn: DataFrame, columns: list[str], whole: bool) -> DataFrame:
+    """``drawn`` with its ``columns``, texts among them, in the same order of rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, "body"):
+                empty = part.column("no_text").to_pylist()
+                said = pa.array([None if none else t.decode() for none, t in zip(empty, texts)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "drawn_cut", "mix_shard", "mix_order")), said], ["row", "drawn_cut", "mix_shard", "mix_order", "text"])
+
+    schema = T.StructType([*(drawn.schema[c] for c in ("row", "drawn_cut", "mix_shard", "mix_order")), T.StructField("text", T.StringType())])
+    out, text = drawn.transform(in_arrow, run, schema), F.col("text")
     if not whole:
         words = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
         text = F.when(F.col("drawn_cut").isNull(), text).otherwise(F.array_join(F.slice(words, F.lit(1), F.coalesce("drawn_cut", F.lit(1))), ""))
-    kept = [text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("mix_shard", "mix_order")]
+    kept = [text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in columns if c.lower() not in ("mix_shard", "mix_order")]
     return out.select(*kept, "mix_shard", "mix_order")
 
 
+def mix(docs: DataFrame, whole: bool = False, **sizes_: int) -> DataFrame:
+    """The mixed documents with all their columns and ``mix_shard``, ``mix_order`` (in place of columns of these names): one row for each draw, shuffled inside its shard.
+
+    A source's stream ends at its target to the word, so its last document may be cut there; with ``whole`` it is kept
+    whole. ``sizes_`` go to ``plan``.
+    """
+    return _unpacked(_drawn(docs, **sizes_), docs.columns, whole)
+
+
 def mixed_shards(docs: DataFrame, **sizes_: int) -> DataFrame:
     """The mixed documents with the columns of ``docs``: a shard's rows stand in tasks of their own, a large shard's in several, in the order of its local shuffle."""
-    out = mix(docs, **sizes_)
-    return out.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order").select(docs.columns)
+    drawn = _drawn(docs, **sizes_).repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
+    names = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_order")]
+    out = _unpacked(drawn, docs.columns, False)
+    return out.select(names) if len(names) == len(docs.columns) else _with_own(drawn, docs)
+
+
+def _with_own(drawn: DataFrame, docs: DataFrame) -> DataFrame:
+    """As ``_unpacked``, with columns of ``docs`` that are called like the mix's."""
+    taken = [c for c in docs.columns if c.lower() in ("mix_shard", "mix_order")]
+    safe = {c: unused(f"own_{c}", [*docs.columns, *taken]) for c in taken}
+    fields = F.struct(*[F.col(f"row.`{c}`").alias(safe.get(c, c)) for c in docs.columns if c.lower() != "text"])
+    out = _unpacked(drawn.withColumn("row", fields), [safe.get(c, c) for c in docs.columns], False)
+    return out.select(*[F.col(f"`{safe.get(c, c)}`").alias(c) for c in docs.columns])
