@@ -90,6 +90,13 @@ def test_every_twentieth_row_is_a_query_in_blocks(spark, tmp_path):
     assert key(got) == want and len(got) == len(want)
 
 
+def test_blocks_of_queries_grow_instead_of_their_number(spark):
+    asked = spark.range(400).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    blocks = list(retrieval.query_blocks(asked, 150))
+    assert 1 < len(blocks) == blocks[0][0] <= 4
+    assert sorted(i for _, b in blocks for i in b.column("query_id").to_pylist()) == list(range(400))
+
+
 def test_the_entry_can_be_asked_again():
     import __spark_entry__ as entry
 
