@@ -29,9 +29,10 @@ def admit(files: DataFrame, library: DataFrame | None = None) -> DataFrame:
     """Files (file_id, name, raw) with ``reject_reason`` (null: admitted) and ``duplicate_of``; the first failing rule counts.
 
     Copies are found by the smallest admissible id of each hash, which is aggregated before it is joined. ``library``
-    (id, content_hash) holds the episodes that are stored already.
+    (id, content_hash) holds the episodes that are stored already. Texts are read once: headers and hashes are written before
+    they are used twice.
     """
-    rows = checked(files)
+    rows = written(checked(files))
     held = rows.where("rule IS NULL").groupBy("content_hash").agg(F.min("file_id").alias("first"))
     if library is not None:
         stored = library.groupBy("content_hash").agg(F.min("id").alias("stored"))

@@ -87,3 +87,27 @@ def test_stream_admits_each_text_once(spark, tmp_path):
     run()
     assert sorted(r.title for r in spark.read.parquet(str(tmp_path / "lib/episodes")).collect()) == ["New", "T"]
     assert spark.read.parquet(str(tmp_path / "lib/passages")).count() == 2
+
+
+def test_admission_makes_headers_and_hashes_once(spark, capsys):
+    files = spark.createDataFrame([(i, "a.txt", f"Title: a\nGuest: b\n──\ntext {i % 2}") for i in range(4)], "file_id long, name string, raw string")
+    admitted = admission.admit(files)
+    assert {r.file_id: r.duplicate_of for r in admitted.collect()} == {0: None, 1: None, 2: 0, 3: 1}
+    capsys.readouterr()
+    admitted.explain(True)
+    assert "sha2" not in capsys.readouterr().out  # only the written hashes are used, twice
+
+
+def test_headers_with_blanks_around_rules_and_episodes(spark):
+    from layerloom.functions import text as T
+
+    cases = [
+        ("Title: 😀 a\nGuest:\u00a0b \n \u2003── \r\n\n body\n──\nmore ", ("😀 a", "b", "body\n──\nmore", True)),
+        ("Title: a\nEpisode: 1\nEpisode: 2\n\t\n x", ("a", None, "x", True)),
+        ("Title: a\nEpisode: 2", ("a", None, "Title: a\nEpisode: 2", True)),
+        ("x\n──\ny", (None, None, "x\n──\ny", False)),
+        ("Title: a\nTitle: b\n─ ─\nc", ("b", None, "Title: a\nTitle: b\n─ ─\nc", True)),
+        (None, (None, None, None, False)),
+    ]
+    rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, t string").select("i", T.header("t").alias("h")).orderBy("i").collect()
+    assert [(r.h.title, r.h.guest, r.h.body, r.h.has_header) for r in rows] == [want for _, want in cases]
