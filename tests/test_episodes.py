@@ -153,3 +153,15 @@ def test_backfill_asks_only_for_what_lacks(spark):
 
     got = {r.id: (r.embedding, r.embedding_model) for r in episodes.backfilled(rows, embed, "new", F.current_timestamp()).collect()}
     assert got == {1: ([1.0, 0.0], "old"), 2: ([0.6, 0.8], "new")}
+
+
+def test_snippets_display_a_text_once_for_all_queries(spark, capsys):
+    texts = spark.createDataFrame([(1, "e", 0, "# Head\n\nOne **two** three.\n\nMore text."), (2, "e", 1, "Just one line. " * 30)], "id long, episode_id string, passage_index int, content string")
+    items = spark.createDataFrame([("claim", 7, "item 7", 8, 15)], "layer string, id long, content string, start_char long, end_char long")
+    hits = spark.createDataFrame([(q, p, p, layer, 7, 0.5) for q in range(3) for p, layer in ((1, "claim"), (2, "chunk"))], "query_id long, place long, passage_id long, layer string, id long, similarity double")
+    want = sorted(episodes.snippets(episodes.results(hits, texts, items)).collect())
+    got = episodes.snippets(episodes.results(hits, episodes.displayed(texts), items, keep=["display"]))
+    assert sorted(got.collect()) == want and len(want) == 6
+    capsys.readouterr()
+    got.explain()
+    assert "aggregate(" not in capsys.readouterr().out  # blocks are made where the texts are, before the join
