@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from layerloom.llm import tokens
 from layerloom.llm.common import in_arrow, packed, ranged, scratch_dir, slices
 
-BLOCK = 4096
+#: Slots of a block and how often they came in a row fit into 16 bits.
+BLOCK = 4095
 #: Ids of a segment: its blocks are coded in step.
 SEGMENT = 7_000_000
 END_ID = 0
@@ -101,8 +102,9 @@ class Model:
         self.block, self.hash_bits = block, max(4, int(block - 1).bit_length())
         self.lane = np.arange(lanes)
         # what followed a slot, and a hash of two slots: (slot + 1) << 4 | how often in a row
-        self.next1, self.next2 = np.zeros(lanes * (block + 1), np.int32), np.zeros(lanes << self.hash_bits, np.int32)
-        self.rate = [np.full(lanes * 64, 1 << 15, np.int64) for _ in range(3)]
+        small = np.uint16 if block << 4 < 65536 else np.int32
+        self.next1, self.next2 = np.zeros(lanes * (block + 1), small), np.zeros(lanes << self.hash_bits, small)
+        self.rate = [np.full(lanes * 64, 1 << 15, np.uint16) for _ in range(3)]
         self.weight = [np.full(lanes, 1 << 15, np.int64) for _ in range(3)]
         self.a = self.b = np.zeros(lanes, np.int64)  # the last slot and the one before, plus one
         self.seen = np.zeros((lanes, block), np.uint16)
@@ -120,13 +122,13 @@ class Model:
         """The candidate slot (plus one; 0: none) and its chance, of 65,536."""
         self.at1 = self.lane * (self.block + 1) + self.a
         self.at2 = (self.lane << self.hash_bits) + ((self.a * 40503 + self.b * 60493 >> 3) & ((1 << self.hash_bits) - 1))
-        self.t1, self.t2 = self.next1.take(self.at1), self.next2.take(self.at2)
+        self.t1, self.t2 = self.next1.take(self.at1).astype(np.int32), self.next2.take(self.at2).astype(np.int32)
         s1, s2 = self.t1 >> 4, self.t2 >> 4
         self.cand = np.where(s2 > 0, s2, s1)
         often = _LENGTH.take(self.count.of(self.lane, np.maximum(self.cand - 1, 0)))
         at = self.lane * 64
         self.at = (at + (self.t2 & 15), at + (self.t1 & 15) + 16 * (s1 == self.cand), at + often + 16 * (self.t2 > 0))
-        self.seen_rate = [r.take(i) for r, i in zip(self.rate, self.at)]
+        self.seen_rate = [r.take(i).astype(np.int64) for r, i in zip(self.rate, self.at)]
         self.inputs = [_STRETCH.take(v >> 4) for v in self.seen_rate]
         dot = (self.weight[0] * self.inputs[0] + self.weight[1] * self.inputs[1] + self.weight[2] * self.inputs[2] >> 16) + 2047
         self.p = _SQUASH.take(dot, mode="clip")
@@ -156,9 +158,8 @@ class Model:
         v = self.old[lane]
         self.old[lane] = np.minimum(np.maximum(v + ((old * 65535 - v) >> 5), 8192), 61440)
 
-    def note(self, lane: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+    def note(self, lane: np.ndarray, length: np.ndarray) -> None:
         """New ids."""
-        self.seen[lane, self.n_seen[lane]] = ids
         self.n_seen[lane] += 1
         self.lengths[lane, length] += 1
 
@@ -193,11 +194,11 @@ class Interval:
 class Encoder(Interval):
     def __init__(self, lanes: int, words: int):
         super().__init__(lanes)
-        self.out, self.n = np.zeros((lanes, words), "<u2"), np.zeros(lanes, np.int64)
+        self.out, self.n = np.zeros((words, lanes), "<u2"), np.zeros(lanes, np.int64)  # what is not used takes no memory
 
     def code(self, lane, start: np.ndarray, width: np.ndarray, bits: int = 32) -> None:
         for at in self.narrow(lane, start, width, bits):
-            self.out[at, self.n[at]] = (self.low[at] >> _TOP) & _WORD
+            self.out[self.n[at], at] = (self.low[at] >> _TOP) & _WORD
             self.n[at] += 1
 
     def finish(self, lane: int) -> bytes:
@@ -206,18 +207,18 @@ class Encoder(Interval):
         n = 1 if tail << 40 >= int(self.low[lane]) else 4
         full = int(self.low[lane])
         words = [tail] if n == 1 else [full >> s & 0xFFFF for s in (40, 24, 8)] + [(full & 0xFF) << 8]
-        return self.out[lane, : self.n[lane]].tobytes() + struct.pack(f"<{n}H", *words)
+        return self.out[: self.n[lane], lane].tobytes() + struct.pack(f"<{n}H", *words)
 
 
 class Decoder(Interval):
     def __init__(self, words: list[np.ndarray]):
         lanes = len(words)
         super().__init__(lanes)
-        self.words = np.zeros((lanes, max(map(len, words)) + 5), "<u2")
+        self.words = np.zeros((max(map(len, words)) + 5, lanes), "<u2")
         for i, w in enumerate(words):
-            self.words[i, : len(w)] = w
-        w = self.words.astype(np.uint64)[:, :4]
-        self.value = (w[:, 0] << _TOP) | (w[:, 1] << np.uint64(24)) | (w[:, 2] << np.uint64(8)) | (w[:, 3] >> np.uint64(8))
+            self.words[: len(w), i] = w
+        w = self.words[:4].astype(np.uint64)
+        self.value = (w[0] << _TOP) | (w[1] << np.uint64(24)) | (w[2] << np.uint64(8)) | (w[3] >> np.uint64(8))
         self.at = np.full(lanes, 3)
 
     def target(self, lane, bits: int = 32) -> np.ndarray:
@@ -225,18 +226,19 @@ class Decoder(Interval):
 
     def code(self, lane, start: np.ndarray, width: np.ndarray, bits: int = 32) -> None:
         for at in self.narrow(lane, start, width, bits):  # the value's last 8 bits are half of the word at ``at``
-            k = np.minimum(self.at[at], self.words.shape[1] - 2)
-            fresh = (self.words[at, k].astype(np.uint64) & np.uint64(0xFF)) << np.uint64(8) | self.words[at, k + 1].astype(np.uint64) >> np.uint64(8)
+            k = np.minimum(self.at[at], len(self.words) - 2)
+            fresh = (self.words[k, at].astype(np.uint64) & np.uint64(0xFF)) << np.uint64(8) | self.words[k + 1, at].astype(np.uint64) >> np.uint64(8)
             self.value[at] = ((self.value[at] << _SHIFT) & _ALL) | fresh
             self.at[at] += 1
 
 
-def _slots(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Each id's place in the order of first occurrence; ``first`` is room for 65,536 numbers."""
+def _slots(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each id's place in the order of first occurrence, and the ids in that order; ``first`` is room for 65,536 numbers."""
     n = np.arange(len(x))
     first[x[::-1]] = n[::-1]  # of repeated ids the last one assigned stays
     head = first[x]
-    return (np.cumsum(head == n) - 1)[head]
+    new = head == n
+    return (np.cumsum(new) - 1)[head], x[new]
 
 
 def _lanes(n: int, block: int) -> np.ndarray:
@@ -245,6 +247,18 @@ def _lanes(n: int, block: int) -> np.ndarray:
     return n // lanes + (np.arange(lanes) < n % lanes)
 
 
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    """In 16 bits where they fit; ``encode`` refuses the others."""
+    return ids.astype(np.uint16) if not len(ids) or 0 <= int(ids.min()) <= int(ids.max()) < 65536 else ids
+
+
+def _taken(runs: list[np.ndarray]) -> np.ndarray:
+    """All runs as one, which leaves the list empty."""
+    ids = np.concatenate(runs)
+    runs.clear()
+    return ids
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """The coded blocks of a run of ids below 65,536."""
     if not len(ids):
@@ -256,12 +270,14 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         raise ValueError("a block has 1 to 65,535 ids")
     n = _lanes(len(ids), block)
     lanes, steps, ends = len(n), int(n[0]), np.cumsum(n)
-    x, slot, room = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint16), np.zeros(65536, np.int64)
+    model, slot, room, heads = Model(lanes, steps), np.zeros((lanes, steps), np.uint16), np.zeros(65536, np.int64), []
     for i, e in enumerate(ends.tolist()):
-        x[i, : n[i]] = ids[e - n[i] : e]
-        slot[i, : n[i]] = _slots(x[i, : n[i]], room)
-    x, slot = np.ascontiguousarray(x.T), np.ascontiguousarray(slot.T)
-    model, coder = Model(lanes, steps), Encoder(lanes, 2 * steps + 16)
+        part = ids[e - n[i] : e].astype("<u4")
+        slot[i, : n[i]], new = _slots(part, room)
+        model.seen[i, : len(new)] = new
+        heads.append((len(part), zlib.crc32(part.tobytes())))
+    del ids
+    slot, coder = np.ascontiguousarray(slot.T), Encoder(lanes, 2 * steps + 16)
     for t in range(steps):
         live = int((n > t).sum()) if t == steps - 1 else lanes
         if live < lanes:
@@ -280,18 +296,17 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
             model.missed(m, s[m] != model.n_seen[m])
         if len(new):
             at = np.searchsorted(m, new)
-            v = x[t, new].astype(np.int64)
+            v = model.seen[new, model.n_seen[new]].astype(np.int64)
             length, start[new], width[new] = _fresh(model, new, base[at], share[at], v)
         coder.code(slice(0, live), start, width)
         if len(new):
             coder.code(new, v + 1 - (1 << length - 1) << 17 - length, 1 << 17 - length, 16)
-            model.note(new, v, length)
+            model.note(new, length)
         model.learn(s, hit)
     out = []
-    for i, e in enumerate(ends.tolist()):
-        part = ids[e - n[i] : e].astype("<u4")
+    for i, head in enumerate(heads):
         body = coder.finish(i)
-        out.append(HEADER.pack(MAGIC, VERSION, len(part), zlib.crc32(part.tobytes()), len(body) // 2) + body)
+        out.append(HEADER.pack(MAGIC, VERSION, *head, len(body) // 2) + body)
     return out
 
 
@@ -306,7 +321,7 @@ def _fresh(model: Model, lane: np.ndarray, base: np.ndarray, share: np.ndarray,
 def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of some blocks, one after the other; raises ValueError where a block is damaged."""
     if not blocks:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     heads = []
     for b in blocks:
         heads.append(HEADER.unpack_from(b) if len(b) >= HEADER.size else (b"",))
@@ -354,16 +369,19 @@ def decode(blocks: list[bytes]) -> np.ndarray:
             v = coder.target(new, 16) >> 17 - length
             coder.code(new, v << 17 - length, 1 << 17 - length, 16)
             v = np.minimum(v + (1 << length - 1) - 1, 65535)
-            model.note(new, v, length)
+            model.seen[new, s[new]] = v
+            model.note(new, length)
         s = np.minimum(np.maximum(s, 0), model.block - 1)  # only in damaged blocks
         model.learn(s, hit)
         x[t, :live] = s
-    rows = [np.zeros(0)] * len(blocks)
+    ends, out, seen = np.cumsum(n), np.zeros(int(n.sum()), "<u4"), model.seen
+    del model, coder
     for j, i in enumerate(by):
-        rows[i] = model.seen[j].take(x[: n[i], j]).astype(np.int64)
-        if zlib.crc32(rows[i].astype("<u4").tobytes()) != heads[i][3]:
+        row = out[ends[i] - n[i] : ends[i]]
+        row[:] = seen[j].take(x[: n[i], j])
+        if zlib.crc32(row) != heads[i][3]:
             raise ValueError("a block's checksum differs")
-    return np.concatenate(rows)
+    return out
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment: int = SEGMENT, block: int = BLOCK) -> None:
@@ -373,17 +391,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = None, 0
         docs_, lens, runs = [], [], []  # of the segment
+        pa.default_memory_pool().release_unused()  # what the worker's tasks before have left
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq
             if docs_:
-                ids = np.concatenate(runs)
+                n, made = sum(map(len, runs)), encode(_taken(runs), block)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([docs_], pa.list_(pa.int64())),
-                     pa.array([np.concatenate(lens)], pa.list_(pa.int32())), pa.array([encode(ids, block)], pa.list_(pa.binary()))], ["part", "seq", "n_ids", "doc_ids", "n_tokens", "blocks"])
+                    [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([docs_], pa.list_(pa.int64())),
+                     pa.array([np.concatenate(lens)], pa.list_(pa.int32())), pa.array([made], pa.list_(pa.binary()))], ["part", "seq", "n_ids", "doc_ids", "n_tokens", "blocks"])
                 seq += 1
-                for x in (docs_, lens, runs):
-                    x.clear()
+                docs_.clear()
+                lens.clear()
 
         for batch in batches:
             for piece, texts in slices(batch, "body"):
@@ -396,7 +415,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
                         part, seq = int(parts_[lo]), 0
                     ids, n = tokens.ids(texts[lo:hi], tokenizer)
                     docs_.extend(piece.column("doc_id").slice(lo, hi - lo).to_pylist())
-                    runs.append(np.insert(ids, np.cumsum(n), end_id))
+                    runs.append(_narrow(np.insert(ids, np.cumsum(n), end_id)))
                     lens.append((n + 1).astype(np.int32))
         yield from flush()
 
@@ -412,11 +431,11 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                raw = decode(row["blocks"]).astype("<u4")
+                raw = decode(row.pop("blocks"))
                 ends = np.cumsum(row["n_tokens"])
                 cuts = list(zip((ends - row["n_tokens"]).tolist(), ends.tolist()))
                 n = len(cuts)
-                cols = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array([s for s, _ in cuts], pa.int64()), pa.array(row["n_tokens"], pa.int64()), pa.array([zlib.crc32(raw[s:e].tobytes()) for s, e in cuts], pa.int64())]
+                cols = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array([s for s, _ in cuts], pa.int64()), pa.array(row["n_tokens"], pa.int64()), pa.array([zlib.crc32(raw[s:e]) for s, e in cuts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array([raw[s:e].tolist() for s, e in cuts], pa.list_(pa.int64()))] * with_ids, ["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     read = files.select("part", "seq", "doc_ids", "n_tokens", "blocks").transform(in_arrow, run, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
