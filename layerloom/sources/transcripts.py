@@ -23,7 +23,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 _HEADER_DATES = ((r"(\d{1,2})\.(\d{1,2})\.(\d{4})", (2, 1, 0)), (r"(\d{4})-(\d{1,2})-(\d{1,2})", (0, 1, 2)), (r"(\d{1,2})/(\d{1,2})/(\d{4})", (2, 0, 1)))
-GROUP_BYTES = 16 << 20
+#: A worker holds a group's texts, or a batch of rows to write, several times over.
+GROUP_BYTES = 2 << 20
+BATCH_BYTES = 2 << 20
 
 
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
@@ -180,6 +182,11 @@ def slug(title: str | None) -> str:
 
 
 def register(spark) -> None:
+    """Makes both formats known to the session, which keeps the bound on batches: rows reach a worker by whole batches."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = conf.get(name).rstrip("b")
+    if have.isdigit() and int(have) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     spark.dataSource.register(TranscriptFiles)
     spark.dataSource.register(DocumentFiles)
 

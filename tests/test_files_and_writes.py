@@ -25,6 +25,19 @@ def test_headers_of_files_are_those_of_columns(spark):
         assert (error == "no header") == (not r.h.has_header)
 
 
+def test_workers_get_small_parts_of_files_and_rows(spark, tmp_path):
+    """A reading task has about 2 MB of files, and a writing one gets its rows in batches of about 2 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(64 << 20))
+    transcripts.register(spark)
+    assert int(spark.conf.get(name).rstrip("b")) <= 2 << 20
+    for i in range(8):
+        (tmp_path / f"{i}.txt").write_text(f"Title: {i}\nGuest: g\n─\n" + "x" * 1_000_000)
+    df = spark.read.format("transcripts").load(str(tmp_path))
+    assert df.rdd.getNumPartitions() >= 4
+    assert sorted((r.title, len(r.body)) for r in df.collect()) == [(str(i), 1_000_000) for i in range(8)]
+
+
 def test_transcripts_are_read(spark, tmp_path):
     transcripts.register(spark)
     (tmp_path / "sub").mkdir()
