@@ -1,16 +1,17 @@
 """Token-id files coded by an adaptive context-mixing range coder.
 
 Documents stand in ascending order of id. A shard's ids are cut into segments of whole documents (a row of the file
-table: the documents' ids and lengths, and the coded blocks), and a segment into blocks of ``BLOCK`` ids. Each block
-is coded with a model that starts anew, and carries its number of ids and their crc32, so blocks are read
-independently and damage is found.
-
-Model of a block, for each id: ids are numbered by first occurrence. What last followed the two ids before (order 2) or
-else the one before (order 1) is the candidate; its chance mixes, in the logistic domain with weights that learn, the
-hit rates by order-2 confidence, by order-1 confidence, and by the candidate's own frequency (order 0). If the candidate
-fails, order 0 codes the id by its count among all of the block so far, or as a new one: the length of its number by
-the lengths of the new ones before, then its bits. The coder keeps a 56-bit interval and writes 16 bits at a time. All
-arithmetic is on integers. The blocks of a segment are coded in step with each other, one id of each at a time.
+table: the documents' ids and lengths, and the coded blocks), and a segment into blocks of at most ``BLOCK`` ids. Each block
+is coded with a model that starts anew, and carries its number of ids, their crc32 and that of its own bytes, so blocks are
+read independently and damage is found.
+
+A block's ids lie in lanes, runs that are coded in step with each other, one id of each at a time; all lanes share the block's
+model. Model, for each id: what mostly followed the two ids before (order 2) or else the one before (order 1) is the
+candidate; its chance mixes, in the logistic domain with weights that learn, the hit rates by order-2 confidence, by order-1
+confidence, and by the candidate's own frequency (order 0). If the candidate fails, order 0 codes the id by its count among
+the ids so far that failed too, or as a new one: the length of its number by the lengths of the new ones before, then its
+bits. Candidates learn after each step; rates, weights and counts whenever the ids coded have grown by an eighth, from all
+steps since. Each lane's interval has 64 bits and gives off 32 at a time. All arithmetic is on integers.
 
 Cases: a null text is empty and becomes the end id alone; documents with one id follow each other in order of a hash of the text; a
 null id comes first; an empty table writes no segments and reads none; other columns are ignored.
@@ -31,220 +32,250 @@ from pyspark.sql import functions as F
 from layerloom.llm import tokens
 from layerloom.llm.common import in_arrow, packed, ranged, scratch_dir, slices
 
-#: Slots of a block and how often they came in a row fit into 16 bits.
-BLOCK = 4095
-#: Ids of a segment: its blocks are coded in step.
-SEGMENT = 7_000_000
+BLOCK = 1 << 23
+#: Ids of a segment, mostly one block: what a task holds at a time.
+SEGMENT = 4_000_000
 END_ID = 0
-HEADER = struct.Struct("<4sHIII")  # magic, version, ids, crc32 of the ids, 16-bit words that follow
-MAGIC, VERSION = b"LLCM", 2
+HEADER = struct.Struct("<4sHIIII")  # magic, version, ids, crc32 of the ids, 32-bit words, crc32 of what follows: each lane's number of words, the words
+MAGIC, VERSION = b"LLCM", 3
 FILE = "part int, seq int, n_ids long, doc_ids array<long>, n_tokens array<int>, blocks array<binary>"
 
 _SQUASH = np.array([round(4096 / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], np.int64)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int64)
-_LENGTH = np.array([0, *(n.bit_length() for n in range(1, 65536))], np.int64)  # bits of a number
-_FROM = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.uint16)  # row j marks what comes after j
-_BELOW_17 = (np.arange(18)[None, :] < np.arange(18)[:, None]).astype(np.int64)
-#: The coder's interval has 56 bits and gives off 16 at a time; an interval below 2**34 that straddles is cut.
-_TOP, _SHIFT, _WORD, _ALL, _NARROW = np.uint64(40), np.uint64(16), np.uint64(0xFFFF), np.uint64((1 << 56) - 1), np.uint64(1 << 34)
-
-
-class Counts:
-    """Order 0: how often each slot (an id, by first occurrence in the lane) has occurred. Each level above counts for 16 of the one below; a row holds the running sums of its 16."""
-
-    def __init__(self, lanes: int, block: int):
-        self.total = np.zeros(lanes, np.int64)
-        self.levels, self.width, n = [], [], block
-        while not self.levels or n > 1:
-            n = -(-n // 16)
-            self.levels.insert(0, np.zeros((lanes * n, 17), np.uint16))  # the first is 0
-            self.width.insert(0, n)
-        self.shifts = [4 * k for k in reversed(range(len(self.levels)))]
-
-    def span(self, lane: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count of all slots before, count of the slot)."""
-        start = np.zeros(len(lane), np.int64)
-        for level, n, shift in zip(self.levels, self.width, self.shifts):
-            x = slot >> shift
-            at = (lane * n + (x >> 4)) * 17 + (x & 15)
-            before = level.reshape(-1).take(at)
-            start += before
-        return start, level.reshape(-1).take(at + 1).astype(np.int64) - before
-
-    def find(self, lane: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slot that holds the v-th count, count before it, its count)."""
-        slot, left = np.zeros(len(lane), np.int64), v
-        for level, n in zip(self.levels, self.width):
-            row = lane * n + slot
-            j = (level.take(row, axis=0)[:, 1:] > left.astype(np.uint16)[:, None]).argmax(1)
-            at = row * 17 + j
-            before = level.reshape(-1).take(at)
-            left = left - before
-            slot = slot << 4 | j
-        return slot, v - left, level.reshape(-1).take(at + 1).astype(np.int64) - before
-
-    def add(self, lane: np.ndarray, slot: np.ndarray) -> None:
-        for level, n, shift in zip(self.levels, self.width, self.shifts):
-            x = slot >> shift
-            row = lane * n + (x >> 4)
-            level[row] = level.take(row, axis=0) + _FROM.take(x & 15, axis=0)
-        self.total += 1
-
-    def of(self, lane: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        at, flat = (lane * self.width[-1] + (slot >> 4)) * 17 + (slot & 15), self.levels[-1].reshape(-1)
-        return flat.take(at + 1).astype(np.int64) - flat.take(at)
+_LENGTH = np.array([n.bit_length() for n in range(65537)], np.int64)  # bits of a number
+#: A block has at most this many lanes, and a lane this many ids at least where there are more.
+LANES, LANE = 8192, 256
+#: Order 0 codes ids, lengths of new ids plus one (1 to 17), and that nothing is left to code.
+_NEW, _NOTHING = 65536, 65536 + 18
+#: A cell is what the chance depends on: order-2 confidence (4 bits), order-1 confidence (4), whether order 1 agrees, frequency (4); its part for each of the mixed rates.
+_CELLS = 1 << 13
+_RATES = (np.arange(_CELLS) >> 9, np.arange(_CELLS) >> 4 & 31, np.arange(_CELLS) & 15 | (np.arange(_CELLS) >= 512) * 16)
+#: What an entry's confidence changes by when it failed (first 16) or held.
+_STEP = np.array([0, 0, *(-(c + 1 >> 1) for c in range(2, 16)), *[1] * 15, 0], np.int32)
+_WORD, _FULL, _LOW, _ALL = np.uint64(32), np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64((1 << 64) - 1)
 
 
 class Model:
-    """Predictions for the next id of each lane (block); all arrays have a row for each lane. ``step`` works on the first ``live`` lanes."""
-
-    def __init__(self, lanes: int, block: int):
-        self.block, self.hash_bits = block, max(4, int(block - 1).bit_length())
-        self.lane = np.arange(lanes)
-        # what followed a slot, and a hash of two slots: (slot + 1) << 4 | how often in a row
-        small = np.uint16 if block << 4 < 65536 else np.int32
-        self.next1, self.next2 = np.zeros(lanes * (block + 1), small), np.zeros(lanes << self.hash_bits, small)
-        self.rate = [np.full(lanes * 64, 1 << 15, np.uint16) for _ in range(3)]
-        self.weight = [np.full(lanes, 1 << 15, np.int64) for _ in range(3)]
-        self.a = self.b = np.zeros(lanes, np.int64)  # the last slot and the one before, plus one
-        self.seen = np.zeros((lanes, block), np.uint16)
-        self.n_seen = np.zeros(lanes, np.int64)
-        self.old = np.full(lanes, 1 << 15, np.int64)  # chance that a miss was seen before, of 65,536
-        self.count = Counts(lanes, block)
-        self.lengths = np.ones((lanes, 18), np.int64)  # of new ids, plus one, in bits
-
-    def keep(self, n: int) -> None:
-        """Goes on with the first ``n`` lanes."""
-        self.lane, self.a, self.b, self.n_seen, self.old, self.count.total = (x[:n] for x in (self.lane, self.a, self.b, self.n_seen, self.old, self.count.total))
-        self.weight = [w[:n] for w in self.weight]
-
-    def candidate(self) -> tuple[np.ndarray, np.ndarray]:
-        """The candidate slot (plus one; 0: none) and its chance, of 65,536."""
-        self.at1 = self.lane * (self.block + 1) + self.a
-        self.at2 = (self.lane << self.hash_bits) + ((self.a * 40503 + self.b * 60493 >> 3) & ((1 << self.hash_bits) - 1))
-        self.t1, self.t2 = self.next1.take(self.at1).astype(np.int32), self.next2.take(self.at2).astype(np.int32)
-        s1, s2 = self.t1 >> 4, self.t2 >> 4
-        self.cand = np.where(s2 > 0, s2, s1)
-        often = _LENGTH.take(self.count.of(self.lane, np.maximum(self.cand - 1, 0)))
-        at = self.lane * 64
-        self.at = (at + (self.t2 & 15), at + (self.t1 & 15) + 16 * (s1 == self.cand), at + often + 16 * (self.t2 > 0))
-        self.seen_rate = [r.take(i).astype(np.int64) for r, i in zip(self.rate, self.at)]
-        self.inputs = [_STRETCH.take(v >> 4) for v in self.seen_rate]
-        dot = (self.weight[0] * self.inputs[0] + self.weight[1] * self.inputs[1] + self.weight[2] * self.inputs[2] >> 16) + 2047
-        self.p = _SQUASH.take(dot, mode="clip")
-        self.has = self.cand > 0
-        return self.cand, np.where(self.has, np.minimum(np.maximum(self.p << 4, 64), 65472), 64)
-
-    def learn(self, slot: np.ndarray, hit: np.ndarray) -> None:
-        """``slot``: of the id that came."""
-        bit = hit.astype(np.int64)
-        err = ((bit << 12) - self.p) * self.has * 10
-        for k in range(3):
-            self.weight[k] = self.weight[k] + (self.inputs[k] * err >> 10)
-            v = self.seen_rate[k]
-            self.rate[k][self.at[k]] = v + (((bit << 16) - bit - v) * self.has >> 5)
-        x = slot + 1
-        for nxt, t, at in ((self.next1, self.t1, self.at1), (self.next2, self.t2, self.at2)):
-            nxt[at] = np.where(t >> 4 == x, np.minimum(t + 1, t | 15), x << 4)
-        self.count.add(self.lane, slot)
-        self.b, self.a = self.a, x
-
-    def parts(self, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For lanes without a hit: where in 2**32 their interval begins, and how much of it is for ids seen before."""
-        rest = 65536 - self.chance[lane]
-        return self.chance[lane] << 16, np.where(self.n_seen[lane] > 0, rest * self.old[lane], 0)
-
-    def missed(self, lane: np.ndarray, old: np.ndarray) -> None:
-        v = self.old[lane]
-        self.old[lane] = np.minimum(np.maximum(v + ((old * 65535 - v) >> 5), 8192), 61440)
-
-    def note(self, lane: np.ndarray, length: np.ndarray) -> None:
-        """New ids."""
-        self.n_seen[lane] += 1
-        self.lengths[lane, length] += 1
-
-
-class Interval:
-    """The intervals of all lanes; ``narrow`` gives the lanes, one after the other group, whose first 16 bits are decided."""
-
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
-
-    def narrow(self, lane, start: np.ndarray, width: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-        """[start, start + width) of 2**bits, in some lanes (or a slice)."""
-        r = self.range[lane] >> np.uint64(bits)
-        low, rng = self.low[lane] + r * start.astype(np.uint64), r * width.astype(np.uint64)
-        self.low[lane], self.range[lane] = low, rng
-        at = np.arange(lane.stop) if isinstance(lane, slice) else lane
-        while True:
-            same = (low ^ (low + rng)) >> _TOP == 0
-            cut = ~same & (rng < _NARROW)
-            if cut.any():
-                rng = np.where(cut, (~low + np.uint64(1)) & (_NARROW - np.uint64(1)), rng)
-                same |= cut
-            todo = np.flatnonzero(same)
-            if not len(todo):
-                return
-            at, low, rng = at[todo], low[todo], rng[todo]
-            yield at
-            low, rng = (low << _SHIFT) & _ALL, rng << _SHIFT
-            self.low[at], self.range[at] = low, rng
-
-
-class Encoder(Interval):
-    def __init__(self, lanes: int, words: int):
-        super().__init__(lanes)
-        self.out, self.n = np.zeros((words, lanes), "<u2"), np.zeros(lanes, np.int64)  # what is not used takes no memory
-
-    def code(self, lane, start: np.ndarray, width: np.ndarray, bits: int = 32) -> None:
-        for at in self.narrow(lane, start, width, bits):
-            self.out[self.n[at], at] = (self.low[at] >> _TOP) & _WORD
-            self.n[at] += 1
-
-    def finish(self, lane: int) -> bytes:
-        """Enough words for a number inside the last interval."""
-        tail = (int(self.low[lane]) + int(self.range[lane]) - 1) >> 40 & 0xFFFF
-        n = 1 if tail << 40 >= int(self.low[lane]) else 4
-        full = int(self.low[lane])
-        words = [tail] if n == 1 else [full >> s & 0xFFFF for s in (40, 24, 8)] + [(full & 0xFF) << 8]
-        return self.out[: self.n[lane], lane].tobytes() + struct.pack(f"<{n}H", *words)
-
-
-class Decoder(Interval):
-    def __init__(self, words: list[np.ndarray]):
-        lanes = len(words)
-        super().__init__(lanes)
-        self.words = np.zeros((max(map(len, words)) + 5, lanes), "<u2")
-        for i, w in enumerate(words):
-            self.words[: len(w), i] = w
-        w = self.words[:4].astype(np.uint64)
-        self.value = (w[0] << _TOP) | (w[1] << np.uint64(24)) | (w[2] << np.uint64(8)) | (w[3] >> np.uint64(8))
-        self.at = np.full(lanes, 3)
-
-    def target(self, lane, bits: int = 32) -> np.ndarray:
-        return np.minimum((self.value[lane] - self.low[lane]) // (self.range[lane] >> np.uint64(bits)), np.uint64((1 << bits) - 1)).astype(np.int64)
-
-    def code(self, lane, start: np.ndarray, width: np.ndarray, bits: int = 32) -> None:
-        for at in self.narrow(lane, start, width, bits):  # the value's last 8 bits are half of the word at ``at``
-            k = np.minimum(self.at[at], len(self.words) - 2)
-            fresh = (self.words[k, at].astype(np.uint64) & np.uint64(0xFF)) << np.uint64(8) | self.words[k + 1, at].astype(np.uint64) >> np.uint64(8)
-            self.value[at] = ((self.value[at] << _SHIFT) & _ALL) | fresh
-            self.at[at] += 1
-
-
-def _slots(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each id's place in the order of first occurrence, and the ids in that order; ``first`` is room for 65,536 numbers."""
-    n = np.arange(len(x))
-    first[x[::-1]] = n[::-1]  # of repeated ids the last one assigned stays
-    head = first[x]
-    new = head == n
-    return (np.cumsum(new) - 1)[head], x[new]
-
-
-def _lanes(n: int, block: int) -> np.ndarray:
+    """Predictions for the next id of each lane."""
+
+    def __init__(self, lanes: int, n: int, find: bool = False):
+        self.bits, self.hash_bits = min(20, max(12, (n + 64).bit_length())), min(18, max(8, n.bit_length() - 1))
+        # what follows an id, and a hash of two: id << 4 | confidence; 0: nothing yet
+        self.next1, self.next2 = np.zeros(65536, np.int32), np.zeros(1 << self.hash_bits, np.int32)
+        self.a = self.ahead = np.zeros(lanes, np.int64)  # the last id, and what the one before adds to the hash
+        self.count = np.zeros(_NOTHING, np.int32)
+        self.count[_NEW + 1 :] = 1
+        self.span = np.zeros(_NOTHING + 1, np.uint64)  # order 0: start << 32 | width, of 2**bits
+        self.span[_NOTHING] = 1 << self.bits
+        self.often = np.zeros(65536, np.uint8)
+        self.find, self.kind = find, None  # of each of 2**bits, whose it is; for decoding
+        self.hits, self.tries = ([np.zeros(32, np.int64) for _ in _RATES] for _ in range(2))
+        self.weight = [1 << 15] * 3
+        self.cells, self.ids = [], []  # since counts were last taken
+        self.counted = self.since = 0
+        self._predictions()
+
+    def _count(self) -> None:
+        cell, ids = np.concatenate(self.cells), np.concatenate(self.ids)
+        self.cells.clear()
+        self.ids.clear()
+        self.kind = None
+        made = np.bincount(cell, minlength=2 * _CELLS)
+        hit = made[_CELLS:]
+        tries = made[:_CELLS] + hit
+        err, curve = (hit << 12) - tries * self.p, tries * (self.p * (4096 - self.p) >> 12)
+        for k, of in enumerate(_RATES):
+            x = self.inputs[k]
+            step = (int((err * x).sum()) << 16) // (3 * int((curve * (x * x >> 8)).sum()) + 256)
+            self.weight[k] += max(-32768, min(32768, step))
+            for total, what in ((self.hits[k], hit), (self.tries[k], tries)):
+                np.add.at(total, of, what)
+        ids = ids[cell < _CELLS]
+        new = ids[self.span.take(ids) == 0].astype(np.int64)
+        np.add(self.count[:_NEW], np.bincount(ids, minlength=_NEW), out=self.count[:_NEW], casting="unsafe")
+        lengths = np.bincount(_LENGTH.take(new + 1), minlength=18)[1:]
+        self.count[_NEW + 1 :] = np.maximum(1, lengths * int(self.count[:_NEW].sum()) // max(1, len(ids)))
+        self.counted += self.since
+        self.since = 0
+
+    def _predictions(self) -> None:
+        kinds = np.flatnonzero(self.count)
+        n = self.count[kinds].astype(np.int64)
+        width = n * ((1 << self.bits) - len(kinds)) // int(n.sum()) + 1
+        width[n.argmax()] += (1 << self.bits) - int(width.sum())
+        self.span[kinds] = (np.cumsum(width) - width << 32) + width
+        ids = kinds[: np.searchsorted(kinds, _NEW)]
+        self.often[ids] = np.maximum(_LENGTH.take(width[: len(ids)] >> max(0, self.bits - 16), mode="clip") - 1, 0)
+        if self.find:
+            self.kind = np.repeat(kinds.astype(np.int32), width)
+        self.inputs = [_STRETCH.take((h * 8190 + 4095) // (n * 2 + 2))[of] for h, n, of in zip(self.hits, self.tries, _RATES)]
+        dot = sum(w * x for w, x in zip(self.weight, self.inputs)) >> 16
+        self.p = np.clip(_SQUASH.take(dot + 2047, mode="clip"), 16, 4080)
+        self.chance = self.p.astype(np.uint64)
+
+    def candidate(self, live: int) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates of the first ``live`` lanes and their chances, of 4,096."""
+        if live < len(self.a):
+            self.a, self.ahead = self.a[:live], self.ahead[:live]
+        if self.since > self.counted >> 3:
+            self._count()
+            self._predictions()
+        self.at2 = (self.a * 0x9E3779B1 + self.ahead >> 13) & ((1 << self.hash_bits) - 1)
+        self.t1, self.t2 = self.next1.take(self.a), self.next2.take(self.at2)
+        best = self.t2 + self.t1 * (self.t2 == 0)
+        cand = best >> 4
+        self.cell = ((self.t2 << 4 | self.t1 & 15) & 255) << 5 | ((self.t1 ^ best) < 16).astype(np.int32) << 4 | self.often.take(cand)
+        return cand, self.chance.take(self.cell)
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """``ids``: those that came."""
+        self.cells.append((self.cell | hit.astype(np.int32) << 13).astype(np.uint16))
+        self.ids.append(ids.astype(np.uint16))
+        self.since += len(ids)
+        x = ids.astype(np.int32) << 4
+        for nxt, t, at in ((self.next1, self.t1, self.a), (self.next2, self.t2, self.at2)):
+            c = t & 15
+            c += 16 * (t - c == x)
+            changed = t + _STEP.take(c)
+            nxt[at] = changed + (x + 1 - changed) * (c < 2)  # of lanes with one entry the last counts
+        self.a, self.ahead = ids, self.a * 0x85EBCA6B
+
+
+def _shape(n: int) -> tuple[int, int, int]:
+    """Lanes of a block of ``n`` ids, steps, and lanes that take part in the last step."""
+    lanes = max(1, min(LANES, n // LANE))
+    return lanes, -(-n // lanes), (n - 1) % lanes + 1
+
+
+def _runs(ids: np.ndarray, x: np.ndarray, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Views of ``ids`` and of ``x`` (a row for each step) that match."""
+    steps, lanes = x.shape
+    yield ids[: last * steps].reshape(last, steps), x[:, :last].T
+    if last < lanes:
+        yield ids[last * steps :].reshape(lanes - last, steps - 1), x[:-1, last:].T
+
+
+def _encode(ids: np.ndarray) -> bytes:
+    n = len(ids)
+    lanes, steps, last = _shape(n)
+    x = np.zeros((steps, lanes), np.uint16)
+    for run, place in _runs(ids, x, last):
+        place[:] = run
+    model = Model(lanes, n)
+    low, rng, carry = np.zeros(lanes, np.uint64), np.full(lanes, _ALL), np.zeros(lanes, bool)
+    words, carries, owners = [], [], []
+
+    def shift(lane: np.ndarray) -> None:
+        v = low.take(lane)
+        words.append((v >> _WORD).astype("<u4"))
+        carries.append(carry.take(lane))
+        owners.append(lane.astype(np.uint16))
+        low[lane], carry[lane], rng[lane] = v << _WORD, False, rng.take(lane) << _WORD
+
+    def add(lane: np.ndarray, more: np.ndarray) -> None:
+        was = low.take(lane)
+        now = was + more
+        low[lane], carry[lane] = now, carry.take(lane) | (now < was)
+
+    for t in range(steps):
+        live = lanes if t < steps - 1 else last
+        s = x[t, :live].astype(np.int64)
+        cand, chance = model.candidate(live)
+        hit = cand == s
+        r, v = rng[:live], low[:live]
+        w = (r >> np.uint64(12)) * chance
+        of_hit = np.uint64(0) - hit
+        rest = r - w
+        rest ^= (rest ^ w) & of_hit
+        rest >>= np.uint64(model.bits)
+        span = model.span.take(s ^ (s ^ _NOTHING) & of_hit.view(np.int64))
+        new = np.flatnonzero(span == 0)
+        if len(new):
+            number = s[new] + 1
+            length = _LENGTH.take(number)
+            span[new] = model.span.take(_NEW + length)
+        w &= ~of_hit
+        w += rest * (span >> _WORD)
+        w += v
+        carry[:live] |= w < v
+        v[:] = w
+        r[:] = rest * (span & _LOW)
+        shift(np.flatnonzero(r < _FULL))
+        if len(new):
+            length = (length - 1).astype(np.uint64)
+            unit = rng[new] >> length
+            add(new, unit * (number.astype(np.uint64) ^ np.uint64(1) << length))
+            rng[new] = unit
+            shift(new[unit < _FULL])
+        model.learn(s, hit)
+    del model, x
+    every = np.arange(lanes)
+    add(every, _LOW)  # the word that follows is the end of a number inside the last interval
+    shift(every)
+    owner, word, up = (_taken(runs) for runs in (owners, words, carries))
+    by = np.argsort(owner, kind="stable")
+    word, up = word[by], np.flatnonzero(up[by]) - 1
+    while len(up):
+        word[up] += np.uint32(1)
+        up = up[word[up] == 0] - 1
+    body = np.bincount(owner, minlength=lanes).astype("<u2").tobytes() + word.tobytes()
+    return HEADER.pack(MAGIC, VERSION, n, zlib.crc32(ids.astype("<u4")), len(word), zlib.crc32(body)) + body
+
+
+def _decode(block: bytes, n_ids: int) -> np.ndarray:
+    """A row of ids for each step."""
+    lanes, steps, last = _shape(n_ids)
+    at = HEADER.size + 2 * lanes
+    n = np.frombuffer(block, "<u2", lanes, HEADER.size).astype(np.int64)
+    words, ends = np.frombuffer(block, "<u4", offset=at), np.cumsum(n)
+    at, rng = ends - n, np.full(lanes, _ALL)
+    value = words.take(at).astype(np.uint64) << _WORD | words.take(at + 1, mode="clip") * (n > 1)  # past its last word a lane has zeros
+    at += 2
+    x = np.zeros((steps, lanes), np.uint16)
+    model = Model(lanes, n_ids, find=True)
+    most = np.uint64((1 << model.bits) - 1)
+
+    def shift(lane: np.ndarray) -> None:
+        k = at.take(lane)
+        value[lane] = value.take(lane) << _WORD | words.take(k, mode="clip") * (k < ends.take(lane))
+        at[lane], rng[lane] = k + 1, rng.take(lane) << _WORD
+
+    for t in range(steps):
+        live = lanes if t < steps - 1 else last
+        cand, chance = model.candidate(live)
+        r, v = rng[:live], value[:live]
+        w = (r >> np.uint64(12)) * chance
+        hit = v < w
+        of_hit = np.uint64(0) - hit
+        rest = r - w
+        rest ^= (rest ^ w) & of_hit
+        rest >>= np.uint64(model.bits)
+        w &= ~of_hit
+        v -= w
+        kind = model.kind.take(np.minimum(v // rest, most).view(np.int64)).astype(np.int64)
+        s = kind ^ (kind ^ cand) & of_hit.view(np.int64)
+        span = model.span.take(kind ^ (kind ^ _NOTHING) & of_hit.view(np.int64))
+        v -= rest * (span >> _WORD)
+        r[:] = rest * (span & _LOW)
+        shift(np.flatnonzero(r < _FULL))
+        new = np.flatnonzero(s >= _NEW)
+        if len(new):
+            length = (s[new] - _NEW - 1).astype(np.uint64)
+            unit = rng[new] >> length
+            number = np.minimum(value[new] // unit, (np.uint64(1) << length) - np.uint64(1))
+            value[new] -= unit * number
+            rng[new] = unit
+            s[new] = (number | np.uint64(1) << length).astype(np.int64) - 1
+            shift(new[unit < _FULL])
+        model.learn(s, hit)
+        x[t, :live] = s
+    return x
+
+
+def _sizes(n: int, block: int) -> np.ndarray:
     """Ids of each block: as few blocks as hold ``n``, as even as can be, the longer ones first."""
-    lanes = -(-n // block)
-    return n // lanes + (np.arange(lanes) < n % lanes)
+    blocks = -(-n // block)
+    return n // blocks + (np.arange(blocks) < n % blocks)
 
 
 def _narrow(ids: np.ndarray) -> np.ndarray:
@@ -266,121 +297,29 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     ids = np.asarray(ids)
     if ids.min() < 0 or ids.max() > 65535:
         raise ValueError("this format holds ids from 0 to 65,535")
-    if not 0 < block < 65536:
-        raise ValueError("a block has 1 to 65,535 ids")
-    n = _lanes(len(ids), block)
-    lanes, steps, ends = len(n), int(n[0]), np.cumsum(n)
-    model, slot, room, heads = Model(lanes, steps), np.zeros((lanes, steps), np.uint16), np.zeros(65536, np.int64), []
-    for i, e in enumerate(ends.tolist()):
-        part = ids[e - n[i] : e].astype("<u4")
-        slot[i, : n[i]], new = _slots(part, room)
-        model.seen[i, : len(new)] = new
-        heads.append((len(part), zlib.crc32(part.tobytes())))
-    del ids
-    slot, coder = np.ascontiguousarray(slot.T), Encoder(lanes, 2 * steps + 16)
-    for t in range(steps):
-        live = int((n > t).sum()) if t == steps - 1 else lanes
-        if live < lanes:
-            model.keep(live)
-        s = slot[t, :live].astype(np.int64)
-        cand, model.chance = model.candidate()
-        hit = cand == s + 1
-        start, width = np.zeros(live, np.int64), model.chance << 16
-        m = np.flatnonzero(~hit)
-        new = m[s[m] == model.n_seen[m]]
-        if len(m):
-            base, share = model.parts(m)
-            before, own = model.count.span(m, s[m])
-            unit = share // np.maximum(model.count.total[m], 1)
-            start[m], width[m] = base + unit * before, unit * own
-            model.missed(m, s[m] != model.n_seen[m])
-        if len(new):
-            at = np.searchsorted(m, new)
-            v = model.seen[new, model.n_seen[new]].astype(np.int64)
-            length, start[new], width[new] = _fresh(model, new, base[at], share[at], v)
-        coder.code(slice(0, live), start, width)
-        if len(new):
-            coder.code(new, v + 1 - (1 << length - 1) << 17 - length, 1 << 17 - length, 16)
-            model.note(new, length)
-        model.learn(s, hit)
-    out = []
-    for i, head in enumerate(heads):
-        body = coder.finish(i)
-        out.append(HEADER.pack(MAGIC, VERSION, *head, len(body) // 2) + body)
-    return out
-
-
-def _fresh(model: Model, lane: np.ndarray, base: np.ndarray, share: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bits of a new id plus one, start and width of that length) in 2**32."""
-    length = _LENGTH.take(np.minimum(ids + 1, 65535)) + (ids == 65535)
-    rows = model.lengths[lane]
-    unit = (((65536 - model.chance[lane]) << 16) - share) // rows.sum(1)
-    return length, base + share + unit * np.einsum("ij,ij->i", rows, _BELOW_17.take(length, axis=0)), unit * rows[np.arange(len(lane)), length]
+    if not 0 < block <= BLOCK:
+        raise ValueError(f"a block has 1 to {BLOCK:,} ids")
+    n = _sizes(len(ids), block)
+    return [_encode(ids[e - k : e]) for k, e in zip(n.tolist(), np.cumsum(n).tolist())]
 
 
 def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of some blocks, one after the other; raises ValueError where a block is damaged."""
-    if not blocks:
-        return np.zeros(0, np.uint32)
     heads = []
     for b in blocks:
-        heads.append(HEADER.unpack_from(b) if len(b) >= HEADER.size else (b"",))
-        if heads[-1][0] != MAGIC or heads[-1][1] != VERSION or not heads[-1][2] or len(b) != HEADER.size + 2 * heads[-1][4]:
+        magic, version, n, crc, words, own = HEADER.unpack_from(b) if len(b) >= HEADER.size else (b"", 0, 0, 0, 0, 0)
+        if magic != MAGIC or version != VERSION or not 0 < n <= BLOCK or len(b) != HEADER.size + 2 * _shape(n)[0] + 4 * words or zlib.crc32(memoryview(b)[HEADER.size :]) != own:
             raise ValueError("not a block of this format")
-    n = np.array([h[2] for h in heads])
-    by = np.argsort(-n, kind="stable")
-    count = n[by]
-    coder = Decoder([np.frombuffer(blocks[i], "<u2", offset=HEADER.size) for i in by])
-    model = Model(len(blocks), int(count[0]))
-    x = np.zeros((int(count[0]), len(blocks)), np.uint16)
-    live = len(blocks)
-    for t in range(len(x)):
-        while count[live - 1] <= t:
-            live -= 1
-        if live < len(model.lane):
-            model.keep(live)
-        cand, model.chance = model.candidate()
-        all_ = slice(0, live)
-        got = coder.target(all_)
-        width = model.chance << 16
-        hit = got < width
-        start, s = np.zeros(live, np.int64), cand.astype(np.int64) - 1
-        m = np.flatnonzero(~hit)
-        new = m[:0]
-        if len(m):
-            base, share = model.parts(m)
-            at = got[m] - base
-            was = at < share
-            o = m[was]
-            unit = share[was] // np.maximum(model.count.total[o], 1)
-            s[o], before, own = model.count.find(o, np.minimum(at[was] // np.maximum(unit, 1), model.count.total[o] - 1))
-            start[o], width[o] = base[was] + unit * before, unit * own
-            model.missed(m, was)
-            new, rows = m[~was], model.lengths[m[~was]]
-        if len(new):
-            base, share, at = base[~was], share[~was], at[~was]
-            unit = (((65536 - model.chance[new]) << 16) - share) // rows.sum(1)
-            length = np.minimum((np.cumsum(rows, axis=1) <= ((at - share) // unit)[:, None]).sum(1), 17)
-            start[new], width[new] = base + share + unit * np.einsum("ij,ij->i", rows, _BELOW_17.take(length, axis=0)), unit * rows[np.arange(len(new)), length]
-            s[new] = model.n_seen[new]
-        coder.code(all_, start, width)
-        if len(new):
-            length = np.maximum(length, 1)
-            v = coder.target(new, 16) >> 17 - length
-            coder.code(new, v << 17 - length, 1 << 17 - length, 16)
-            v = np.minimum(v + (1 << length - 1) - 1, 65535)
-            model.seen[new, s[new]] = v
-            model.note(new, length)
-        s = np.minimum(np.maximum(s, 0), model.block - 1)  # only in damaged blocks
-        model.learn(s, hit)
-        x[t, :live] = s
-    ends, out, seen = np.cumsum(n), np.zeros(int(n.sum()), "<u4"), model.seen
-    del model, coder
-    for j, i in enumerate(by):
-        row = out[ends[i] - n[i] : ends[i]]
-        row[:] = seen[j].take(x[: n[i], j])
-        if zlib.crc32(row) != heads[i][3]:
+        heads.append((n, crc))
+    made = [_decode(b, n) for b, (n, _) in zip(blocks, heads)]
+    out, at = np.zeros(sum(n for n, _ in heads), "<u4"), 0
+    for x, (n, crc) in zip(made, heads):
+        row = out[at : at + n]
+        for run, place in _runs(row, x, _shape(n)[2]):
+            run[:] = place
+        if zlib.crc32(row) != crc:
             raise ValueError("a block's checksum differs")
+        at += n
     return out
 
 

@@ -253,6 +253,41 @@ def test_coder_memory():
         assert peak < 21 * len(ids)
 
 
+def test_a_segment_takes_few_bytes_and_few_steps(monkeypatch):
+    """A million ids: below 13 bytes an id in traced memory on either side, all lanes in step."""
+    import tracemalloc
+
+    ids = np.minimum(np.random.default_rng(4).zipf(1.2, 1_000_000), 50_000).astype(np.uint16)
+    blocks = id_files.encode(ids)
+    for run in (lambda: id_files.encode(ids), lambda: id_files.decode(blocks)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 13 * len(ids)
+    steps, own = [], id_files.Model.candidate
+    monkeypatch.setattr(id_files.Model, "candidate", lambda *args: steps.append(1) or own(*args))
+    assert (id_files.decode(id_files.encode(ids)) == ids).all()
+    assert len(steps) < 1200
+
+
+def test_every_damaged_byte_of_a_block_is_found():
+    block = id_files.encode(np.random.default_rng(5).integers(0, 50, 3000))[0]
+    for i in range(len(block)):
+        with pytest.raises(ValueError):
+            id_files.decode([block[:i] + bytes([block[i] ^ 0x41]) + block[i + 1 :]])
+
+
+def test_coder_at_its_edges():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 511, 512, 513, 4097, 70_000):  # one lane and two, lanes of unequal length
+        for kinds in (1, 300, 65_536):
+            ids = rng.integers(0, kinds, n)
+            assert (id_files.decode(id_files.encode(ids)) == ids).all()
+    ids = np.arange(65_536)[::-1]
+    assert (id_files.decode(id_files.encode(ids)) == ids).all()
+
+
 def test_token_id_files(spark, docs):
     from tokenizers import Tokenizer
 
