@@ -10,7 +10,7 @@ model. Model, for each id: what mostly followed the two ids before (order 2) or
 candidate; its chance mixes, in the logistic domain with weights that learn, the hit rates by order-2 confidence, by order-1
 confidence, and by the candidate's own frequency (order 0). If the candidate fails, order 0 codes the id by its count among
 the ids so far that failed too, or as a new one: the length of its number by the lengths of the new ones before, then its
-bits. Candidates learn after each step; rates, weights and counts whenever the ids coded have grown by an eighth, from all
+bits. Candidates learn after each step; rates, weights and counts whenever the ids coded have grown by a quarter, from all
 steps since. Each lane's interval has 64 bits and gives off 32 at a time. All arithmetic is on integers.
 
 Cases: a null text is empty and becomes the end id alone; documents with one id follow each other in order of a hash of the text; a
@@ -59,7 +59,7 @@ class Model:
     """Predictions for the next id of each lane."""
 
     def __init__(self, lanes: int, n: int, find: bool = False):
-        self.bits, self.hash_bits = min(20, max(12, (n + 64).bit_length())), min(18, max(8, n.bit_length() - 1))
+        self.bits, self.hash_bits = min(18, max(12, (n + 64).bit_length())), min(18, max(8, n.bit_length() - 1))
         # what follows an id, and a hash of two: id << 4 | confidence; 0: nothing yet
         self.next1, self.next2 = np.zeros(65536, np.int32), np.zeros(1 << self.hash_bits, np.int32)
         self.a = self.ahead = np.zeros(lanes, np.int64)  # the last id, and what the one before adds to the hash
@@ -92,7 +92,7 @@ class Model:
                 np.add.at(total, of, what)
         ids = ids[cell < _CELLS]
         new = ids[self.span.take(ids) == 0].astype(np.int64)
-        np.add(self.count[:_NEW], np.bincount(ids, minlength=_NEW), out=self.count[:_NEW], casting="unsafe")
+        np.add.at(self.count, ids, np.int32(1))
         lengths = np.bincount(_LENGTH.take(new + 1), minlength=18)[1:]
         self.count[_NEW + 1 :] = np.maximum(1, lengths * int(self.count[:_NEW].sum()) // max(1, len(ids)))
         self.counted += self.since
@@ -117,7 +117,7 @@ class Model:
         """The candidates of the first ``live`` lanes and their chances, of 4,096."""
         if live < len(self.a):
             self.a, self.ahead = self.a[:live], self.ahead[:live]
-        if self.since > self.counted >> 3:
+        if self.since > self.counted >> 2:
             self._count()
             self._predictions()
         self.at2 = (self.a * 0x9E3779B1 + self.ahead >> 13) & ((1 << self.hash_bits) - 1)
@@ -233,7 +233,6 @@ def _decode(block: bytes, n_ids: int) -> np.ndarray:
     at += 2
     x = np.zeros((steps, lanes), np.uint16)
     model = Model(lanes, n_ids, find=True)
-    most = np.uint64((1 << model.bits) - 1)
 
     def shift(lane: np.ndarray) -> None:
         k = at.take(lane)
@@ -252,7 +251,7 @@ def _decode(block: bytes, n_ids: int) -> np.ndarray:
         rest >>= np.uint64(model.bits)
         w &= ~of_hit
         v -= w
-        kind = model.kind.take(np.minimum(v // rest, most).view(np.int64)).astype(np.int64)
+        kind = model.kind.take((v // rest).view(np.int64), mode="clip").astype(np.int64)
         s = kind ^ (kind ^ cand) & of_hit.view(np.int64)
         span = model.span.take(kind ^ (kind ^ _NOTHING) & of_hit.view(np.int64))
         v -= rest * (span >> _WORD)

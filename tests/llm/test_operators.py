@@ -496,6 +496,33 @@ def test_pieces_encode_as_the_library_does():
         memo.forget(40)
 
 
+def test_pieces_share_their_words(monkeypatch):
+    """A word with other marks after it asks the library for the marks only; a shared hash and a full memo change no ids."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    library = Tokenizer.from_file(path)
+    texts = [f"a {w}{tail} b" for w in ("zquorf", "Don't", "it's'", "x9y", "\u00e9t\u00e9", "qu\u00e9") for tail in ("", ",", "###", ".\nThe", "'re", "9", "\u2013,")]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    asked, memo = [], tokens.PieceMemo(path)
+    own = memo.encode
+    memo.encode = lambda batch: asked.extend(batch) or own(batch)
+    for _ in range(2):
+        ids, n = memo.values([t.encode() for t in texts])
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+    assert sum(x.count("zquorf") for x in asked) == 2  # alone, and before a mark beyond ASCII
+    hashes = tokens._hashes
+    monkeypatch.setattr(tokens, "_hashes", lambda words: hashes(words) % np.uint64(7))
+    got = tokens.PieceMemo(path).values([t.encode() for t in texts])[0]
+    assert got.tolist() == [x for w in want for x in w]
+    monkeypatch.setattr(tokens, "_hashes", hashes)
+    monkeypatch.setattr(tokens, "MEMO", 40)
+    small = tokens.PieceMemo(path)
+    for lo in range(0, len(texts), 5):
+        assert small.values([t.encode() for t in texts[lo : lo + 5]])[0].tolist() == [x for w in want[lo : lo + 5] for x in w]
+        assert len(small.words) <= 60
+
+
 def test_cache_with_a_digest_twice_keeps_one_row_a_document(spark, docs):
     path, cache = tokens.default_tokenizer(), tokens.CountCache(spark)
     first = tokens.count_tokens(docs, path, cache).count()
