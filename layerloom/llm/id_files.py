@@ -366,6 +366,8 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     files = spark.read.schema(FILE).parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()  # a worker that has written holds pieces, which reading does not need
+        pa.default_memory_pool().release_unused()
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]

@@ -34,7 +34,7 @@ from layerloom.llm.common import byte_hash, in_arrow, packed, ranges, scratch_di
 LIMIT = 1024
 CACHE = "tokenizer string, digest binary, n_tokens long"
 #: Pieces that a worker remembers; some 60 bytes each.
-MEMO = 1_000_000
+MEMO = 500_000
 #: A space before white space or the end: a cut there could change the pre-tokens.
 _UNSAFE = r" ([\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
@@ -233,6 +233,11 @@ def memo(path: str) -> PieceMemo:
     return _memos[path]
 
 
+def forget() -> None:
+    """Frees what this process remembers; it is made anew when asked for."""
+    _memos.clear()
+
+
 def counts(texts: list[bytes], path: str) -> np.ndarray:
     return memo(path).values(texts)[1]
 
