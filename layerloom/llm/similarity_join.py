@@ -1,12 +1,14 @@
 """N-gram Jaccard join with a prefix tree, and the groups of documents that its links connect.
 
-A document's set is its distinct word shingles as hashes. All sets are kept in one global order: hashes, with the
-``HEAVY`` most repeated shingles of the corpus last (any order gives the same links; this one keeps passages that many
-documents share out of the prefixes). Two sets of enough similarity share a shingle among the first ones of both (the
-prefix filter).
+A document's set is its distinct word shingles as hashes. All sets are kept in one global order: hashes, then the
+``HEAVY`` most repeated shingles of the corpus, the rarest of them first (any order gives the same links; this one keeps
+passages that many documents share out of the prefixes, and among near copies of one text puts first what each of them
+has changed). Two sets of enough similarity share a shingle among the first ones of both (the prefix filter).
 
 1. One row for each class of equal sets: its smallest document, size and prefix. Copies go no further.
-2. The classes that share a prefix shingle are ordered by size and parted where a neighbour is too small for its
+2. If the first shingle that two sets share stands at place i of one, they share n - i at most; that bounds the other's
+   size. A class whose bound is below its own size can only meet smaller ones there and stands at its bound, the others
+   stand at their sizes. So ordered, the classes that share a prefix shingle are parted where one is too small for its
    successor; a part of one is done, and the first class of a part is its leader. A class joins the groups of its
    leaders: any two classes that share a prefix shingle and have fitting sizes meet in a leader's group, and a class is
    sent once for each leader, not for each shingle. First only histograms of the sets go there: shingles counted by
@@ -14,7 +16,9 @@ prefix filter).
    bounds reaches the threshold leaves the group; most that meet by chance do. The others send their texts.
 3. A group stores its sets in a prefix tree of globally ordered shingles. A set walks the tree with one overlap for
    each edge, shared by all sets below it; subtrees go as soon as the overlap and what remains of both lengths cannot
-   reach the threshold, or when all their sets are already connected with the walker.
+   reach the threshold, or when all their sets are already connected with the walker. A group of ``COUNTED`` sets or more,
+   as many near copies of one text make, counts each set's overlaps with all sets that are not connected with it at once:
+   what many of them have as bits, the rest by lists of the sets that have it.
 4. A group with more than ``SPLIT`` classes, or ``ELEMENTS`` shingles, is dealt into parts that all have the leader. Inside a part all pairs are
    decided. Between parts only pairs matter of which one is not connected with the leader: those classes walk the
    trees of all other parts.
@@ -34,10 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerloom.llm.common import blank_words, in_arrow, mixed, packed, slices, written
+from layerloom.llm.common import blank_words, in_arrow, mixed, packed, ranges, slices, written
 
 HEAVY = 1_000_000
 HEAVY_FROM = 4
+COUNTED = 64
 SPLIT = 1500
 ELEMENTS = 4_000_000
 _LEAST = -(1 << 63)
@@ -62,11 +67,13 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
 
 
-def ordered(values: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """A set in the global order, as ascending numbers: bit 63 marks the heavy ones, the rest is the hash (its lowest bit is lost to both)."""
-    at = np.minimum(np.searchsorted(heavy, values), max(0, len(heavy) - 1))
-    is_heavy = heavy[at] == values if len(heavy) else np.zeros(len(values), bool)
-    return np.sort((values >> np.uint64(1)) | (is_heavy.astype(np.uint64) << np.uint64(63)))
+def ordered(values: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set in the global order, as ascending numbers: bit 63 marks the heavy ones, with their rank, the rest is the hash (its lowest bit is lost)."""
+    known, rank = heavy
+    if not len(known):
+        return np.sort(values >> np.uint64(1))
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.sort(np.where(known[at] == values, rank[at] | np.uint64(1 << 63), values >> np.uint64(1)))
 
 
 def required(a: np.ndarray | int, b: np.ndarray | int, percent: int):
@@ -83,8 +90,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), "text")
 
 
-def heavy_shingles(rows: DataFrame, words: int) -> np.ndarray:
-    """The most repeated shingles: those that tasks have seen in several documents, at most HEAVY of them. It only sets the order."""
+def heavy_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most repeated shingles: those that tasks have seen in several documents, at most HEAVY of them, and their ranks from the rarest on. It only sets the order."""
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         u, n = np.unique(np.concatenate(held), return_counts=True)
@@ -104,7 +111,9 @@ def heavy_shingles(rows: DataFrame, words: int) -> np.ndarray:
 
     seen = rows.select("text").transform(in_arrow, run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_FROM)
     top = seen.orderBy(F.desc("n"), "shingle").limit(HEAVY).select("shingle").toPandas()
-    return np.sort(top.shingle.to_numpy(np.int64).view(np.uint64))
+    values = top.shingle.to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(values)
+    return values[by], (len(by) - 1 - by).astype(np.uint64)
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -229,8 +238,10 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def connect(sets: list[np.ndarray], percent: int, walkers: list[int] | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``sets`` (of the walkers with all others, if given). ``group``: sets that are connected already."""
-    tree = PrefixTree(sets)
     group = np.arange(len(sets)) if group is None else group
+    if len(sets) >= COUNTED:
+        return _counted(sets, percent, walkers, group)
+    tree = PrefixTree(sets)
     links = []
     for i in walkers if walkers is not None else range(len(sets)):
         own = [group[i]]
@@ -240,6 +251,68 @@ def connect(sets: list[np.ndarray], percent: int, walkers: list[int] | None = No
     return links
 
 
+def _counted(sets: list[np.ndarray], percent: int, walkers: list[int] | None, group: np.ndarray) -> list[tuple[int, int]]:
+    """``connect`` by overlaps with many sets at once; elements that only one set has count nowhere."""
+    m = len(sets)
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sizes, group = np.array([len(sets[i]) for i in order]), group[order]
+    every = np.sort(np.concatenate(sets))
+    begin = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))[: len(every)])
+    count = np.diff(np.append(begin, len(every)))
+    value, count = every[begin[count > 1]], count[count > 1]
+    del every
+    if not len(value):
+        return []
+    often = 16 * count > m
+    column = np.cumsum(often) - 1
+    bits = np.zeros((-(-int(often.sum()) // 64), m), np.uint64)
+    rare = []
+    for k, i in enumerate(order):
+        at = np.minimum(np.searchsorted(value, sets[i]), len(value) - 1)
+        at = at[value[at] == sets[i]]
+        row = np.zeros(64 * len(bits), bool)
+        row[column[at[often[at]]]] = True
+        bits[:, k] = np.packbits(row, bitorder="little").view(np.uint64)
+        rare.append(at[~often[at]].astype(np.int32))
+    whose = np.repeat(np.arange(m, dtype=np.int32), list(map(len, rare)))
+    whose = whose[np.argsort(np.concatenate(rare), kind="stable")]  # the sets of each rare element, one element after the other
+    count = np.where(often, 0, count)
+    start = np.cumsum(count) - count
+    place = np.empty(m, np.int64)
+    place[order] = np.arange(m)
+    links = []
+    for k in range(m) if walkers is None else place[walkers].tolist():
+        lo = k + 1 if walkers is None else int(np.searchsorted(sizes * 100, sizes[k] * percent))
+        hi = int(np.searchsorted(sizes * percent, sizes[k] * 100, side="right"))
+        others = lo + np.flatnonzero(group[lo:hi] != group[k])
+        if not len(others):
+            continue
+        some = bits[:, others] if 2 * len(others) < hi - lo else bits[:, lo:hi]
+        common = np.bitwise_count(some & bits[:, k : k + 1]).sum(0, dtype=np.int64)
+        common = common if len(common) == len(others) else common[others - lo]
+        if len(rare[k]):
+            common += np.bincount(whose[ranges(start[rare[k]], count[rare[k]])], minlength=m)[others]
+        near = others[common >= required(int(sizes[k]), sizes[others], percent)]
+        met, first = np.unique(group[near], return_index=True)
+        if len(met):
+            links += [(int(order[k]), int(order[j])) for j in near[first]]
+            group[np.isin(group, met)] = group[k]
+    return links
+
+
+def meeting(classes: DataFrame, percent: int) -> DataFrame:
+    """(class_id, n, leader): the groups that a class joins, for any two classes that may be similar enough a common one."""
+    posted = classes.select("class_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
+    most = F.expr(f"CAST({100 + percent} * CAST(n - place AS LONG) DIV {percent} - n AS INT)")  # elements of a set whose first common one is this
+    posted = posted.select("class_id", "n", "shingle", most.alias("most")).withColumn("probe", F.col("most") < F.col("n"))
+    by_size = Window.partitionBy("shingle").orderBy(F.least("most", "n"), "probe", "n", "class_id")
+    before = F.last(F.when(~F.col("probe"), F.col("n")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    posted = posted.withColumn("after", F.coalesce(100 * before.cast("long") >= percent * F.col("n").cast("long"), F.lit(False))).where("after OR NOT probe")
+    head = F.last(F.when(~F.col("after"), F.col("class_id")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+    posted = posted.withColumn("leader", head).withColumn("before", F.coalesce(F.lead("after").over(by_size), F.lit(False)))
+    return posted.where("after OR before").select("class_id", "n", "leader").distinct()
+
+
 def links(docs: DataFrame, words: int = 3, percent: int = 90, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, class_id) for each row and (a, b) links between classes that connect what is similar."""
     spark = docs.sparkSession
@@ -265,12 +338,7 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, split: int = SPLIT
     members = sketches.select("doc_id", "n", "a", "b").join(classes.select("n", "a", "b", "class_id"), ["n", "a", "b"], "left")
     members = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
-    posted = classes.select("class_id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("shingle"))
-    by_size = Window.partitionBy("shingle").orderBy("n", "class_id")
-    fits = lambda small, large: F.coalesce(100 * small.cast("long") >= percent * large.cast("long"), F.lit(False))
-    posted = posted.withColumn("after", fits(F.lag("n").over(by_size), F.col("n"))).withColumn("before", fits(F.col("n"), F.lead("n").over(by_size)))
-    head = F.last(F.when(~F.col("after"), F.col("class_id")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
-    sent = written(posted.withColumn("leader", head).where("after OR before").select("class_id", "n", "leader").distinct())
+    sent = written(meeting(classes, percent))
     parts = F.ceil(F.greatest(F.count("*") / split, F.sum("n") / ELEMENTS)).cast("int")
     sizes = sent.groupBy("leader").agg(parts.alias("parts"))
     joined = sent.join(sizes, "leader")
@@ -327,7 +395,7 @@ def _shipped(texts: DataFrame, dealt: DataFrame, walks: Column) -> DataFrame:
     return each.repartition("leader", "part").sortWithinPartitions("leader", "part", "class_id", "walks")
 
 
-def _sets(bodies: list[bytes], words: int, heavy: np.ndarray) -> list[np.ndarray]:
+def _sets(bodies: list[bytes], words: int, heavy: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, texts in slices(pa.RecordBatch.from_arrays([pa.array(bodies, pa.large_binary())], ["body"]), "body"):
         v, at = shingles(texts, words)
