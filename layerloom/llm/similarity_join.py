@@ -302,10 +302,13 @@ def _counted(sets: list[np.ndarray], percent: int, walkers: list[int] | None, gr
 
 def meeting(classes: DataFrame, percent: int) -> DataFrame:
     """(class_id, n, leader): the groups that a class joins, for any two classes that may be similar enough a common one."""
-    posted = classes.select("class_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
-    most = F.expr(f"CAST({100 + percent} * CAST(n - place AS LONG) DIV {percent} - n AS INT)")  # elements of a set whose first common one is this
-    posted = posted.select("class_id", "n", "shingle", most.alias("most")).withColumn("probe", F.col("most") < F.col("n"))
-    by_size = Window.partitionBy("shingle").orderBy(F.least("most", "n"), "probe", "n", "class_id")
+    posted = classes.select("class_id", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
+    # size and place travel as one number
+    posted = posted.select("class_id", "shingle", F.shiftleft("n", 32).bitwiseOR(F.col("place")).alias("at")).repartition("shingle")
+    posted = posted.select("class_id", "shingle", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
+    most = F.expr(f"CAST({100 + percent} * (n - place) DIV {percent} - n AS INT)")  # elements of a set whose first common one is this
+    posted = posted.select("class_id", "n", "shingle", F.least(most, "n").alias("stand"), (most < F.col("n")).alias("probe"))
+    by_size = Window.partitionBy("shingle").orderBy("stand", "probe", "n", "class_id")
     before = F.last(F.when(~F.col("probe"), F.col("n")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
     posted = posted.withColumn("after", F.coalesce(100 * before.cast("long") >= percent * F.col("n").cast("long"), F.lit(False))).where("after OR NOT probe")
     head = F.last(F.when(~F.col("after"), F.col("class_id")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
